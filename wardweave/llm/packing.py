@@ -22,7 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import flat, slices, table
+from .bpe import Merges
+from .common import flat, mix64, slices, table, word_hashes, words
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -30,18 +31,39 @@ STEP_TOKENS = 32 * 2048
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, sequence_tokens long, step_group long"
 
 
+_MARKS = b".,;:!?"
+_MARK = np.zeros(256, np.int64)
+_MARK[list(_MARKS)] = np.arange(1, len(_MARKS) + 1)
+_ASCII = np.zeros(256, bool)
+_ASCII[65:91] = _ASCII[97:123] = True
+_SMALL = np.zeros(256, bool)  # second bytes of Latin-1's small letters
+_SMALL[0x9F:0xC0], _SMALL[0xB7] = True, False
+
+
 class WordTokens:
     """Ids of texts, word by word. The tokenizer drops blanks and never joins what they part, so
-    words are independent: each distinct one of a slice is encoded once, in one call, and those
-    met in an earlier slice come from a bounded cache."""
+    words are independent; a mark after plain letters is a token run of its own, and the case of
+    ASCII letters is dropped. Words are known by 64-bit hashes in a table of bounded size, which
+    starts anew when it is full; what it lacks is encoded once a slice, plain words by `Merges`,
+    others by the library."""
 
-    def __init__(self, path: str, most: int = 150_000):
+    SLOTS = 20
+
+    def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.most = most
-        self.cache: dict[bytes, bytes] = {}
+        self.merges = Merges(path)
+        probe = [b"a", b"the", b"packing", b"sequences", b"stra\xc3\x9fe", b"\xc3\xa9t\xc3\xa9", b"zzzz", b"abababab", b"internationalisation"]
+        if not self.merges.check(self._encode, probe):
+            raise ValueError(f"the merges of {path} don't give its library's ids")
+        self.fixed = self._encode([bytes([m]) for m in _MARKS])
+        self._clear()
+
+    def _clear(self) -> None:
+        self.keys, self.entry = np.zeros(1 << self.SLOTS, np.uint64), np.full(1 << self.SLOTS, -1, np.int32)
+        self.ids, self.size = np.frombuffer(b"".join(self.fixed), np.int32), np.array([len(x) // 4 for x in self.fixed], np.int64)
 
     def _encode(self, new: list[bytes]) -> list[bytes]:
         out: list[bytes] = []
@@ -55,34 +77,83 @@ class WordTokens:
             out += [raw[a:b] for a, b in zip(cut[:-1].tolist(), cut[1:].tolist(), strict=True)]
         return out
 
-    def encode(self, texts: list[bytes], end_id: int) -> tuple[np.ndarray, np.ndarray]:
+    def _find(self, keys: np.ndarray) -> np.ndarray:
+        """Each key's entry, or -1."""
+        at = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        out = self.entry[at]
+        off = np.flatnonzero((out >= 0) & (self.keys[at] != keys))
+        while len(off):
+            at[off] = (at[off] + 1) & ((1 << self.SLOTS) - 1)
+            out[off] = self.entry[at[off]]
+            off = off[(out[off] >= 0) & (self.keys[at[off]] != keys[off])]
+        return out
+
+    def _insert(self, keys: np.ndarray, entries: np.ndarray) -> None:
+        """Distinct keys that are not there yet; of those that meet in a slot one stays."""
+        at = (keys >> np.uint64(64 - self.SLOTS)).astype(np.int64)
+        todo = np.arange(len(keys))
+        while len(todo):
+            free = todo[self.entry[at[todo]] < 0]
+            self.entry[at[free]] = entries[free]
+            self.keys[at[free]] = keys[free]
+            todo = todo[self.entry[at[todo]] != entries[todo]]
+            at[todo] = (at[todo] + 1) & ((1 << self.SLOTS) - 1)
+
+    def _entries(self, data: np.ndarray, starts, ends, keys, plain) -> np.ndarray:
+        found = self._find(keys)
+        lacks = np.flatnonzero(found < 0)
+        if len(lacks):
+            new, first = np.unique(keys[lacks], return_index=True)
+            if len(self.size) + len(new) > (1 << self.SLOTS) * 6 // 10:
+                self._clear()
+                found = np.full(len(keys), -1, np.int32)
+                new, first = np.unique(keys, return_index=True)
+                lacks = np.arange(len(keys))
+            at = lacks[first]
+            blob = data.tobytes()
+            text = [blob[a:b] for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+            is_plain = plain[at]
+            ids = np.empty(len(text), object)
+            ids[is_plain] = self.merges.encode([t.lower() for t, p in zip(text, is_plain.tolist(), strict=True) if p])
+            ids[~is_plain] = self._encode([t for t, p in zip(text, is_plain.tolist(), strict=True) if not p])
+            entries = np.arange(len(self.size), len(self.size) + len(new), dtype=np.int32)
+            self.ids = np.concatenate((self.ids, np.frombuffer(b"".join(ids.tolist()), np.int32)))
+            self.size = np.concatenate((self.size, np.array([len(x) // 4 for x in ids], np.int64)))
+            if len(self.size) <= (1 << self.SLOTS) * 9 // 10:
+                self._insert(new, entries)
+                found[lacks] = self._find(keys[lacks])
+            else:  # a giant slice: used now, not kept
+                found[lacks] = entries[np.searchsorted(new, keys[lacks])]
+        return found.astype(np.int64)
+
+    def encode(self, data: np.ndarray, offsets: np.ndarray, end_id: int) -> tuple[np.ndarray, np.ndarray]:
         """All ids on end and where each text's begin; an end id closes each text."""
-        index: dict[bytes, int] = {}
-        put = index.setdefault
-        rows: list[int] = []
-        counts = []
-        for t in texts:
-            w = t.split()
-            counts.append(len(w) + 1)
-            rows += [put(x, len(index)) for x in w]
-            rows.append(-1)
-        known = self.cache
-        names = list(index)
-        new = [w for w in names if w not in known]
-        fresh = dict(zip(new, self._encode(new), strict=True))
-        pieces = [fresh[w] if w in fresh else known[w] for w in names]
-        if len(known) < self.most:
-            for w in new[: self.most - len(known)]:
-                known[w] = fresh[w]
-        size = np.array([len(p) // 4 for p in pieces] + [1], np.int64)
-        pool = np.frombuffer(b"".join(pieces) + np.int32(end_id).tobytes(), np.int32)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        row = np.array(rows, np.int64)  # -1 is the last entry: the end id
-        n = size[row]
-        to = np.cumsum(n)
-        ids = pool[np.repeat(begin[row] - (to - n), n) + np.arange(to[-1] if len(to) else 0)]
-        first = np.concatenate(([0], np.cumsum(counts)))
-        return ids, np.concatenate(([0], to))[first]
+        starts, ends, counts = words(data, offsets)
+        n = len(starts)
+        small = np.zeros(len(data), bool)
+        small[1:] = _SMALL[data[1:]] & (data[:-1] == 0xC3)
+        bad = np.concatenate(([0], np.cumsum(~(_ASCII[data] | (data == 0xC3) | small))))
+        mark = _MARK[data[ends - 1]] if n else np.zeros(0, np.int64)
+        stem = ends - (mark > 0)
+        plain = (bad[stem] == bad[starts]) & (stem > starts)
+        mark[~plain] = 0
+        stem[~plain] = ends[~plain]
+        keys = np.empty(n, np.uint64)
+        keys[plain] = word_hashes(data, starts[plain], stem[plain])
+        keys[~plain] = mix64(word_hashes(data, starts[~plain], stem[~plain], lower=False) ^ np.uint64(0x5851F42D4C957F2D))
+        entry = self._entries(data, starts, stem, keys, plain)
+        # in order: each word, its mark, and each text's end
+        place = np.arange(n) + np.cumsum(mark > 0) - (mark > 0) + np.repeat(np.arange(len(counts)), counts)
+        total = n + int((mark > 0).sum()) + len(counts)
+        row = np.full(total, len(self.size), np.int64)
+        row[place] = entry
+        row[place[mark > 0] + 1] = mark[mark > 0] - 1
+        last = np.cumsum(counts + np.bincount(np.repeat(np.arange(len(counts)), counts)[mark > 0], minlength=len(counts)) + 1) - 1
+        ids, size = np.append(self.ids, np.int32(end_id)), np.append(self.size, 1)
+        begin = np.cumsum(size) - size
+        k = size[row]
+        to = np.cumsum(k)
+        return ids[np.repeat(begin[row] - (to - k), k) + np.arange(to[-1] if total else 0)], np.concatenate(([0], to[last]))
 
 
 def pack(lengths: list[int], tiers=TIERS) -> list[list[tuple[int, int, int]]]:
@@ -179,10 +250,9 @@ def packer(path: str, tiers=TIERS, end_id: int = END_ID, with_ids: bool = False)
             if not batch.num_rows:
                 continue
             data, offsets = flat(batch.column(1))
-            blob = data.tobytes()
             ids, begin, at = [], [np.zeros(1, np.int64)], 0
             for a, b in slices(offsets):
-                one, first = tokens.encode([blob[offsets[i] : offsets[i + 1]] for i in range(a, b)], end_id)
+                one, first = tokens.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
                 ids.append(one)
                 begin.append(first[1:] + at)
                 at += len(one)
