@@ -1,4 +1,300 @@
-"""Registered queries of the districting operators and their SQL."""
+"""Registered queries over the driver's tables as a districting graph, with their SQL.
 
+Doubles are rounded to nine places on both sides. Chains are random walks: their queries score
+what the kernels return and have no SQL.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .functions import columns as C
+from .operators import scores as S
+from .sources import graphs as G
+
+PARTIES = {"d": "votes_d", "r": "votes_r"}
 QUERIES: dict = {}
-ORACLES: dict = {}
+ORACLES: dict[str, str] = {}
+
+BASE = """
+WITH RECURSIVE o AS (SELECT o_custkey, count(*) AS p, count(*) FILTER (o_orderstatus = 'F') AS d, count(*) FILTER (o_orderstatus = 'O') AS r, count(*) FILTER (o_orderstatus = 'P') AS x FROM orders GROUP BY 1),
+n0 AS (SELECT c_custkey AS node_id, c_custkey // 30 AS row, c_custkey % 30 AS col, CAST(coalesce(p, 0) AS BIGINT) AS population, CAST(coalesce(d, 0) AS BIGINT) AS votes_d, CAST(coalesce(r, 0) AS BIGINT) AS votes_r, c_nationkey AS county, c_mktsegment AS muni FROM customer LEFT JOIN o ON o_custkey = c_custkey),
+e AS (SELECT a.node_id AS src, b.node_id AS dst FROM n0 a JOIN n0 b ON b.node_id = a.node_id + 1 WHERE a.col < 29 UNION ALL SELECT a.node_id, b.node_id FROM n0 a JOIN n0 b ON b.node_id = a.node_id + 30),
+g AS (SELECT x AS node_id, count(*) AS degree FROM (SELECT src AS x FROM e UNION ALL SELECT dst FROM e) GROUP BY 1),
+n AS (SELECT n0.*, 4 - coalesce(degree, 0) AS bp FROM n0 LEFT JOIN g USING (node_id)),
+p AS (SELECT 'bands' || k AS plan_id, node_id, CAST(floor(k * row / (SELECT max(row) + 1 FROM n0)) AS INTEGER) AS part FROM n0, (SELECT unnest([5, 8]) AS k)),
+p5 AS (SELECT * FROM p WHERE plan_id = 'bands5'),
+f AS (SELECT event_id AS step, user_id * 10 + event_id % 10 AS node_id, CAST(CAST(floor(value) AS BIGINT) % 5 AS INTEGER) AS part FROM events),
+l AS (SELECT node_id, max_by(part, step) AS part FROM f GROUP BY 1),
+q AS (SELECT p5.plan_id, p5.node_id, coalesce(l.part, p5.part) AS part FROM p5 LEFT JOIN l USING (node_id)),
+c AS (SELECT a.plan_id, e.src, e.dst, a.part AS ps, b.part AS pd FROM e JOIN p a ON a.node_id = e.src JOIN p b ON b.node_id = e.dst AND b.plan_id = a.plan_id WHERE a.part <> b.part),
+cq AS (SELECT e.src, e.dst, a.part AS ps, b.part AS pd FROM e JOIN q a ON a.node_id = e.src JOIN q b ON b.node_id = e.dst WHERE a.part <> b.part),
+k AS (SELECT plan_id, unnest([ps, pd]) AS part, src, dst FROM c),
+t AS (SELECT plan_id, part, CAST(sum(population) AS BIGINT) AS population, CAST(sum(votes_d) AS BIGINT) AS votes_d, CAST(sum(votes_r) AS BIGINT) AS votes_r, count(*) AS area FROM p JOIN n USING (node_id) GROUP BY 1, 2),
+m AS (SELECT t.*, CAST(coalesce(x, 0) AS DOUBLE) AS exterior, CAST(coalesce(i, 0) AS DOUBLE) AS interior, CAST(coalesce(x, 0) + coalesce(i, 0) AS DOUBLE) AS perimeter FROM t LEFT JOIN (SELECT plan_id, part, sum(bp) AS x FROM p JOIN n USING (node_id) GROUP BY ALL) USING (plan_id, part) LEFT JOIN (SELECT plan_id, part, count(*) AS i FROM k GROUP BY ALL) USING (plan_id, part)),
+pp AS (SELECT *, 4 * pi() * area / (perimeter * perimeter) AS polsby_popper FROM m),
+v AS (SELECT plan_id, part, votes_d AS v1, votes_r AS v2, CAST(votes_d AS DOUBLE) / (votes_d + votes_r) AS share FROM t)
+"""
+
+
+def graph(spark: SparkSession, sf_dir: str):
+    nodes, edges = G.customers(spark, sf_dir)
+    return nodes, edges, G.bands(nodes, 5).unionAll(G.bands(nodes, 8))
+
+
+def flipped(spark: SparkSession, sf_dir: str, nodes: DataFrame) -> DataFrame:
+    return S.plan_at(G.bands(nodes, 5), G.flip_log(spark, sf_dir), 2**62)
+
+
+def nine(df: DataFrame) -> DataFrame:
+    return df.select(*[F.round(c, 9).alias(c) if t == "double" else F.col(c) for c, t in df.dtypes])
+
+
+def query(sql: str | None = None):
+    """Registers a function of (nodes, edges, plans, spark, sf_dir) under its name."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return nine(f(*graph(spark, sf_dir), spark, sf_dir))
+
+        QUERIES[f.__name__] = run
+        if sql:
+            ORACLES[f.__name__] = BASE + sql
+        return f
+
+    return add
+
+
+R = lambda *names: ", ".join(f"round({x}, 9) AS {x.split('.')[-1]}" for x in names)
+
+
+@query("SELECT plan_id, part, population, votes_d, votes_r FROM t")
+def tally_population(n, e, p, *_):
+    return S.tally(n, p, population="population", votes_d="votes_d", votes_r="votes_r")
+
+
+@query("SELECT plan_id, part, CAST(sum(votes_d + votes_r) AS BIGINT) AS votes FROM p JOIN n USING (node_id) GROUP BY ALL")
+def tally_fields(n, e, p, *_):
+    return S.tally(n, p, votes=["votes_d", "votes_r"])
+
+
+@query("SELECT plan_id, src, dst FROM c")
+def cut_edges(n, e, p, *_):
+    return S.cut_edges(e, p).select("plan_id", "src", "dst")
+
+
+@query("SELECT plan_id, part, count(*) AS cut_edges FROM k GROUP BY ALL")
+def cut_edges_by_part(n, e, p, *_):
+    return S.by_part(S.cut_edges(e, p)).groupBy("plan_id", "part").agg(F.count("*").alias("cut_edges"))
+
+
+@query("SELECT plan_id, part, exterior, interior, perimeter FROM m")
+def perimeter(n, e, p, *_):
+    return S.perimeters(n, e, p)
+
+
+@query(f"SELECT plan_id, part, CAST(area AS DOUBLE) AS area, perimeter, {R('polsby_popper')} FROM pp")
+def polsby_popper(n, e, p, *_):
+    return S.compact(n, e, p).select("plan_id", "part", "area", "perimeter", "polsby_popper")
+
+
+@query("SELECT plan_id, round(sum(polsby_popper), 9) AS l1, round(sqrt(sum(polsby_popper * polsby_popper)), 9) AS l2, round(count(*) / sum(1 / polsby_popper), 9) AS harmonic, round(sum(1 / polsby_popper), 9) AS l1_reciprocal FROM pp GROUP BY 1")
+def pp_norms(n, e, p, *_):
+    return S.norms(S.compact(n, e, p))
+
+
+@query("SELECT plan_id, part, population, round((population - avg(population) OVER w) / avg(population) OVER w, 9) AS deviation FROM t WINDOW w AS (PARTITION BY plan_id)")
+def population_deviation(n, e, p, *_):
+    return S.deviation(S.tally(n, p, population="population"))
+
+
+@query("SELECT plan_id, min(population) >= 100 AND max(population) <= 4000 AS valid FROM t GROUP BY 1")
+def bounds_check(n, e, p, *_):
+    return S.within_bounds(S.tally(n, p, population="population"), "population", 100, 4000)
+
+
+@query("SELECT plan_id, max(population) - min(population) <= 0.1 * min(population) AS valid FROM t GROUP BY 1")
+def tolerance_check(n, e, p, *_):
+    return S.within_tolerance(S.tally(n, p, population="population"))
+
+
+@query("SELECT plan_id, 'election' AS election, v.party_ord, v.party, v.votes, part, votes_d + votes_r AS total, round(CAST(v.votes AS DOUBLE) / (votes_d + votes_r), 9) AS share, v.votes > v.other AS won FROM (SELECT *, unnest([{'party_ord': 0, 'party': 'd', 'votes': votes_d, 'other': votes_r}, {'party_ord': 1, 'party': 'r', 'votes': votes_r, 'other': votes_d}]) AS v FROM t)")
+def election_results(n, e, p, *_):
+    return S.election(n, p, PARTIES)
+
+
+@query("SELECT plan_id, 'election' AS election, v.party AS party, count(*) FILTER (v.votes > v.other) AS seats, CAST(sum(v.votes) AS BIGINT) AS votes, round(CAST(sum(v.votes) AS DOUBLE) / sum(votes_d + votes_r), 9) AS share FROM (SELECT *, unnest([{'party': 'd', 'votes': votes_d, 'other': votes_r}, {'party': 'r', 'votes': votes_r, 'other': votes_d}]) AS v FROM t) GROUP BY 1, 3")
+def seats(n, e, p, *_):
+    return S.seats(S.election(n, p, PARTIES))
+
+
+@query("SELECT plan_id, part, CAST(CASE WHEN v1 > v2 THEN v1 - (v1 + v2) / 2.0 ELSE v1 END AS DOUBLE) AS wasted_d, CAST(CASE WHEN v1 > v2 THEN v2 ELSE v2 - (v1 + v2) / 2.0 END AS DOUBLE) AS wasted_r FROM v")
+def wasted_votes(n, e, p, *_):
+    a, b = S.wasted(F.col("v1"), F.col("v2"))
+    return S.two_party(S.election(n, p, PARTIES)).select("plan_id", "part", a.alias("wasted_d"), b.alias("wasted_r"))
+
+
+@query("""
+, z AS (SELECT *, avg(share) OVER (PARTITION BY plan_id) AS mean, sum(v1) OVER (PARTITION BY plan_id) / CAST(sum(v1 + v2) OVER (PARTITION BY plan_id) AS DOUBLE) AS overall, row_number() OVER (PARTITION BY plan_id ORDER BY share DESC) AS i, row_number() OVER (PARTITION BY plan_id ORDER BY share) AS j FROM v),
+y AS (SELECT a.plan_id, avg(abs((a.overall - a.share + 0.5) - (1 - (b.overall - b.share + 0.5)))) AS gini FROM z a JOIN z b ON a.plan_id = b.plan_id AND a.i = b.j GROUP BY 1)
+SELECT plan_id, 'election' AS election, round(median(share) - avg(share), 9) AS mean_median, round(list_sort(list(share))[CAST(round_even(count(*) / 3.0, 0) AS INTEGER) + 1] - avg(share), 9) AS mean_thirdian,
+ round(sum(CAST(CASE WHEN v1 > v2 THEN v2 - (v1 - (v1 + v2) / 2.0) ELSE v2 - (v1 + v2) / 2.0 - v1 END AS DOUBLE)) / sum(v1 + v2), 9) AS efficiency_gap, round(count(*) FILTER (share > mean) / CAST(count(*) AS DOUBLE) - 0.5, 9) AS partisan_bias, round(any_value(gini), 9) AS partisan_gini FROM z JOIN y USING (plan_id) GROUP BY 1""")
+def partisan_metrics(n, e, p, *_):
+    return S.partisan(S.election(n, p, PARTIES))
+
+
+@query("SELECT plan_id, county, count(DISTINCT part) AS n_parts, count(*) AS n_nodes, count(DISTINCT part) > 1 AS split FROM p JOIN n USING (node_id) GROUP BY ALL")
+def county_splits(n, e, p, *_):
+    return S.counties(n, p, "county").select("plan_id", "county", F.size("parts").cast("long").alias("n_parts"), "n_nodes", "split")
+
+
+@query("SELECT plan_id, count(DISTINCT CASE WHEN a.muni = b.muni THEN a.muni END) AS split_regions FROM c JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst GROUP BY 1")
+def region_splits(n, e, p, *_):
+    return S.region_splits(n, e, p, "muni")
+
+
+@query("""
+, x AS (SELECT plan_id, county, part, CAST(count(*) AS DOUBLE) AS n, CAST(sum(population) AS DOUBLE) AS p FROM p JOIN n USING (node_id) GROUP BY ALL),
+y AS (SELECT *, sum(n) OVER (PARTITION BY plan_id, county) AS nl, sum(n) OVER (PARTITION BY plan_id) AS al, sum(p) OVER (PARTITION BY plan_id, county) AS pl, sum(p) OVER (PARTITION BY plan_id, part) AS pd, count(*) OVER (PARTITION BY plan_id, county) AS k FROM x),
+b AS (SELECT plan_id, count(*) AS naked FROM c JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst WHERE a.county = b.county GROUP BY 1)
+SELECT y.plan_id, count(*) AS num_parts, round(sum(nl / al * n / nl * ln(nl / n)), 9) AS shannon_entropy, round(sum(pow(n / nl, 0.95) * al / nl) - sum(al / nl / k), 9) AS power_entropy, round(sum(sqrt(p * pd) + sqrt(p * pl)), 9) AS symmetric_entropy, count(DISTINCT CASE WHEN k > 1 THEN county END) AS num_split_localities, coalesce(any_value(naked), 0) AS naked_boundary FROM y LEFT JOIN b ON b.plan_id = y.plan_id GROUP BY 1""")
+def locality_scores(n, e, p, *_):
+    return S.localities(n, e, p, "county")
+
+
+@query("SELECT plan_id, county, CAST(ceil(sum(population) * k / CAST(sum(sum(population)) OVER (PARTITION BY plan_id) AS DOUBLE)) AS BIGINT) AS allowed_pieces FROM p JOIN n USING (node_id) JOIN (SELECT plan_id, count(DISTINCT part) AS k FROM p GROUP BY 1) USING (plan_id) GROUP BY plan_id, county, k")
+def allowed_pieces(n, e, p, *_):
+    return S.allowed_pieces(n, p, "county")
+
+
+REACH = """
+, s AS (SELECT a.part, e.src AS a, e.dst AS b FROM e JOIN q a ON a.node_id = src JOIN q b ON b.node_id = dst WHERE a.part = b.part), u AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), r AS (SELECT node_id AS a, node_id AS b FROM q UNION SELECT r.a, u.b FROM r JOIN u ON u.a = r.b),
+w AS (SELECT a AS node_id, min(b) AS component FROM r GROUP BY 1)
+"""
+
+
+@query(REACH + "SELECT q.part, node_id, component FROM w JOIN q USING (node_id)")
+def components(n, e, p, spark, sf):
+    return S.components(n, e, flipped(spark, sf, n)).select("part", "node_id", "component")
+
+
+@query(REACH + "SELECT count(*) FILTER (k = 1) AS contiguous_parts, count(*) AS parts, bool_and(k = 1) AS contiguous FROM (SELECT part, count(DISTINCT component) AS k FROM w JOIN q USING (node_id) GROUP BY 1)")
+def contiguous_parts(n, e, p, spark, sf):
+    return S.contiguity(S.components(n, e, flipped(spark, sf, n))).drop("plan_id")
+
+
+@query("SELECT node_id, part FROM q")
+def plan_at_step(n, e, p, spark, sf):
+    return flipped(spark, sf, n).select("node_id", "part")
+
+
+@query("SELECT node_id, unnest([a.part, b.part]) AS part, unnest(['out', 'in']) AS direction FROM p5 a JOIN q b USING (node_id) WHERE a.part <> b.part")
+def flows(n, e, p, spark, sf):
+    return S.flows(G.bands(n, 5), flipped(spark, sf, n)).drop("plan_id")
+
+
+CUTS = ", a AS (SELECT src, dst, unnest([ps, pd]) AS part FROM c WHERE plan_id = 'bands5'), b AS (SELECT src, dst, unnest([ps, pd]) AS part FROM cq)\n"
+
+
+@query(CUTS + "SELECT src, dst, part, 'out' AS direction FROM (SELECT * FROM a EXCEPT SELECT * FROM b) UNION ALL SELECT src, dst, part, 'in' FROM (SELECT * FROM b EXCEPT SELECT * FROM a)")
+def edge_flows(n, e, p, spark, sf):
+    return S.edge_flows(e, G.bands(n, 5), flipped(spark, sf, n)).drop("plan_id")
+
+
+@query(CUTS + "SELECT src, dst, 'new' AS change FROM (SELECT src, dst FROM b EXCEPT SELECT src, dst FROM a) UNION ALL SELECT src, dst, 'obsolete' FROM (SELECT src, dst FROM a EXCEPT SELECT src, dst FROM b)")
+def incremental_cut_edges(n, e, p, spark, sf):
+    return S.changed_cuts(e, G.bands(n, 5), flipped(spark, sf, n)).drop("plan_id")
+
+
+@query("SELECT event_id AS step, user_id AS chain, value, max(value) OVER w AS best FROM events WINDOW w AS (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING)")
+def running_best(n, e, p, spark, sf):
+    ev = spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("step"), "value")
+    return S.running_best(ev, "value").select("step", F.col("plan_id").alias("chain"), "value", "best")
+
+
+@query("SELECT plan_id, unnest([src, dst]) AS node_id, unnest([pd, ps]) AS part FROM c")
+def metagraph_flips(n, e, p, *_):
+    return S.metagraph_flips(e, p)
+
+
+@query("SELECT plan_id, 2 * count(*) AS degree FROM c GROUP BY 1")
+def metagraph_degree(n, e, p, *_):
+    return S.metagraph_flips(e, p).groupBy("plan_id").agg(F.count("*").alias("degree"))
+
+
+@query("SELECT n.node_id, coalesce(degree, 0) AS degree FROM n LEFT JOIN g USING (node_id)")
+def degrees(n, e, *_):
+    return G.degrees(n, e)
+
+
+@query("SELECT node_id FROM n WHERE bp = 4")
+def islands(n, e, *_):
+    return G.islands(n, e).select("node_id")
+
+
+@query("SELECT node_id, n_name AS nation FROM n JOIN nation ON n_nationkey = county")
+def graph_join(n, e, p, spark, sf):
+    nation = spark.read.parquet(f"{sf}/nation.parquet").select("n_nationkey", F.col("n_name").alias("nation"))
+    return G.join_table(n, nation, "county", "n_nationkey").select("node_id", "nation")
+
+
+def _squares(n: DataFrame) -> DataFrame:
+    at = lambda dx, dy: F.struct((F.col("col") + dx).cast("double").alias("x"), (F.col("row") + dy).cast("double").alias("y"))
+    return n.select("node_id", F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).alias("ring"))
+
+
+@query("SELECT src, dst, CAST(1 AS DOUBLE) AS shared_perim FROM e")
+def rook_edges(n, *_):
+    return G.adjacency(_squares(n))
+
+
+@query("SELECT src, dst, CAST(1 AS DOUBLE) AS shared_perim FROM e UNION ALL SELECT a.node_id, b.node_id, 0 FROM n a JOIN n b ON b.row = a.row + 1 AND abs(b.col - a.col) = 1")
+def queen_edges(n, *_):
+    return G.adjacency(_squares(n), queen=True)
+
+
+@query("SELECT node_id, CAST(4 AS DOUBLE) AS perimeter, CAST(bp AS DOUBLE) AS boundary_perim FROM n")
+def boundary_perims(n, *_):
+    s = _squares(n)
+    return G.boundary_perimeters(s, G.adjacency(s)).drop("boundary_node")
+
+
+@query("SELECT plan_id, count(*) FILTER (share >= 0.5) AS n_districts FROM v GROUP BY 1")
+def opportunity_districts(n, e, p, *_):
+    d = S.two_party(S.election(n, p, PARTIES))
+    return d.groupBy("plan_id").agg(C.opportunity(F.col("share"), 0.5)["n_districts"].alias("n_districts"))
+
+
+@query("SELECT x AS step, CAST(CASE WHEN x % 30 < 10 THEN 0 ELSE 1 END AS DOUBLE) AS jump, round(CASE WHEN x % 50 < 10 THEN 0 WHEN x % 50 < 20 THEN (x % 50 - 10) / 10.0 WHEN x % 50 < 40 THEN 1 ELSE 1 - (x % 50 - 40) / 10.0 END, 9)::DOUBLE AS linear FROM (SELECT unnest(range(0, 200)) AS x)")
+def beta_schedules(n, e, p, spark, sf):
+    s = F.col("id")
+    return spark.range(200).select(s.alias("step"), C.jump_cycle(s, 10, 20).alias("jump"), C.linear_cycle(s, 10, 10, 20).alias("linear"))
+
+
+@query()
+def chain_scores(n, e, p, spark, sf):
+    """Four recombination chains on a lattice, scored as an ensemble."""
+    from .plans import ensemble
+
+    nodes, edges = G.lattice(spark, 10, 10)
+    flips = ensemble.run_chains(nodes, edges, G.quadrants(nodes, 10, 10), n_chains=4, steps=40, proposal="recom", epsilon=0.2)
+    return ensemble.scored(nodes, edges, flips, G.quadrants(nodes, 10, 10))
+
+
+@query()
+def short_bursts_best(n, e, p, spark, sf):
+    from .plans import ensemble
+
+    nodes, edges = G.lattice(spark, 8, 8)
+    return ensemble.optimize(nodes, edges, G.quadrants(nodes, 8, 8), mode="short_bursts", n_chains=4, steps=60, epsilon=0.2)
+
+
+@query()
+def diversity_stats(n, e, p, spark, sf):
+    from .plans import ensemble
+
+    nodes, edges = G.lattice(spark, 6, 6)
+    start = G.quadrants(nodes, 6, 6)
+    flips = ensemble.run_chains(nodes, edges, start, n_chains=2, steps=20, proposal="flip", epsilon=0.5)
+    return S.diversity(ensemble.plans_of(flips, start), edges)
