@@ -288,7 +288,7 @@ def decode_frames(data: bytes, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
         out[j, w] = _signed(bits.take(p[w] + 8 * j, 8), 8)
     p = p + 8 * order
     taps, shift = np.zeros((top, len(n)), np.int64), np.zeros(len(n), np.int64)
-    for o in range(1, 5):
+    for o in range(1, min(4, top) + 1):
         w = fixed & (order == o)
         for j, c in enumerate(FIXED[o]):
             taps[j, w] = c

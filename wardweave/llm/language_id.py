@@ -136,7 +136,8 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
-    """docs with the predicted language and its posterior."""
+    """docs with the predicted language and its posterior, in place of columns of these names."""
+    docs = docs.drop(lang, score)
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index("text")
     names = [*docs.columns, lang, score]
