@@ -119,7 +119,7 @@ def _requests(n: int, depth: int):
                 b = _bucket(kind, t.keys, n)
                 order = np.argsort(b, kind="stable")
                 cut = np.searchsorted(b[order], np.arange(n + 1))
-                rows = [(t.keys[o].tobytes(), t.counts[o].astype(np.uint32).tobytes()) for o in (order[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True))]
+                rows = [(pack_array(t.keys[o]), pack_array(t.counts[o].astype(np.uint32))) for o in (order[x:y] for x, y in zip(cut[:-1], cut[1:], strict=True))]
                 yield pa.RecordBatch.from_arrays(
                     [pa.array([kind] * n, pa.int32()), pa.array(range(n), pa.int32()), pa.array([chunk] * n, pa.int64()), pa.array([r[0] for r in rows], pa.binary()), pa.array([r[1] for r in rows], pa.binary())],
                     names=["kind", "bucket", "chunk", "keys", "counts"],
@@ -254,12 +254,26 @@ def log_probabilities(keys: np.ndarray, counts: np.ndarray, upper: Upper, depth:
 # ------------------------------------------------------------------------ Spark's stages
 
 
+def pack_array(a: np.ndarray) -> bytes:
+    """Length, then the bytes by place value, so that what sorted keys share is pressed out."""
+    planes = np.ascontiguousarray(a).view(np.uint8).reshape(-1, a.itemsize).T.tobytes()
+    return len(a).to_bytes(4, "little") + (pa.compress(planes, codec="zstd", asbytes=True) if planes else b"")
+
+
+def unpack_array(data: bytes, kind) -> np.ndarray:
+    n, size = int.from_bytes(data[:4], "little"), np.dtype(kind).itemsize
+    if not n:
+        return np.zeros(0, kind)
+    planes = pa.decompress(data[4:], decompressed_size=n * size, codec="zstd", asbytes=True)
+    return np.ascontiguousarray(np.frombuffer(planes, np.uint8).reshape(size, n).T).view(kind).ravel()
+
+
 def _keys(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint64) for x in column.to_pylist()]
+    return [unpack_array(x, np.uint64) for x in column.to_pylist()]
 
 
 def _counts(column) -> list[np.ndarray]:
-    return [np.frombuffer(x, np.uint32).astype(np.int64) for x in column.to_pylist()]
+    return [unpack_array(x, np.uint32).astype(np.int64) for x in column.to_pylist()]
 
 
 def _roots(depth: int):
@@ -290,7 +304,8 @@ def _answers(depth: int, upper):
             value = log_probabilities(keys, counts, upper.value, depth) if len(keys) else np.zeros(0)
         else:
             value = counts.astype(np.float64)
-        values = [value[np.searchsorted(keys, a)].tobytes() for a in asked]
+        kept = np.float32 if kind == GRAMS else np.uint32
+        values = [pack_array(value[np.searchsorted(keys, a)].astype(kept)) for a in asked]
         n = len(asked)
         distinct, total = (int((counts > 0).sum()), int(counts.sum())) if kind == WORDS else (0, 0)
         return pa.table({"kind": pa.array([kind] * n, pa.int32()), "chunk": t["chunk"], "keys": t["keys"], "values": pa.array(values, pa.binary()), "distinct": pa.array([distinct] * n, pa.int64()), "total": pa.array([total] * n, pa.int64())})
@@ -329,7 +344,7 @@ def _scores(depth: int):
         for k in (WORDS, GRAMS):
             mine = answers.filter(pa.array(kind == k))
             keys = np.concatenate([*_keys(mine["keys"]), np.zeros(0, np.uint64)])
-            values = np.concatenate([*(np.frombuffer(x) for x in mine["values"].to_pylist()), np.zeros(0)])
+            values = np.concatenate([*(unpack_array(x, np.float32 if k == GRAMS else np.uint32).astype(np.float64) for x in mine["values"].to_pylist()), np.zeros(0)])
             keys, at = np.unique(keys, return_index=True)
             look.append(Lookup(keys, values[at]))
         # a chunk gets one row of each bucket for each time it asked: count each bucket once
