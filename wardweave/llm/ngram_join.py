@@ -1,19 +1,20 @@
 """N-gram Jaccard join: prefix-tree join of word-shingle sets, exact, to connected components.
 
 A set is its distinct 64-bit shingle hashes in ascending order, the same order for all sets.
-Sets with at least `T` of 100 parts in common share tokens among their first ones: if x has n
-and at least a = ceil(T n / 100) of them must be shared, the first l common tokens lie within
-the first n - a + l of x, and of y alike. Hence, without losing a link:
+A set of n shares at least a = ceil(T n / 100) with any that it links with. Hence, exactly:
 
 1. equal sets are one class, known by a fingerprint (`profile`);
-2. each class sends its first n - a + l tokens, l = 1 + n // 8, 32 bits of each, to token
-   buckets, where a token is live if another class of fitting size has it; a class with fewer
-   live tokens than its smallest possible partner's l links with nothing (`_prefixes`, `_live`);
-3. the others meet in blocks, first by their two least live tokens, then, for what is still in
-   different components, by all of them. A block puts its sets into a prefix tree, walks it
-   with each set, shares overlaps along common paths, and prunes subtrees whose remaining
-   lengths cannot reach the threshold or that are in the set's component already (`TokenTrie`).
-   Exact counts decide; a block gives a spanning forest of its links, never all pairs.
+2. each class sends its tokens, 32 bits of each, to token buckets, where a token is live if
+   another class of fitting size has it; a class with fewer than a live tokens links with
+   nothing (`_tokens`, `_live`);
+3. of the others each keeps the first c - a + 1 of its c live tokens, which two that link must
+   have one of; what is connected by those is a cluster. A cluster of at most BLOCK sets is a
+   block. Sets of larger ones meet first by their two least tokens, then, if they are still in
+   different components, by tokens again (`_first_wave`, `_second_wave`). A block puts its sets
+   into a prefix tree, walks it with each set, shares overlaps along common paths, and prunes
+   subtrees whose remaining lengths cannot reach the threshold or that are in the set's
+   component already (`TokenTrie`). Exact counts decide; a block gives a spanning forest of its
+   links, never all pairs.
 
 Blocks of popular tokens are split into chunks: in the first wave each with the token's least
 class, in the second all pairs of chunks. Bits that tokens lack can only cause extra checks.
@@ -29,12 +30,13 @@ from __future__ import annotations
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import flat, materialize, mix64, parallelism, slices, table, word_hashes, words
 
 N, T = 5, 75
-BUCKET_BYTES, CHUNK = 32 << 20, 512
+BUCKET_BYTES, BLOCK, CHUNK = 24 << 20, 1024, 512
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -99,11 +101,12 @@ def least_shared(n):
     return (T * n + 99) // 100
 
 
-def share(n):
-    return 1 + n // 8
+def _need(n: str = "n"):
+    """The same as a column."""
+    return F.floor((F.lit(T) * F.col(n) + 99) / 100)
 
 
-def _prefixes(n_buckets: int):
+def _tokens(n_buckets: int):
     def run(batches):
         for _, tokens, bounds, fp in _sets(batches, 0):
             n = np.diff(bounds)
@@ -112,9 +115,8 @@ def _prefixes(n_buckets: int):
             if not len(first):
                 continue
             n, start, fp = n[first], bounds[:-1][first], fp[first]
-            take = np.minimum(n, n - least_shared(n) + share(n))
-            doc = np.repeat(np.arange(len(n)), take)
-            tok = tokens[np.repeat(start - (np.cumsum(take) - take), take) + np.arange(take.sum())]
+            doc = np.repeat(np.arange(len(n)), n)
+            tok = tokens[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
             bucket = ((tok >> np.uint64(32)) & np.uint64(0xFFFFFF)).astype(np.int64) % n_buckets
             key = bucket * len(n) + doc
             order = np.argsort(key, kind="stable")
@@ -143,12 +145,12 @@ def _live(t: pa.Table) -> pa.Table:
     tok, doc = key >> np.uint64(32), by_size[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
     near = (tok[1:] == tok[:-1]) & (100 * n[doc[:-1]] >= T * n[doc[1:]])
     live = np.r_[False, near] | np.r_[near, False]
-    tok, doc = tok[live].astype(np.int64) | bucket << 32, doc[live]
+    tok, doc = tok[live].astype(np.uint32).view(np.int32), doc[live]
     order = np.argsort(doc, kind="stable")
     tok, doc = tok[order], doc[order]
     first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
     lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(tok))
-    return pa.table({"fp": own[doc[first]], "n": n[doc[first]], "toks": lists})
+    return pa.table({"bucket": pa.array(np.full(len(first), bucket, np.int32)), "fp": own[doc[first]], "n": n[doc[first]], "toks": lists})
 
 
 # --------------------------------------------------------------------------- prefix tree
@@ -176,10 +178,10 @@ class Union:
 
 
 class _Node:
-    __slots__ = ("part", "below", "ends", "least", "most", "one", "mixed")
+    __slots__ = ("part", "weights", "below", "ends", "least", "most", "one", "mixed")
 
-    def __init__(self, part: np.ndarray):
-        self.part, self.below, self.ends = part, {}, []
+    def __init__(self, part: np.ndarray, weights: np.ndarray):
+        self.part, self.weights, self.below, self.ends = part, weights, {}, []
         self.least, self.most, self.one, self.mixed = 1 << 60, 0, None, False
 
     def note(self, n: int, name, union: Union) -> None:
@@ -191,39 +193,41 @@ class _Node:
 
 
 class TokenTrie:
-    """Sets as paths of ascending tokens, in stretches of at most `STRETCH`."""
+    """Sets as paths of ascending tokens, in stretches of at most `STRETCH`. A token may stand for
+    several, by its weight; a set's size counts all of its tokens, whether listed or not."""
 
     STRETCH = 64
 
     def __init__(self, union: Union):
-        self.union, self.root = union, _Node(np.zeros(0, np.uint64))
+        self.union, self.root = union, _Node(np.zeros(0, np.uint64), np.zeros(0, np.int64))
 
-    def add(self, name, s: np.ndarray) -> None:
+    def add(self, name, s: np.ndarray, w: np.ndarray, n: int) -> None:
         node, at = self.root, 0
         while True:
-            node.note(len(s), name, self.union)
+            node.note(n, name, self.union)
             if at == len(s):
-                node.ends.append((name, len(s)))
+                node.ends.append((name, n))
                 return
             child = node.below.get(s[at])
             if child is None:
-                child = node.below[s[at]] = _Node(s[at : at + self.STRETCH])
+                child = node.below[s[at]] = _Node(s[at : at + self.STRETCH], w[at : at + self.STRETCH])
             part = child.part
             k = min(len(part), len(s) - at)
             off = np.flatnonzero(part[:k] != s[at : at + k])
             k = int(off[0]) if len(off) else k
             if k < len(part):  # part ways here
-                upper = _Node(part[:k])
+                upper = _Node(part[:k], child.weights[:k])
                 upper.least, upper.most, upper.one, upper.mixed = child.least, child.most, child.one, child.mixed
                 upper.below[part[k]] = child
                 node.below[s[at]] = upper
-                child.part = part[k:]
+                child.part, child.weights = part[k:], child.weights[k:]
                 child = upper
             node, at = child, at + k
 
-    def links(self, name, s: np.ndarray):
+    def links(self, name, s: np.ndarray, w: np.ndarray, n: int):
         """Names of sets that link with s, one at least of each component that does."""
-        union, n = self.union, len(s)
+        union, last = self.union, len(s) - 1
+        rest = np.concatenate((np.cumsum(w[::-1])[::-1], [0]))  # weight from each place on
         stack = [(self.root, 0, 0)]
         while stack:
             node, shared, depth = stack.pop()
@@ -233,31 +237,32 @@ class TokenTrie:
             for child in node.below.values():
                 if 100 * child.most < T * n or 100 * n < T * child.least or not child.mixed and union.find(child.one) == union.find(name):
                     continue
-                part = child.part
-                at = np.searchsorted(s, part)
-                both = shared + int(np.count_nonzero(s[np.minimum(at, n - 1)] == part))
-                rest = n - int(at[-1]) - int(at[-1] < n and s[min(at[-1], n - 1)] == part[-1])
-                deep = depth + len(part)
-                best = both + min(rest, child.most - deep)
+                at = np.searchsorted(s, child.part)
+                same = s[np.minimum(at, last)] == child.part
+                both = shared + int(child.weights[same].sum())
+                deep = depth + int(child.weights.sum())
+                best = both + min(int(rest[at[-1] + same[-1]]), child.most - deep)
                 if (100 + T) * best >= T * (n + max(child.least, deep)):
                     stack.append((child, both, deep))
 
 
-def link_block(names: list, sets: list[np.ndarray], components: list | None = None) -> list[tuple]:
-    """A spanning forest of the links among the sets, beyond what the components have joined."""
+def link_block(names: list, sets: list[tuple[np.ndarray, np.ndarray, int]], components: list | None = None) -> list[tuple]:
+    """A spanning forest of the links among sets (tokens, weights, size), beyond what the
+    components have joined."""
     union = Union()
     for name, c in zip(names, components or (), strict=False):
         if c is not None:
             union.join(name, c)
     trie, out = TokenTrie(union), []
-    for i in sorted(range(len(names)), key=lambda i: len(sets[i])):
-        out += [(names[i], other) for other in trie.links(names[i], sets[i])]
-        trie.add(names[i], sets[i])
+    for i in sorted(range(len(names)), key=lambda i: sets[i][2]):
+        if len(sets[i][0]):
+            out += [(names[i], other) for other in trie.links(names[i], *sets[i])]
+            trie.add(names[i], *sets[i])
     return out
 
 
 def _blocks(batches):
-    """Rows (key, i, j, fp, comp, set), sorted by block: links of each block."""
+    """Rows (key, i, j, fp, comp, n, set, weights), sorted by block: links of each block."""
     key, names, comps, sets, out = None, [], [], [], []
 
     def flush():
@@ -270,14 +275,15 @@ def _blocks(batches):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for *k, fp, comp, s in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for *k, fp, comp, n, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if k != key:
                 flush()
                 key, names, comps, sets = k, [], [], []
             if not names or names[-1] != fp:
                 names.append(fp)
                 comps.append(comp)
-                sets.append(np.frombuffer(s, np.uint64))
+                s = np.frombuffer(s, np.uint64)
+                sets.append((s, np.ones(len(s), np.int64) if w is None else np.array(w, np.int64), n or len(s)))
         yield rows()
     flush()
     yield rows()
@@ -285,7 +291,7 @@ def _blocks(batches):
 
 def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
     """Links of blocks (key, i, j, fp, comp)."""
-    b = blocks.join(sets, "fp").select("key", "i", "j", "fp", "comp", "set")
+    b = blocks.join(sets, "fp").select("key", "i", "j", "fp", "comp", "n", "set", "weights")
     return b.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(_blocks, "a long, b long")
 
 
@@ -326,20 +332,19 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = parallelism(spark, size, BUCKET_BYTES)
     classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    live = docs.select("text").mapInArrow(_prefixes(n), "bucket int, fp binary, n binary, count binary, tok binary").groupBy("bucket").applyInArrow(_live, "fp long, n long, toks array<long>")
-    need = 1 + F.floor(F.floor((F.lit(T) * F.col("n") + 99) / 100) / 8)
-    left = materialize(live.groupBy("fp", "n").agg(F.array_sort(F.flatten(F.collect_list("toks"))).alias("toks")).filter(F.size("toks") >= need), "survivors")
-    links = None
+    sent = docs.select("text").mapInArrow(_tokens(n), "bucket int, fp binary, n binary, count binary, tok binary")
+    live = materialize(sent.groupBy("bucket").applyInArrow(_live, "bucket int, fp long, n long, toks array<int>"), "live")
+    enough = live.groupBy("fp", "n").agg(F.sum(F.size("toks")).alias("c")).filter(F.col("c") >= _need()).select("fp")
+    whole = F.transform("toks", lambda t: F.shiftleft(F.col("bucket").cast("long"), 32) + t.cast("long").bitwiseAND(0xFFFFFFFF))
+    left = live.join(enough, "fp", "left_semi").groupBy("fp", "n").agg(F.array_sort(F.flatten(F.collect_list(whole))).alias("toks"))
+    left = materialize(left, "survivors")
     names = None
     if not left.isEmpty():
         want = left.select("fp").join(classes, "fp").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
         texts = docs.join(want, docs["doc_id"].eqNullSafe(want["_rep"])).select("_fp", "text")
-        sets = materialize(texts.mapInArrow(_survivor_sets, "fp long, set binary").dropDuplicates(["fp"]), "sets")
-        links = materialize(_first_wave(left, sets), "links")
-        names = components(links)
-        more = _second_wave(left, sets, names)
-        if more is not None:
-            names = components(links.union(more))
+        sets = texts.mapInArrow(_survivor_sets, "fp long, set binary").dropDuplicates(["fp"])
+        sets = materialize(sets.withColumns({"n": F.lit(None).cast("long"), "weights": F.lit(None).cast("array<long>")}), "sets")
+        names = components(_verify(left, sets))
     out = classes
     if names is not None:
         joined = classes.join(names, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
@@ -350,6 +355,32 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return base.join(out, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
+def _verify(left: DataFrame, sets: DataFrame) -> DataFrame:
+    """The links among all survivors, up to what components need."""
+    rows = left.select("fp", F.explode(F.slice("toks", F.lit(1), (F.size("toks") - _need() + 1).cast("int"))).alias("key"))
+    small, large = _clusters(rows)
+    links = materialize(_links(small.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(None).cast("long").alias("comp")), sets), "links")
+    if large is None:
+        return links
+    rest = materialize(left.join(large, "fp", "left_semi"), "large")
+    first = materialize(_first_wave(rest, sets), "links")
+    more = _second_wave(rest, sets, components(first))
+    links = links.union(first)
+    return links if more is None else links.union(more)
+
+
+def _clusters(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
+    """What tokens connect in rows (key, fp): (fp, key) of clusters of at most BLOCK sets, known by
+    their least; the sets of larger ones, None if there are none."""
+    heads = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("head")).filter("m > 1").select("key", "head")
+    stars = rows.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    clusters = components(stars).select("fp", F.col("comp").alias("key"))
+    sizes = materialize(clusters.groupBy("key").agg(F.count("*").alias("m")), "clusters")
+    small = clusters.join(sizes.filter(F.col("m") <= BLOCK), "key").select("fp", "key")
+    large = sizes.filter(F.col("m") > BLOCK)
+    return small, None if large.isEmpty() else clusters.join(large, "key").select("fp")
+
+
 def _first_wave(left: DataFrame, sets: DataFrame) -> DataFrame:
     rows = left.select("fp", F.explode(F.slice("toks", 1, 2)).alias("key"))
     groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("head")).filter("m > 1")
@@ -362,24 +393,32 @@ def _first_wave(left: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _second_wave(left: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame | None:
     """Links of what shares tokens across components; None if nothing does enough to link."""
-    rows = left.select("fp", "n", F.explode("toks").alias("key")).join(names, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
-    need = 1 + F.floor(F.floor((F.lit(T) * F.col("n") + 99) / 100) / 8)
+    rows = left.select("fp", "n", F.explode("toks").alias("key")).join(names, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).withColumn("w", F.lit(1).cast("long"))
+    order = W.partitionBy("fp").orderBy("m", "key")
     for _ in range(2):
-        apart = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi").select("key")
-        rows = rows.join(apart, "key", "left_semi")
-        enough = rows.groupBy("fp", "n").agg(F.count("*").alias("c")).filter(F.col("c") >= need).select("fp")
-        rows = rows.join(enough, "fp", "left_semi")
-    rows = materialize(rows, "apart")
+        groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("w").alias("w"))
+        # tokens of the same sets are one, with their number as weight
+        groups = groups.filter("lo <> hi").groupBy("m", "who").agg(F.min("key").alias("key"), F.sum("w").alias("w")).select("key", "m", "w")
+        rows = rows.select("fp", "n", "key", "comp").join(groups, "key").withColumn("c", F.sum("w").over(W.partitionBy("fp")))
+        # what two that link share weighs at least `_need`: what can be left out of each weighs less
+        before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+        rows = materialize(rows.withColumn("before", before).filter(F.col("c") >= _need()).select("fp", "n", "key", "comp", "m", "w", "c", "before"), "apart")
     if rows.isEmpty():
         return None
-    groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"))
-    groups = groups.filter("lo <> hi").groupBy("m", "who").agg(F.min("key").alias("key"))  # tokens of the same sets: one block
+    rows = materialize(rows.filter(F.col("before") <= F.col("c") - _need()), "rare")
+    small, large = _clusters(rows)
+    near = small.join(names, "fp", "left").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.coalesce("comp", "fp").alias("comp"))
+    links = materialize(_links(near, sets), "links")
+    if large is None:
+        return links
+    rows = rows.join(large, "fp", "left_semi")
+    groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
     groups = groups.select("key", F.ceil(F.col("m") * 2 / CHUNK).cast("int").alias("chunks"))
     mine = rows.join(groups, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.when(F.col("chunks") > 2, F.col("chunks")).otherwise(F.lit(1))).cast("int"))
     other = F.explode(F.when(F.col("chunks") > 2, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0))))
     mine = mine.withColumn("o", other)
     blocks = mine.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", "comp")
-    return materialize(_links(blocks, sets), "links")
+    return links.union(materialize(_links(blocks, sets), "links"))
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
