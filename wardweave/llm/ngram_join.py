@@ -333,11 +333,11 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     n = parallelism(spark, size, BUCKET_BYTES)
     classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
     sent = docs.select("text").mapInArrow(_tokens(n), "bucket int, fp binary, n binary, count binary, tok binary")
-    live = materialize(sent.groupBy("bucket").applyInArrow(_live, "bucket int, fp long, n long, toks array<int>"), "live")
-    enough = live.groupBy("fp", "n").agg(F.sum(F.size("toks")).alias("c")).filter(F.col("c") >= _need()).select("fp")
+    live = sent.groupBy("bucket").applyInArrow(_live, "bucket int, fp long, n long, toks array<int>")
     whole = F.transform("toks", lambda t: F.shiftleft(F.col("bucket").cast("long"), 32) + t.cast("long").bitwiseAND(0xFFFFFFFF))
-    left = live.join(enough, "fp", "left_semi").groupBy("fp", "n").agg(F.array_sort(F.flatten(F.collect_list(whole))).alias("toks"))
-    left = materialize(left, "survivors")
+    # a class's tokens, of as many buckets as there are, meet once; no row is joined back to its buckets
+    left = live.groupBy("fp", "n").agg(F.flatten(F.collect_list(whole)).alias("toks")).filter(F.size("toks") >= _need())
+    left = materialize(left.withColumn("toks", F.sort_array("toks")), "survivors")
     names = None
     if not left.isEmpty():
         want = left.select("fp").join(classes, "fp").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
