@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, flat, slices, table, text_of, word_hashes, words
+from .common import WORD, flat, materialize, slices, table, text_of, word_hashes, words
 
 MAX_DOCS, MAX_WORDS, BITS, ROUNDS, LEAST = 8192, 4_000_000, 18, 150, 0.5
 
@@ -34,11 +34,13 @@ def votes(text: Column) -> list[Column]:
     n = F.regexp_count(text, F.lit(WORD)).cast("double")
     chars = F.greatest(F.length(text), F.lit(1)).cast("double")
     ratio = lambda pattern: F.regexp_count(text, F.lit(pattern)) / chars
+    # where most characters are of a class, taking out the others makes fewer matches
+    many = lambda others: F.length(F.regexp_replace(text, others, ""))
     lines = F.regexp_count(text, F.lit(r"\n")) + 1.0
     distinct = F.size(F.array_distinct(F.split(text, "\n"))).cast("double")
-    letters, symbols, pipes = ratio(r"[\p{L}]"), F.regexp_count(text, F.lit(r"[#*$%&<>]")), F.regexp_count(text, F.lit(r"(?m)\||^\x20*[-*•]"))
+    letters, symbols, pipes = many(r"\P{L}+") / chars, F.regexp_count(text, F.lit(r"[#*$%&<>]")), F.regexp_count(text, F.lit(r"(?m)\||^\x20*[-*•]"))
     short = F.regexp_count(text, F.lit(r"(?<![^\x20\x09-\x0D])[^\x20\x09-\x0D]{1,3}(?![^\x20\x09-\x0D])")) / F.greatest(n, F.lit(1.0))
-    length = F.regexp_count(text, F.lit(r"[^\x20\x09-\x0D]")) / F.greatest(n, F.lit(1.0))
+    length = many(r"[\x20\x09-\x0D]+") / F.greatest(n, F.lit(1.0))
     return [
         _vote(n >= 50, n < 20),
         _vote(symbols <= 0.01 * n, symbols > 0.1 * n),
@@ -123,21 +125,35 @@ def train(rows: list[tuple[float, np.ndarray]], rounds: int = ROUNDS) -> tuple[n
     return w, float(bias)
 
 
+def voted(docs: DataFrame) -> DataFrame:
+    """(doc_id, p, text): each row's pattern of votes beside its text."""
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), pattern(text_of()).alias("p"), text_of().alias("text"))
+
+
 def fit(docs: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     """Posteriors by pattern, weights and bias."""
-    t = docs.select("doc_id", text_of().alias("text"))
-    seen = t.groupBy(pattern(F.col("text")).alias("p")).agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
+    return fit_voted(materialize(voted(docs), "votes"))
+
+
+def fit_voted(t: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
+    """The same, from rows of `voted`."""
+    seen = t.groupBy("p").agg(F.count("*").alias("n"), F.sum(F.octet_length("text")).alias("bytes")).collect()
     prob = estimate(np.array([r["p"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.float64))
     n, size = sum(r["n"] for r in seen), sum(r["bytes"] for r in seen)
     rate = min(1.0, MAX_DOCS / max(1, n), MAX_WORDS * 6 / max(1, size))
     sample = t if rate == 1 else t.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(2**63 * rate))
-    rows = sample.select(pattern(F.col("text")).alias("p"), "text").mapInArrow(_features, "p int, h binary").collect()
+    rows = sample.select("p", "text").mapInArrow(_features, "p int, h binary").collect()
     return prob, *train([(float(prob[r["p"]]), np.frombuffer(r["h"], np.uint32)) for r in rows])
 
 
 def score(docs: DataFrame, model) -> DataFrame:
     """(doc_id, p_weak, score) for each row."""
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    return score_voted(voted(docs), model)
+
+
+def score_voted(t: DataFrame, model) -> DataFrame:
+    """The same, from rows of `voted`."""
+    shared = t.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         prob, w, bias = shared.value
@@ -153,10 +169,10 @@ def score(docs: DataFrame, model) -> DataFrame:
                 out[x:y] = np.where(counts > 0, 1 / (1 + np.exp(-np.clip(mean + bias, -50, 50))), weak[x:y])
             yield pa.RecordBatch.from_arrays([b.column(0), pa.array(weak), pa.array(out)], names=["doc_id", "p_weak", "score"])
 
-    t = docs.select(docs["doc_id"].cast("long").alias("doc_id"), pattern(text_of()).alias("p"), text_of().alias("text"))
     return t.mapInArrow(run, "doc_id long, p_weak double, score double")
 
 
 def op4_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return score(docs, fit(docs)).withColumn("kept", F.col("score") >= LEAST)
+    t = materialize(voted(docs), "votes")  # patterns are matched once, then read three times
+    return score_voted(t, fit_voted(t)).withColumn("kept", F.col("score") >= LEAST)
