@@ -18,27 +18,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import WORD, table, text_of
+from .common import WORD, materialize, table, text_of
 
 WINDOW, COMMON = 8, 16
 MIN_CHARS, MIN_WORDS, MOST_CHARS, MOST_WORDS = 200, 50, 0.34, 0.42
-#: Classes of characters, by patterns that do not overlap; anything else is one more class.
-CLASSES = (r"[a-z]", r"[A-Z]", r"[0-9]", r"[\x20\x09-\x0D]", r"[#*$%&|<>]", r"[.,;:!?'\"()-]")
-BLANK = r"[\x20\x09-\x0D]+"
+#: Classes of characters, by members that do not overlap; anything else is one more class.
+CLASSES = (r"a-z", r"A-Z", r"0-9", r"\x20\x09-\x0D", r"#*$%\x26|<>", r".,;:!?'\"()-")
 ALL = "*"
 
 
 def histogram(text: Column) -> Column:
     """Code points by class, an array of long."""
-    counts = [F.regexp_count(text, F.lit(c)).cast("long") for c in CLASSES]
-    rest = F.length(text).cast("long")
-    for c in counts:
-        rest = rest - c
-    return F.array(*counts, rest)
+    # small letters, which most characters are, are what the other counts leave
+    some = [F.regexp_count(text, F.lit(f"[{c}]")).cast("long") for c in CLASSES[1:]]
+    some.append(F.regexp_count(text, F.lit(f"[^{''.join(CLASSES)}]")).cast("long"))
+    some = F.array(F.length(text).cast("long"), *some)
+    return F.get(F.transform(F.array(some), lambda c: F.concat(F.array(2 * F.get(c, 0) - F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)), F.slice(c, 2, len(CLASSES)))), 0)
 
 
 def word_array(text: Column) -> Column:
-    return F.filter(F.split(text, BLANK), lambda w: w != "")
+    """All blanks become spaces first: parting at one plain character needs no pattern."""
+    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -47,23 +47,34 @@ def repeated_words(words: Column, window: int = WINDOW) -> Column:
     n = F.size(words)
     codes = F.transform(words, lambda w: F.xxhash64(w))
 
-    def tail(codes):
-        return F.transform(F.sequence(F.lit(1), n - window + 1), lambda i: F.xxhash64(*[F.get(codes, i - 1 + k) for k in range(window)]))
+    # an array of one, so that what is made once is used several times
+    def joined(step):
+        def both(c):
+            k = F.greatest(F.size(c) - step, F.lit(0))
+            return F.zip_with(F.slice(c, F.lit(1), k), F.slice(c, F.lit(step + 1), k), lambda a, b: F.xxhash64(a, b))
+
+        return both
+
+    # hashes of one word, of two, of four, of eight: each from two of the ones before
+    assert window & (window - 1) == 0
+    step = 1
+    while step < window:
+        codes = F.get(F.transform(F.array(codes), joined(step)), 0)
+        step *= 2
 
-    # an array of one, so that the hashes are made once for the test and the sorting
     def covered(hashes):
-        pairs = F.array_sort(F.zip_with(hashes, F.sequence(F.lit(1), F.size(hashes)), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
+        pairs = F.sort_array(F.zip_with(hashes, F.sequence(F.lit(1), F.size(hashes)), lambda h, i: F.struct(h.alias("h"), i.alias("i"))))
 
         def places(p):
             same = lambda a, b: F.coalesce(F.get(p, a)["h"] == F.get(p, b)["h"], F.lit(False))
             at = F.filter(F.sequence(F.lit(0), F.size(p) - 1), lambda i: same(i, i + 1) | ((i > 0) & same(i, F.greatest(i - 1, F.lit(0)))))
-            return F.array_sort(F.transform(at, lambda i: F.get(p, i)["i"]))
+            return F.sort_array(F.transform(at, lambda i: F.get(p, i)["i"]))
 
         found = F.get(F.transform(F.array(pairs), places), 0)
         total = F.aggregate(found, F.struct(F.lit(0).alias("sum"), F.lit(-window).alias("last")), lambda acc, i: F.struct((acc["sum"] + F.least(F.lit(window), i - acc["last"])).alias("sum"), i.alias("last")), lambda acc: acc["sum"])
         return F.when(F.size(F.array_distinct(hashes)) < F.size(hashes), total).otherwise(F.lit(0))
 
-    some = F.get(F.transform(F.array(F.get(F.transform(F.array(codes), tail), 0)), covered), 0)
+    some = F.get(F.transform(F.array(codes), covered), 0)
     return F.when(n > window, some).otherwise(F.lit(0)).cast("long")
 
 
@@ -89,72 +100,91 @@ def distance(a: Column, b: Column) -> Column:
 
 
 def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
-    """(_lang, chars, common, freq): for each lang, and for all together, the characters by class,
-    the most frequent words and how often these and all others occur. One row a language."""
-    d = docs.select(F.coalesce("lang", F.lit(ALL)).alias("_lang"), text_of().alias("text"))
-    k = len(CLASSES) + 1
-    h = d.select("_lang", histogram(F.col("text")).alias("h")).groupBy("_lang").agg(*[F.sum(F.col("h")[i]).alias(f"c{i}") for i in range(k)])
-    own = h.filter(F.col("_lang") != ALL).select("_lang", F.array(*[f"c{i}" for i in range(k)]).alias("chars"))
-    every = h.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).select(F.lit(ALL).alias("_lang"), F.array(*[f"c{i}" for i in range(k)]).alias("chars"))
+    """(_lang, common, freq): for each lang, and for all together, the most frequent words and
+    how often these and all others occur. One row a language."""
     # partial sums keep a popular word from being more than a row a task
-    w = d.select("_lang", F.explode(F.split(F.lower("text"), BLANK)).alias("w")).filter("w <> ''").groupBy("_lang", "w").agg(F.count("*").alias("n"))
+    w = docs.select(F.coalesce("lang", F.lit(ALL)).alias("_lang"), F.explode(word_array(text_of())).alias("w")).groupBy("_lang", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
     w = w.filter(F.col("_lang") != ALL).union(w.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("_lang"), "w", "n"))
     top = w.withColumn("r", F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= common)
     top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
     sums = w.groupBy("_lang").agg(F.sum("n").alias("total"))
     t = top.join(sums, "_lang").select("_lang", F.transform("top", lambda x: x["w"]).alias("common"), F.transform("top", lambda x: x["n"]).alias("f"), "total")
-    t = t.withColumn("freq", F.concat("f", F.array(F.col("total") - F.aggregate("f", F.lit(0).cast("long"), lambda s, v: s + v)))).select("_lang", "common", "freq")
-    return own.union(every).join(t, "_lang", "left")
+    return t.withColumn("freq", F.concat("f", F.array(F.col("total") - F.aggregate("f", F.lit(0).cast("long"), lambda s, v: s + v)))).select("_lang", "common", "freq")
+
+
+def class_counts(measured: DataFrame) -> DataFrame:
+    """(_lang, chars): characters by class of each lang, and of all together."""
+    k = len(CLASSES) + 1
+    h = measured.groupBy(F.coalesce("lang", F.lit(ALL)).alias("_lang")).agg(*[F.sum(F.col("_h")[i]).alias(f"c{i}") for i in range(k)])
+    chars = F.array(*[f"c{i}" for i in range(k)]).alias("chars")
+    every = h.agg(*[F.sum(f"c{i}").alias(f"c{i}") for i in range(k)]).select(F.lit(ALL).alias("_lang"), chars)
+    return h.filter(F.col("_lang") != ALL).select("_lang", chars).union(every)
+
+
+def common_counts(words: Column, common: Column) -> Column:
+    """Occurrences of each common word, then of all others."""
+
+    def count(x):
+        w, found = x["w"], x["f"]
+        return F.concat(F.transform(common, lambda c: (F.size(found) - F.size(F.array_remove(found, c))).cast("long")), F.array((F.size(w) - F.size(found)).cast("long")))
 
+    lower = F.transform(words, F.lower)
+    pair = F.transform(F.array(lower), lambda w: F.struct(w.alias("w"), F.filter(w, lambda v: F.array_contains(common, v)).alias("f")))
+    return F.get(F.transform(pair, count), 0)
 
-def common_counts(text: Column, common: Column, n_words: Column) -> Column:
-    """Occurrences of each common word, then of all others. Words stand between two blanks, so
-    that taking one out never touches its neighbour."""
-    plain = F.concat(F.lit(" "), F.regexp_replace(F.lower(text), BLANK, "  "), F.lit(" "))
 
-    def count(s):
-        return F.transform(common, lambda w: ((F.length(s) - F.length(F.replace(s, F.concat(F.lit(" "), w, F.lit(" ")), F.lit("")))) / (F.length(w) + 2)).cast("long"))
+def _by_lang(rows: dict, of) -> Column:
+    """A literal for each lang; that of all for langs without one."""
+    out = of(rows[ALL])
+    for lang, r in sorted(rows.items()):
+        if lang != ALL:
+            out = F.when(F.col("lang") == lang, of(r)).otherwise(out)
+    return out
+
 
-    counts = F.get(F.transform(F.array(plain), count), 0)
-    return F.get(F.transform(F.array(counts), lambda c: F.concat(c, F.array(n_words.cast("long") - F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)))), 0)
+def _few(refs: DataFrame) -> dict:
+    """A handful of rows by language, sent to all only if they are as few as they should be."""
+    rows = refs.limit(MOST_LANGS + 1).collect()
+    if len(rows) > MOST_LANGS:
+        raise ValueError(f"more than {MOST_LANGS} languages")
+    return {r["_lang"]: r for r in rows}
 
 
-def judge(docs: DataFrame, refs: DataFrame) -> DataFrame:
+def judge(docs: DataFrame, refs: DataFrame, text: bool = True) -> DataFrame:
     """docs with _n_words, _word_chars, _n_symbols, _n_dup_lines, _n_repeat, _failed, _chars,
-    _words (the distances) and _kept."""
+    _words (the distances) and _kept; without text if that is False. Texts are read twice, for
+    the common words and for all counts; the latter are kept in a table, from which the
+    languages' characters and the distances come."""
+    common = _few(refs)
+    longs = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
     t = text_of()
     d = docs.withColumn("_w", word_array(t)).withColumn("_h", histogram(t))
-    d = d.withColumns({"_n_words": F.size("_w").cast("long"), "_word_chars": F.length(t).cast("long") - F.col("_h")[3], "_n_symbols": F.col("_h")[4], "_n_dup_lines": repeated_lines(t), "_n_repeat": repeated_words(F.col("_w"))}).drop("_w")
-    d = d.withColumn("_failed", (F.col("_n_words") < 20) | (100 * F.col("_n_repeat") > 30 * F.col("_n_words")))
-    # a handful of rows, sent to all only if they are as few as they should be
-    rows = [r.asDict() for r in refs.limit(MOST_LANGS + 1).collect()]
-    if len(rows) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    rows = {r["_lang"]: r for r in rows if r["common"]}
-    if ALL not in rows:
-        return d.withColumns({"_chars": F.lit(0.0), "_words": F.lit(0.0), "_kept": ~F.col("_failed")}).drop("_h")
-    of = lambda r: F.struct(F.array(*[F.lit(int(x)).cast("long") for x in r["chars"]]).alias("chars"), F.array(*map(F.lit, r["common"])).alias("common"), F.array(*[F.lit(int(x)).cast("long") for x in r["freq"]]).alias("freq"))
-    ref = of(rows[ALL])
-    for lang, r in sorted(rows.items()):
-        if lang != ALL:
-            ref = F.when(F.col("lang") == lang, of(r)).otherwise(ref)
-    d = d.withColumn("_ref", ref)
-    d = d.withColumn("_chars", distance(F.col("_h"), F.col("_ref.chars")))
-    d = d.withColumn("_words", distance(common_counts(t, F.col("_ref.common"), F.col("_n_words")), F.col("_ref.freq")))
-    odd = (F.length(t) >= MIN_CHARS) & (F.col("_chars") > MOST_CHARS) | (F.col("_n_words") >= MIN_WORDS) & (F.col("_words") > MOST_WORDS)
-    return d.withColumn("_kept", ~F.col("_failed") & ~odd).drop("_h", "_ref")
+    d = d.withColumns({"_n_words": F.size("_w").cast("long"), "_n_chars": F.length(t), "_n_dup_lines": repeated_lines(t), "_n_repeat": repeated_words(F.col("_w"))})
+    if ALL in common:
+        d = d.withColumn("_cw", common_counts(F.col("_w"), _by_lang(common, lambda r: F.array(*map(F.lit, r["common"])))))
+    d = materialize(d.drop("_w") if text else d.drop("_w", "text"), "measured")
+    d = d.withColumns({"_word_chars": F.col("_n_chars").cast("long") - F.col("_h")[3], "_n_symbols": F.col("_h")[4], "_failed": (F.col("_n_words") < 20) | (100 * F.col("_n_repeat") > 30 * F.col("_n_words"))})
+    if ALL not in common:
+        return d.withColumns({"_chars": F.lit(0.0), "_words": F.lit(0.0), "_kept": ~F.col("_failed")}).drop("_h", "_n_chars")
+    chars = _few(class_counts(d))
+    chars = {k: r for k, r in chars.items() if k in common}
+    d = d.withColumn("_chars", distance(F.col("_h"), _by_lang(chars, lambda r: longs(r["chars"]))))
+    d = d.withColumn("_words", distance(F.col("_cw"), _by_lang(common, lambda r: longs(r["freq"]))))
+    odd = (F.col("_n_chars") >= MIN_CHARS) & (F.col("_chars") > MOST_CHARS) | (F.col("_n_words") >= MIN_WORDS) & (F.col("_words") > MOST_WORDS)
+    return d.withColumn("_kept", ~F.col("_failed") & ~odd).drop("_h", "_cw", "_n_chars")
 
 
 MOST_LANGS = 512
 
 
 def keep(docs: DataFrame) -> DataFrame:
-    return judge(docs, references(docs)).filter("_kept").select(*docs.columns)
+    whole = docs.select(F.struct("*").alias("_doc"), "text", "lang")
+    return judge(whole, references(whole), text=False).filter("_kept").select("_doc.*")
 
 
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
-    return judge(docs, references(docs)).select(
+    return judge(docs, references(docs), text=False).select(
         "doc_id", F.col("_n_words").alias("n_words"), F.col("_word_chars").alias("word_chars"), F.col("_n_symbols").alias("n_symbols"), F.col("_n_dup_lines").alias("n_dup_lines"),
         F.col("_n_repeat").alias("n_repeat_words"), F.col("_failed").alias("base_failed"), F.col("_kept").alias("kept"), F.round("_chars", 9).alias("char_distance"), F.round("_words", 9).alias("word_distance"),
     )
