@@ -104,6 +104,7 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     how often these and all others occur. One row a language."""
     # partial sums keep a popular word from being more than a row a task
     w = docs.select(F.coalesce("lang", F.lit(ALL)).alias("_lang"), F.explode(word_array(text_of())).alias("w")).groupBy("_lang", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    w = materialize(w, "words")  # distinct words only; they are read four times
     w = w.filter(F.col("_lang") != ALL).union(w.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("_lang"), "w", "n"))
     top = w.withColumn("r", F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= common)
     top = top.groupBy("_lang").agg(F.array_sort(F.collect_list(F.struct("r", "w", "n"))).alias("top"))
