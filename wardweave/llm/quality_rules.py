@@ -27,18 +27,23 @@ CLASSES = (r"a-z", r"A-Z", r"0-9", r"\x20\x09-\x0D", r"#*$%\x26|<>", r".,;:!?'\"
 ALL = "*"
 
 
-def histogram(text: Column) -> Column:
-    """Code points by class, an array of long."""
-    # small letters, which most characters are, are what the other counts leave
-    some = [F.regexp_count(text, F.lit(f"[{c}]")).cast("long") for c in CLASSES[1:]]
-    some.append(F.regexp_count(text, F.lit(f"[^{''.join(CLASSES)}]")).cast("long"))
-    some = F.array(F.length(text).cast("long"), *some)
-    return F.get(F.transform(F.array(some), lambda c: F.concat(F.array(2 * F.get(c, 0) - F.aggregate(c, F.lit(0).cast("long"), lambda s, v: s + v)), F.slice(c, 2, len(CLASSES)))), 0)
+def parts(text: Column) -> Column:
+    """What single blanks part, empty strings included: one more than there are blanks. All
+    blanks become spaces first, as parting at one plain character needs no pattern."""
+    return F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " ")
 
 
-def word_array(text: Column) -> Column:
-    """All blanks become spaces first: parting at one plain character needs no pattern."""
-    return F.array_remove(F.split(F.regexp_replace(text, r"[\x09-\x0D]", " "), " "), "")
+def rest(text: Column) -> Column:
+    """text without small letters and blanks, which most characters are."""
+    return F.regexp_replace(text, f"[{CLASSES[0]}{CLASSES[3]}]+", "")
+
+
+def histogram(length: Column, blanks: Column, other: Column) -> Column:
+    """Code points by class, an array of long; other is the text's `rest`."""
+    count = lambda c: F.length(other) - F.length(F.regexp_replace(other, f"[{c}]+", ""))
+    small = length - F.length(other) - blanks
+    odd = F.length(F.regexp_replace(other, f"[{''.join(CLASSES)}]+", ""))
+    return F.array(small, count(CLASSES[1]), count(CLASSES[2]), blanks, count(CLASSES[4]), count(CLASSES[5]), odd).cast("array<long>")
 
 
 def repeated_words(words: Column, window: int = WINDOW) -> Column:
@@ -103,7 +108,8 @@ def references(docs: DataFrame, common: int = COMMON) -> DataFrame:
     """(_lang, common, freq): for each lang, and for all together, the most frequent words and
     how often these and all others occur. One row a language."""
     # partial sums keep a popular word from being more than a row a task
-    w = docs.select(F.coalesce("lang", F.lit(ALL)).alias("_lang"), F.explode(word_array(text_of())).alias("w")).groupBy("_lang", F.lower("w").alias("w")).agg(F.count("*").alias("n"))
+    w = docs.select(F.coalesce("lang", F.lit(ALL)).alias("_lang"), F.explode(parts(F.lower(text_of()))).alias("w")).filter("w <> ''")
+    w = w.groupBy("_lang", "w").agg(F.count("*").alias("n"))
     w = materialize(w, "words")  # distinct words only; they are read four times
     w = w.filter(F.col("_lang") != ALL).union(w.groupBy("w").agg(F.sum("n").alias("n")).select(F.lit(ALL).alias("_lang"), "w", "n"))
     top = w.withColumn("r", F.row_number().over(W.partitionBy("_lang").orderBy(F.desc("n"), "w"))).filter(F.col("r") <= common)
@@ -122,16 +128,15 @@ def class_counts(measured: DataFrame) -> DataFrame:
     return h.filter(F.col("_lang") != ALL).select("_lang", chars).union(every)
 
 
-def common_counts(words: Column, common: Column) -> Column:
-    """Occurrences of each common word, then of all others."""
+def common_counts(words: Column, common: list[str]) -> Column:
+    """Occurrences of each common word, then of all others. Words are looked up in a set."""
+    found = F.filter(F.transform(words, F.lower), lambda w: w.isin(common))
 
     def count(x):
-        w, found = x["w"], x["f"]
-        return F.concat(F.transform(common, lambda c: (F.size(found) - F.size(F.array_remove(found, c))).cast("long")), F.array((F.size(w) - F.size(found)).cast("long")))
+        return F.transform(F.array(*map(F.lit, common)), lambda c: F.size(x) - F.size(F.array_remove(x, c)))
 
-    lower = F.transform(words, F.lower)
-    pair = F.transform(F.array(lower), lambda w: F.struct(w.alias("w"), F.filter(w, lambda v: F.array_contains(common, v)).alias("f")))
-    return F.get(F.transform(pair, count), 0)
+    each = F.get(F.transform(F.array(found), count), 0)
+    return F.get(F.transform(F.array(each), lambda n: F.concat(n, F.array(F.size(words) - F.aggregate(n, F.lit(0), lambda s, v: s + v)))), 0).cast("array<long>")
 
 
 def _by_lang(rows: dict, of) -> Column:
@@ -159,11 +164,11 @@ def judge(docs: DataFrame, refs: DataFrame, text: bool = True) -> DataFrame:
     common = _few(refs)
     longs = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
     t = text_of()
-    d = docs.withColumn("_w", word_array(t)).withColumn("_h", histogram(t))
-    d = d.withColumns({"_n_words": F.size("_w").cast("long"), "_n_chars": F.length(t), "_n_dup_lines": repeated_lines(t), "_n_repeat": repeated_words(F.col("_w"))})
+    d = docs.withColumns({"_p": parts(t), "_r": rest(t)}).withColumn("_w", F.array_remove("_p", ""))
+    d = d.withColumns({"_h": histogram(F.length(t), F.size("_p") - 1, F.col("_r")), "_n_words": F.size("_w").cast("long"), "_n_chars": F.length(t), "_n_dup_lines": repeated_lines(t), "_n_repeat": repeated_words(F.col("_w"))})
     if ALL in common:
-        d = d.withColumn("_cw", common_counts(F.col("_w"), _by_lang(common, lambda r: F.array(*map(F.lit, r["common"])))))
-    d = materialize(d.drop("_w") if text else d.drop("_w", "text"), "measured")
+        d = d.withColumn("_cw", _by_lang(common, lambda r: common_counts(F.col("_w"), r["common"])))
+    d = materialize(d.drop("_p", "_r", "_w", *(() if text else ("text",))), "measured")
     d = d.withColumns({"_word_chars": F.col("_n_chars").cast("long") - F.col("_h")[3], "_n_symbols": F.col("_h")[4], "_failed": (F.col("_n_words") < 20) | (100 * F.col("_n_repeat") > 30 * F.col("_n_words"))})
     if ALL not in common:
         return d.withColumns({"_chars": F.lit(0.0), "_words": F.lit(0.0), "_kept": ~F.col("_failed")}).drop("_h", "_n_chars")
