@@ -291,6 +291,45 @@ def test_quality_base(spark, docs):
         assert r["_failed"] == (len(w) < 20 or 100 * len(inside) > 30 * len(w))
 
 
+def test_quality_verdict(spark):
+    sigma = "ΟΔΟΣ ΣΑΣ. Α.Σ 𝒳 İx\x1fy a\x0bb\x0cc\rd"
+    all_texts = [*texts(), sigma, " ".join(f"AB{i}#9" for i in range(60)), " ".join(f"The the {i} of" for i in range(40)), "\n".join(f"é{i}, (ü)" for i in range(90))]
+    rows = [(i, t, ("en", "de", None, "xx")[i % 4] if t != sigma else "el") for i, t in enumerate(all_texts)] + [(900, None, "no")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    members = ["abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789", " \t\n\x0b\x0c\r", "#*$%&|<>", ".,;:!?'\"()-"]
+
+    def classes(t):
+        c = [sum(t.count(x) for x in m) for m in members]
+        return [*c, len(t) - sum(c)]
+
+    words, chars = {}, {}
+    for _, t, lang in rows:
+        for k in {lang or "*", "*"}:
+            words.setdefault(k, Counter()).update(w.lower() for w in WORD.findall(t or ""))
+            chars[k] = [a + b for a, b in zip(chars.get(k, [0] * 7), classes(t or ""), strict=True)]
+
+    def distance(a, b):
+        if not sum(a) or not sum(b):
+            return 0.0
+        pairs = [(x / sum(a), y / sum(b)) for x, y in zip(a, b, strict=True)]
+        part = lambda x, m: x * math.log2(x / m) if x else 0.0
+        return math.sqrt(max(0.0, sum(part(x, (x + y) / 2) + part(y, (x + y) / 2) for x, y in pairs) / 2))
+
+    seen = Counter()
+    for r in quality_rules.judge(d, quality_rules.references(d)).collect():
+        t, k = r["text"] or "", r["lang"] if words.get(r["lang"]) else "*"
+        top = [w for w, _ in sorted(words[k].items(), key=lambda x: (-x[1], x[0]))[: quality_rules.COMMON]]
+        ref, own = [words[k][w] for w in top], Counter(w.lower() for w in WORD.findall(t))
+        mine = [own[w] for w in top]
+        by_char = distance(classes(t), chars[k])
+        by_word = distance([*mine, sum(own.values()) - sum(mine)], [*ref, sum(words[k].values()) - sum(ref)])
+        assert (r["_chars"], r["_words"]) == (pytest.approx(by_char, abs=1e-7), pytest.approx(by_word, abs=1e-7)), r["doc_id"]
+        odd = len(t) >= 200 and by_char > quality_rules.MOST_CHARS or sum(own.values()) >= 50 and by_word > quality_rules.MOST_WORDS
+        assert r["_kept"] == (not r["_failed"] and not odd)
+        seen[r["_failed"], odd] += 1
+    assert seen[False, True] and seen[False, False]
+
+
 def test_distance(spark):
     js = lambda a, b: spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))).first()[0]
     assert js([1, 0], [0, 1]) == pytest.approx(1) and js([1, 2], [2, 4]) == pytest.approx(0) and js([0, 0], [1, 1]) == 0
