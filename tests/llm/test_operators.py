@@ -135,6 +135,17 @@ def test_ngram_join(docs):
     assert sorted(map(tuple, got)) == sorted((k, len(s), find(k)) for k, s in sets.items())
 
 
+def test_keep_one_keeps_unlinked_texts_of_one_id(spark):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(30)) for x in "abcde")
+    rows = [(None, a, "s"), (None, b, "s"), (7, c, "s"), (7, d, "s"), (7, d, "s"), (None, d, "s"), (9, c + " more", "s"), (None, e, "s"), (None, e, "t"), (None, "", "s"), (None, None, "s"), (None, " \t", "s"), (3, "", "s"), (3, "", "s")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    got = [tuple(r) for r in ngram_join.keep_one(docs.repartition(5)).collect()]
+    assert len([r for r in got if r[1] == e]) == 1
+    want = [(None, a, "s"), (None, b, "s"), (7, c, "s"), (7, d, "s"), (None, "", "s"), (None, None, "s"), (None, " \t", "s"), (3, "", "s")]
+    assert sorted((r for r in got if r[1] != e), key=str) == sorted(want, key=str)
+    assert sorted(got, key=str) == by_row(ngram_join.keep_one(docs.repartition(1)))
+
+
 def test_large_clusters_go_through_both_waves(spark, monkeypatch):
     monkeypatch.setattr(ngram_join, "BLOCK", 3)
     monkeypatch.setattr(ngram_join, "CHUNK", 4)

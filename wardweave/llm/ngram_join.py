@@ -29,11 +29,11 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from .common import flat, materialize, mix64, parallelism, slices, table, word_hashes, words
+from .common import WORD, flat, materialize, mix64, parallelism, slices, table, word_hashes, words
 
 N, T = 5, 75
 BUCKET_BYTES, BLOCK, CHUNK = 24 << 20, 1024, 512
@@ -85,12 +85,13 @@ def _sets(batches, text: int):
 
 def _profile(batches):
     for rows, _, bounds, fp in _sets(batches, 1):
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), pa.array(fp)], names=["doc_id", "n", "fp"])
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), pa.array(fp), rows.column(2)], names=["doc_id", "n", "fp", "row"])
 
 
-def profile(docs: DataFrame) -> DataFrame:
-    """(doc_id, n, fp): size and fingerprint of each document's set."""
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text").mapInArrow(_profile, "doc_id long, n long, fp long")
+def profile(docs: DataFrame, row: Column | None = None) -> DataFrame:
+    """(doc_id, n, fp, row): size and fingerprint of each document's set; row as given."""
+    row = F.lit(None).cast("long") if row is None else row
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row.alias("row")).mapInArrow(_profile, "doc_id long, n long, fp long, row long")
 
 
 # --------------------------------------------------------------------------- live tokens
@@ -326,9 +327,17 @@ def _survivor_sets(batches):
 
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id), a row for each of docs (doc_id, text)."""
+    base = materialize(profile(docs), "profile")
+    joined = _class_components(docs, base)
+    least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
+    out = joined.join(least, "comp").select("fp", "component_id")
+    return base.join(out, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+
+
+def _class_components(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(fp, rep, comp): the least doc_id and the component of each class in base, docs' profile."""
     spark = docs.sparkSession
     docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    base = materialize(profile(docs), "profile")
     size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n = parallelism(spark, size, BUCKET_BYTES)
     classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
@@ -345,14 +354,9 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         sets = texts.mapInArrow(_survivor_sets, "fp long, set binary").dropDuplicates(["fp"])
         sets = materialize(sets.withColumns({"n": F.lit(None).cast("long"), "weights": F.lit(None).cast("array<long>")}), "sets")
         names = components(_verify(left, sets))
-    out = classes
-    if names is not None:
-        joined = classes.join(names, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
-        least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-        out = joined.join(least, "comp").select("fp", "component_id")
-    else:
-        out = classes.select("fp", F.col("rep").alias("component_id"))
-    return base.join(out, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    if names is None:
+        return classes.withColumn("comp", F.col("fp"))
+    return classes.join(names, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
 
 
 def _verify(left: DataFrame, sets: DataFrame) -> DataFrame:
@@ -421,11 +425,24 @@ def _second_wave(left: DataFrame, sets: DataFrame, names: DataFrame) -> DataFram
     return links.union(materialize(_links(blocks, sets), "links"))
 
 
+def _row_hash(docs: DataFrame) -> Column:
+    """A hash of the whole row; of maps, which have none, only the other columns count."""
+    return F.xxhash64(*[docs[c] for c, t in docs.dtypes if "map<" not in t])
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each component: that with the smallest doc_id, once if it is repeated."""
-    found = near_duplicates(docs).select(F.col("doc_id").alias("_doc"), F.col("component_id").alias("_comp")).distinct()
-    keep = found.filter(F.col("_doc").eqNullSafe(F.col("_comp"))).select("_doc")
-    return docs.join(keep, docs["doc_id"].eqNullSafe(keep["_doc"]), "left_semi").dropDuplicates(["doc_id"]).select(*docs.columns)
+    """One row of each component: of the smallest doc_id (null only if there is no other), then of
+    the least fingerprint and row hash; once if the row is repeated. Texts without words link
+    with nothing and stay, those with an id once if the row is repeated."""
+    bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
+    rest = docs.filter(~bare)
+    base = materialize(profile(rest, _row_hash(rest)), "profile")
+    least = lambda *by: F.min(F.struct(*by)).alias("least")
+    classes = base.filter("n > 0").groupBy("fp").agg(least(F.col("doc_id").isNull(), "doc_id", "fp", "row"))
+    found = _class_components(rest, base).select("fp", "comp").join(classes, "fp").groupBy("comp").agg(F.min("least").alias("least"))
+    keep = found.select(F.col("least.row").alias("_row")).union(base.filter("n = 0").select("row"))
+    once = rest.withColumn("_row", _row_hash(rest)).join(keep, "_row", "left_semi").dropDuplicates(["_row"])
+    return once.select(*docs.columns).union(docs.filter(bare))
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
