@@ -69,6 +69,19 @@ def test_secrets(docs):
     assert clean.columns == docs.columns and clean.filter(F.col("text").contains("hunter2")).count() == 0 and clean.filter("text is null").count() == 1
 
 
+def test_secrets_of_all_classes(spark):
+    key = "kQ9z2LmX7pR4tV8bN3cW6yH1"
+    hit = ["key-3ax6xnjp29jd6fds4gc373sgvjxteol0", "MZXW6YTBOI5DGNBVGY3TQOJQ", "qWmZrTxKbVnLpHsDfGjCyAeU", "qwmzrtxkbvnlphsdfgjcyaeu", "83920174655029183746", key]
+    hit += [f"{key}www{key[::-1]}", f"{key}example", f"/home/{key}", f"www/{key}/usr/", f"{key}HTTP"]
+    miss = ["internationalization-of-software", "donaudampfschifffahrtsgesellschaft", "src/main/java/org/apache/spark", "-" * 30, "12345678901234567890", "2024-01-15-2024-01-16", "example_key_placeholder_1A", "AbstractSingletonProxyFactoryBean"]
+    miss += ["ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/", f"{key[:12]}example{key[12:]}"]
+    docs = spark.createDataFrame([(i, f"a {s} b") for i, s in enumerate(hit + miss)], "doc_id long, text string")
+    got = {r["doc_id"]: r["spans"] for r in secrets.digest(docs).collect()}
+    assert got == {i: f"entropy:2:{2 + len(s)}" if i < len(hit) else "" for i, s in enumerate(hit + miss)}
+    clean = {r["doc_id"]: r["text"] for r in secrets.redact(docs).collect()}
+    assert clean == {i: "a [SECRET] b" if i < len(hit) else f"a {s} b" for i, s in enumerate(hit + miss)}
+
+
 def test_entropy_by_increments(spark):
     for s in ("abcabcabcabcabcabcabcabc", "kQ9z2LmX7pR4tV8bN3cW6yH1", "aaaaaaaaaaaaaaaaaaaaaaaa1"):
         got = spark.range(1).select(secrets.window_entropy(F.lit(s), 20)).first()[0]

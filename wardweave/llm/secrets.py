@@ -3,8 +3,8 @@
 Every whole text is scanned (null: empty). A span is (kind, start, end) in code points, end
 exclusive. Three kinds come from patterns; a fourth, `entropy`, is a candidate string in which
 some window of `window` characters has at least the bits a character that its class asks for,
-unless an allow-list entry suppresses it or a pattern's span covers part of it. Window
-entropies are kept up by adding the entering and taking away the leaving character's share.
+unless a pattern's span covers part of it. Allow-list entries suppress the windows that they
+touch: the pieces between them are judged each by its own class. Window entropies are kept up by adding the entering and taking away the leaving character's share.
 Empty tables give empty results, repeated rows are scanned each on its own, other columns
 are kept by `redact` and ignored by `op8_secrets`.
 """
@@ -26,13 +26,24 @@ KINDS = ("assign", "access", "hex", "entropy")
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_=-"
 CANDIDATE = r"(?<![A-Za-z0-9+/_=-])[A-Za-z0-9+/_=-]{20,}+"
 #: Classes of candidates: all of the first pattern, some of each of the others; bits a character.
+#: The first that fits counts, and one always does. Words and names pass fewer bits than keys do.
+PLAIN, ANY = r"^[A-Za-z0-9]+$", r"^[A-Za-z0-9+/_=-]+$"
 CLASSES = (
     (r"^[0-9a-fA-F-]+$", (r"[0-9]", r"[a-fA-F]"), 3.0),
-    (r"^[A-Za-z0-9]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.6),
-    (r"^[A-Za-z0-9+/_=-]+$", (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.7),
+    (PLAIN, (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.6),
+    (ANY, (r"[0-9]", r"[A-Z]", r"[a-z]"), 3.7),
+    (PLAIN, (r"[0-9]", r"[A-Za-z]"), 3.5),
+    (ANY, (r"[0-9]", r"[A-Za-z]"), 3.7),
+    (PLAIN, (r"[A-Z]", r"[a-z]"), 3.85),
+    (ANY, (r"[A-Z]", r"[a-z]"), 3.95),
+    (PLAIN, (r"[A-Za-z]",), 3.85),
+    (ANY, (r"[A-Za-z]",), 3.95),
+    (PLAIN, (), 3.0),
+    (ANY, (), 3.4),
 )
-#: Strings with one of these are no secrets: placeholders, paths, counting sequences.
-ALLOW = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456|1234567|abcdefg|https?|www|/usr/|/home/"
+#: Placeholders, paths, counting sequences: no window that touches one of these counts. The short
+#: ones must stand alone, as three or four letters come up in long keys by chance.
+ALLOW = r"(?i)example|sample|placeholder|changeme|dummy|xxxx|0123456|1234567|abcdefg|(?<![a-z0-9])(?:https?|www)(?![a-z0-9])|/usr/|/home/"
 SPAN = "array<struct<start:int,ko:int,end:int>>"
 
 
@@ -85,16 +96,17 @@ def _entropy_spans(text: Column, base: Column, window: int) -> Column:
     named = F.transform(places, lambda p: F.struct(p["start"].alias("start"), p["ko"].alias("ko"), p["end"].alias("end"), F.substring(text, p["start"] + 1, p["end"] - p["start"]).alias("text")))
     apart = F.filter(named, lambda p: ~F.exists(base, lambda b: (b["start"] < p["end"]) & (p["start"] < b["end"])))
 
-    def secret(p):
-        s = p["text"]
+    def dense(piece):
         bits = None
         for whole, parts, least in CLASSES:
-            fits = s.rlike(whole)
+            fits = piece.rlike(whole)
             for part in parts:
-                fits = fits & s.rlike(part)
+                fits = fits & piece.rlike(part)
             bits = F.when(fits, F.lit(least)) if bits is None else bits.when(fits, F.lit(least))
-        return F.when(bits.isNotNull() & ~s.rlike(ALLOW), window_entropy(s, window) >= bits).otherwise(F.lit(False))
+        return F.when(F.length(piece) >= window, window_entropy(piece, window) >= bits).otherwise(F.lit(False))
 
+    # a window touches no allowed string if it lies in a piece between them
+    secret = lambda p: F.exists(F.split(p["text"], ALLOW, -1), dense)
     kept = F.filter(apart, secret)
     return F.transform(kept, lambda p: F.struct(p["start"].alias("start"), p["ko"].alias("ko"), p["end"].alias("end")))
 
