@@ -1,5 +1,7 @@
 """Hand-checked values, differential checks of kernels, and parity of all queries with SQL."""
 
+from collections import Counter
+
 import duckdb
 import numpy as np
 import pytest
@@ -146,3 +148,22 @@ def test_query_equals_sql(spark, name):
     cols = sorted(df.columns)
     got = sorted(tuple(map(str, r)) for r in df.select(*cols).collect())
     assert got == sorted(tuple(map(str, r)) for r in con.sql(f"select {', '.join(cols)} from ({Q.ORACLES[name]})").fetchall())
+
+
+def test_chain_queries_walk_the_customers(spark):
+    keys = [r[0] for r in spark.read.parquet(f"{SF}/customer.parquet").select("c_custkey").collect()]
+    people = Counter(r[0] for r in spark.read.parquet(f"{SF}/orders.parquet").select("o_custkey").collect())
+    rows = max(keys) // 30 + 1
+    part = {k: 5 * (k // 30) // rows for k in keys}
+    edges = [(k, k + d) for k in keys for d in (1, 30) if k + d in part and (d == 30 or k % 30 < 29)]
+    cuts = sum(part[a] != part[b] for a, b in edges)
+    sums = Counter()
+    for k in keys:
+        sums[part[k]] += people[k]
+    scored = Q.QUERIES["chain_scores"](spark, SF).collect()
+    assert len(scored) == 4 * 40 and all(r["contiguous"] for r in scored)
+    assert {(r["cut_edges"], r["spread"]) for r in scored if r["step"] == 0} == {(cuts, max(sums.values()) - min(sums.values()))}
+    bursts = Q.QUERIES["short_bursts_best"](spark, SF).collect()
+    assert {r["score"] for r in bursts if r["step"] == 0} == {cuts} and len({r["chain"] for r in bursts}) == 4
+    stats = {(r["chain"], r["step"]): r for r in Q.QUERIES["diversity_stats"](spark, SF).collect()}
+    assert len(stats) == 2 * 20 and all(stats[c, 0]["unique_districts"] == 5 for c in ("0", "1"))

@@ -274,27 +274,25 @@ def beta_schedules(n, e, p, spark, sf):
 
 @query()
 def chain_scores(n, e, p, spark, sf):
-    """Four recombination chains on a lattice, scored as an ensemble."""
+    """Four recombination chains from the five bands of all customers, scored as an ensemble."""
     from .plans import ensemble
 
-    nodes, edges = G.lattice(spark, 10, 10)
-    flips = ensemble.run_chains(nodes, edges, G.quadrants(nodes, 10, 10), n_chains=4, steps=40, proposal="recom", epsilon=0.2)
-    return ensemble.scored(nodes, edges, flips, G.quadrants(nodes, 10, 10))
+    start = G.bands(n, 5)
+    flips = ensemble.run_chains(n, e, start, n_chains=4, steps=40, proposal="recom", epsilon=0.2)
+    return ensemble.scored(n, e, flips, start)
 
 
 @query()
 def short_bursts_best(n, e, p, spark, sf):
     from .plans import ensemble
 
-    nodes, edges = G.lattice(spark, 8, 8)
-    return ensemble.optimize(nodes, edges, G.quadrants(nodes, 8, 8), mode="short_bursts", n_chains=4, steps=60, epsilon=0.2)
+    return ensemble.optimize(n, e, G.bands(n, 5), mode="short_bursts", n_chains=4, steps=60, epsilon=0.2)
 
 
 @query()
 def diversity_stats(n, e, p, spark, sf):
     from .plans import ensemble
 
-    nodes, edges = G.lattice(spark, 6, 6)
-    start = G.quadrants(nodes, 6, 6)
-    flips = ensemble.run_chains(nodes, edges, start, n_chains=2, steps=20, proposal="flip", epsilon=0.5)
-    return S.diversity(ensemble.plans_of(flips, start), edges)
+    start = G.bands(n, 5)
+    flips = ensemble.run_chains(n, e, start, n_chains=2, steps=20, proposal="flip", epsilon=0.5)
+    return S.diversity(ensemble.plans_of(flips, start), e)
