@@ -354,6 +354,19 @@ def test_quality_verdict(spark):
     assert seen[False, True] and seen[False, False]
 
 
+def test_quality_of_many_languages(spark, monkeypatch):
+    rows = [(i, t, ("en", "de", None, "xx", "only null")[i % 5] if t else "only null") for i, t in enumerate(texts() * 2)]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    want = by_row(quality_rules.judge(d, quality_rules.references(d)))
+    monkeypatch.setattr(quality_rules, "MOST_LANGS", 2)
+    monkeypatch.setattr(quality_rules, "HOT", 1)
+    assert by_row(quality_rules.judge(d, quality_rules.references(d))) == want
+    monkeypatch.undo()
+    d = spark.createDataFrame([(i, f"w{i} " * 30, f"l{i}") for i in range(600)], "doc_id long, text string, lang string")
+    got = quality_rules.judge(d, quality_rules.references(d)).select("_chars", "_words").collect()
+    assert len(got) == 600 and max(max(r) for r in got) < 1e-6
+
+
 def test_distance(spark):
     js = lambda a, b: spark.range(1).select(quality_rules.distance(F.array(*map(F.lit, a)), F.array(*map(F.lit, b)))).first()[0]
     assert js([1, 0], [0, 1]) == pytest.approx(1) and js([1, 2], [2, 4]) == pytest.approx(0) and js([0, 0], [1, 1]) == 0

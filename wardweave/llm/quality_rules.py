@@ -5,7 +5,8 @@ with that lang: its characters by class, and its words that are among the langua
 most frequent ones (the rest being one more bin). Their Jensen-Shannon distances, between 0
 and 1, must not exceed `MOST_CHARS` and `MOST_WORDS`; texts of fewer than `MIN_CHARS`
 characters or `MIN_WORDS` words are too short to judge by them. A text without a language, or
-with one that has no reference, is held against all languages at once.
+with one that has no reference, is held against all languages at once. References are literals
+up to MOST_LANGS languages and are joined by lang beyond.
 
 Before that, base rules drop texts with fewer than 20 words or with more than 30 of 100 words
 in 8-word windows that occur twice. Null texts are empty and fail; empty tables give no rows,
@@ -128,12 +129,15 @@ def class_counts(measured: DataFrame) -> DataFrame:
     return h.filter(F.col("_lang") != ALL).select("_lang", chars).union(every)
 
 
-def common_counts(words: Column, common: list[str]) -> Column:
-    """Occurrences of each common word, then of all others. Words are looked up in a set."""
-    found = F.filter(F.transform(words, F.lower), lambda w: w.isin(common))
+def common_counts(words: Column, common: list[str] | Column) -> Column:
+    """Occurrences of each common word, then of all others. Words are looked up in a set, or in an
+    array if they come as a column."""
+    known = (lambda w: F.array_contains(common, w)) if isinstance(common, Column) else (lambda w: w.isin(common))
+    each_of = common if isinstance(common, Column) else F.array(*map(F.lit, common))
+    found = F.filter(F.transform(words, F.lower), known)
 
     def count(x):
-        return F.transform(F.array(*map(F.lit, common)), lambda c: F.size(x) - F.size(F.array_remove(x, c)))
+        return F.transform(each_of, lambda c: F.size(x) - F.size(F.array_remove(x, c)))
 
     each = F.get(F.transform(F.array(found), count), 0)
     return F.get(F.transform(F.array(each), lambda n: F.concat(n, F.array(F.size(words) - F.aggregate(n, F.lit(0), lambda s, v: s + v)))), 0).cast("array<long>")
@@ -148,12 +152,25 @@ def _by_lang(rows: dict, of) -> Column:
     return out
 
 
-def _few(refs: DataFrame) -> dict:
-    """A handful of rows by language, sent to all only if they are as few as they should be."""
+def _few(refs: DataFrame) -> tuple[dict, DataFrame | None]:
+    """Rows by language that become literals, and the other rows, to be joined. All are literals
+    up to MOST_LANGS; of more, that of all and those of the HOT languages with most words."""
     rows = refs.limit(MOST_LANGS + 1).collect()
-    if len(rows) > MOST_LANGS:
-        raise ValueError(f"more than {MOST_LANGS} languages")
-    return {r["_lang"]: r for r in rows}
+    if len(rows) <= MOST_LANGS:
+        return {r["_lang"]: r for r in rows}, None
+    refs = materialize(refs, "references")
+    size = F.aggregate("freq", F.lit(0).cast("long"), lambda s, v: s + v)
+    rows = refs.filter(F.col("_lang") == ALL).collect() + refs.filter(F.col("_lang") != ALL).orderBy(size.desc(), "_lang").limit(HOT).collect()
+    rows = {r["_lang"]: r for r in rows}
+    return rows, refs.filter(~F.col("_lang").isin(list(rows)))
+
+
+def _with_rows(d: DataFrame, few: dict, rest: DataFrame) -> DataFrame:
+    """d and the columns of rest, by lang; null where lang has a literal or no row. Hot languages
+    take no part in the join."""
+    cold = F.col("lang").isNotNull() & ~F.col("lang").isin(list(few))
+    none = {f.name: F.lit(None).cast(f.dataType) for f in rest.schema if f.name != "_lang"}
+    return d.filter(~cold).withColumns(none).unionByName(d.filter(cold).join(rest, F.col("lang") == F.col("_lang"), "left").drop("_lang"))
 
 
 def judge(docs: DataFrame, refs: DataFrame, text: bool = True) -> DataFrame:
@@ -161,26 +178,35 @@ def judge(docs: DataFrame, refs: DataFrame, text: bool = True) -> DataFrame:
     _words (the distances) and _kept; without text if that is False. Texts are read twice, for
     the common words and for all counts; the latter are kept in a table, from which the
     languages' characters and the distances come."""
-    common = _few(refs)
+    common, others = _few(refs)
     longs = lambda xs: F.array(*[F.lit(int(x)).cast("long") for x in xs])
     t = text_of()
+    if others is not None:
+        docs = _with_rows(docs, common, others.withColumnsRenamed({"common": "_common", "freq": "_freq"}))
     d = docs.withColumns({"_p": parts(t), "_r": rest(t)}).withColumn("_w", F.array_remove("_p", ""))
     d = d.withColumns({"_h": histogram(F.length(t), F.size("_p") - 1, F.col("_r")), "_n_words": F.size("_w").cast("long"), "_n_chars": F.length(t), "_n_dup_lines": repeated_lines(t), "_n_repeat": repeated_words(F.col("_w"))})
     if ALL in common:
-        d = d.withColumn("_cw", _by_lang(common, lambda r: common_counts(F.col("_w"), r["common"])))
+        counts = _by_lang(common, lambda r: common_counts(F.col("_w"), r["common"]))
+        if others is not None:
+            counts = F.when(F.col("_common").isNotNull(), common_counts(F.col("_w"), F.col("_common"))).otherwise(counts)
+        d = d.withColumn("_cw", counts)
     d = materialize(d.drop("_p", "_r", "_w", *(() if text else ("text",))), "measured")
     d = d.withColumns({"_word_chars": F.col("_n_chars").cast("long") - F.col("_h")[3], "_n_symbols": F.col("_h")[4], "_failed": (F.col("_n_words") < 20) | (100 * F.col("_n_repeat") > 30 * F.col("_n_words"))})
     if ALL not in common:
         return d.withColumns({"_chars": F.lit(0.0), "_words": F.lit(0.0), "_kept": ~F.col("_failed")}).drop("_h", "_n_chars")
-    chars = _few(class_counts(d))
-    chars = {k: r for k, r in chars.items() if k in common}
-    d = d.withColumn("_chars", distance(F.col("_h"), _by_lang(chars, lambda r: longs(r["chars"]))))
-    d = d.withColumn("_words", distance(F.col("_cw"), _by_lang(common, lambda r: longs(r["freq"]))))
+    sums = class_counts(d)
+    chars = {r["_lang"]: r for r in sums.filter(F.col("_lang").isin(list(common))).collect()}
+    own_chars, own_words = _by_lang(chars, lambda r: longs(r["chars"])), _by_lang(common, lambda r: longs(r["freq"]))
+    if others is not None:
+        d = _with_rows(d, common, sums.select("_lang", F.col("chars").alias("_sums")))
+        known = F.col("_freq").isNotNull()
+        own_chars, own_words = F.when(known, F.col("_sums")).otherwise(own_chars), F.when(known, F.col("_freq")).otherwise(own_words)
+    d = d.withColumns({"_chars": distance(F.col("_h"), own_chars), "_words": distance(F.col("_cw"), own_words)})
     odd = (F.col("_n_chars") >= MIN_CHARS) & (F.col("_chars") > MOST_CHARS) | (F.col("_n_words") >= MIN_WORDS) & (F.col("_words") > MOST_WORDS)
-    return d.withColumn("_kept", ~F.col("_failed") & ~odd).drop("_h", "_cw", "_n_chars")
+    return d.withColumn("_kept", ~F.col("_failed") & ~odd).drop("_h", "_cw", "_n_chars", "_common", "_freq", "_sums")
 
 
-MOST_LANGS = 512
+MOST_LANGS, HOT = 512, 16
 
 
 def keep(docs: DataFrame) -> DataFrame:
