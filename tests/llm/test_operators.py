@@ -396,6 +396,15 @@ def test_warc(spark):
     assert order == sorted(order)
 
 
+def test_warc_index_leads_into_the_stored_file(spark, tmp_path):
+    pages = spark.createDataFrame([(i, f"http://a.com/{i}", f"page {i} " * 9) for i in range(20)], "page_id long, url string, html string")
+    for r in warc.merged_index(*warc.write_archives(pages, f"file://{tmp_path}")).collect():
+        with open(tmp_path / r["warc_file"], "rb") as f:
+            f.seek(r["warc_offset"])
+            content = zlib.decompress(f.read(r["warc_length"]), 31)
+        assert warc.parse(content)["page_id"] == r["page_id"]
+
+
 def test_loser_tree():
     r = random.Random(1)
     for k in (1, 2, 3, 5, 8, 13):

@@ -126,7 +126,7 @@ def _write(folder: str):
         for batch in batches:
             for page_id, url, payload, digest, refers in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 if out is None:
-                    out, raw, n, samples = fs.open_output_stream(f"{root}/{stem}-{len(made):04d}.warc.gz"), 0, 0, []
+                    out, raw, n, samples = fs.open_output_stream(f"{root}/{stem}-{len(made):04d}.warc.gz", compression=None), 0, 0, []
                 data = record(page_id, url, payload, digest, refers)
                 c = zlib.compressobj(1, zlib.DEFLATED, 31)
                 out.write(c.compress(data) + c.flush())
@@ -193,7 +193,7 @@ def _read(folder: str, bounds):
         fs, root = _open(folder)
         for batch in batches:
             for file in batch.column(0).to_pylist():
-                with fs.open_input_stream(f"{root}/{file}") as f:
+                with fs.open_input_stream(f"{root}/{file}", compression=None) as f:
                     data = f.read()
                 found = []
                 for at, n, content in members(data):
