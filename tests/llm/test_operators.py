@@ -159,44 +159,94 @@ def test_keep_one_keeps_unlinked_texts_of_one_id(spark):
     assert sorted(got, key=str) == by_row(ngram_join.keep_one(docs.repartition(1)))
 
 
-def test_large_clusters_go_through_both_waves(spark, monkeypatch):
-    monkeypatch.setattr(ngram_join, "BLOCK", 3)
-    monkeypatch.setattr(ngram_join, "CHUNK", 4)
-    r = random.Random(2)
-    base = [f"w{i}" for i in range(200)]
-    rows = []
-    for i in range(40):
+def brute_components(rows):
+    """Components of (doc_id, text), by all pairs: shared shingles as a product of 0-1 matrices."""
+    sets = {k: {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w := WORD.findall(t.translate(UP))) >= 5 else {tuple(w)} for k, t in rows}
+    ids, names = sorted(sets), {s: i for i, s in enumerate(sorted(set().union(*sets.values())))}
+    m = np.zeros((len(ids), len(names)), np.float32)
+    for i, k in enumerate(ids):
+        m[i, [names[s] for s in sets[k]]] = 1
+    size, up = m.sum(1), np.arange(len(ids))
+    for at in range(0, len(ids), 500):
+        shared = m[at : at + 500] @ m.T
+        for i, row in enumerate(100 * shared >= 75 * (size[at : at + 500, None] + size - shared), at):
+            for root in np.unique(up[row]):
+                up[up == root] = min(up[i], root)
+    return {k: ids[up[i]] for i, k in enumerate(ids)}
+
+
+def near_copies(n, size, edits, seed):
+    r = random.Random(seed)
+    base = [f"w{i}" for i in range(size)]
+    for i in range(n):
         t = list(base)
-        for _ in range(r.randint(0, 9)):
-            t[r.randrange(200)] = f"e{r.randrange(30)}"
-        rows.append((i, " ".join(t)))
+        for _ in range(r.randint(0, edits)):
+            t[r.randrange(size)] = f"e{r.randrange(30)}"
+        yield i, " ".join(t)
+
+
+def test_ngram_join_by_waves_and_chunks(spark, monkeypatch):
+    for name, value in {"BLOCK": 6, "CHUNK": 4, "FEW": 3, "HOT_LEAST": 12, "ONE_TASK_EDGES": 10}.items():
+        monkeypatch.setattr(ngram_join, name, value)
+    rows = list(near_copies(80, 200, 12, 2)) + [(100 + i, t.replace("w", "v")) for i, t in near_copies(30, 60, 6, 3)]
+    # a passage that is most of many texts, which don't all link with each other
+    rows += [(200 + i, " ".join([f"p{j}" for j in range(50)] + [f"o{i}_{j}" for j in range(i % 17)])) for i in range(60)]
+    d = spark.createDataFrame(rows, "doc_id long, text string")
+    want = brute_components(rows)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(d).collect()} == want
+    monkeypatch.setattr(ngram_join, "MOST_HOT", 0)
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(d.repartition(7)).collect()} == want
+
+
+def test_ngram_join_of_many_near_copies(spark):
+    rows = list(near_copies(5000, 40, 3, 4))
+    want = brute_components(rows)
+    assert len(set(want.values())) > 1
     d = spark.createDataFrame(rows, "doc_id long, text string")
-    sets = {k: {tuple(t.split()[i : i + 5]) for i in range(196)} for k, t in rows}
-    seen = {k: k for k in sets}
-    for _ in range(40):
-        for a in sets:
-            for b in sets:
-                if 100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]):
-                    seen[a] = seen[b] = min(seen[a], seen[b])
-    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(d).collect()} == seen
+    assert {r["doc_id"]: r["component_id"] for r in ngram_join.near_duplicates(d).collect()} == want
+
+
+def test_blocks_of_clusters_meet_all_pairs_of_components(spark, monkeypatch):
+    monkeypatch.setattr(ngram_join, "BLOCK", 6)
+    rows = [(fp, 0 if fp < 25 else fp % 9, 4, [1, 2, 3, fp + 10]) for fp in range(60)] + [(fp, fp, 1, [fp]) for fp in range(900, 905)]
+    left = spark.createDataFrame(rows, "fp long, comp long, n long, toks array<long>")
+    blocks = {}
+    for r in ngram_join.cluster_blocks(left).collect():
+        blocks.setdefault((r["key"], r["i"], r["j"]), set()).add(r["fp"])
+    met = {(a, b) for s in blocks.values() for a in s for b in s}
+    comp = {r[0]: r[1] for r in rows}
+    assert all((a, b) in met for a in range(60) for b in range(60) if comp[a] != comp[b])
+    assert max(map(len, blocks.values())) <= 20 and not any(a >= 900 for a, _ in met)
+
+
+def test_join_edges():
+    r = np.random.default_rng(3)
+    for n, m in ((5, 3), (200, 150), (3000, 4000)):
+        a, b = r.integers(0, n, (2, m))
+        union = ngram_join.Union()
+        for x, y in zip(a.tolist(), b.tolist(), strict=True):
+            union.join(x, y)
+        nodes, comp = ngram_join.join_edges(a, b)
+        assert comp.tolist() == [union.find(x) for x in nodes.tolist()]
 
 
 def test_trie_gives_all_components():
     r = np.random.default_rng(1)
     base = np.unique(r.integers(0, 10**6, 60)).astype(np.uint64)
     sets = [np.unique(np.concatenate((base[r.random(len(base)) < 0.93], r.integers(0, 10**6, 3).astype(np.uint64)))) for _ in range(40)]
-    links = ngram_join.link_block(list(range(40)), [(s, np.ones(len(s), np.int64), len(s)) for s in sets])
+    # the same tokens, of sets that have ever more of their own
+    sizes = [len(s) for s in sets] + [50 + 3 * k for k in range(12)]
+    sets += [base[:50]] * 12
+    shared = lambda x, y: len(np.intersect1d(sets[x], sets[y]))
     a, b = ngram_join.Union(), ngram_join.Union()
-    for x, y in links:
-        i = len(np.intersect1d(sets[x], sets[y]))
-        assert 100 * i >= 75 * (len(sets[x]) + len(sets[y]) - i)
-        a.join(x, y)
-    for x in range(40):
+    for x, y in ngram_join.link_block(list(range(52)), list(zip(sets, sizes, strict=True))):
+        assert 100 * shared(x, y) >= 75 * (sizes[x] + sizes[y] - shared(x, y))
+        assert a.join(x, y)
+    for x in range(52):
         for y in range(x):
-            i = len(np.intersect1d(sets[x], sets[y]))
-            if 100 * i >= 75 * (len(sets[x]) + len(sets[y]) - i):
+            if 100 * shared(x, y) >= 75 * (sizes[x] + sizes[y] - shared(x, y)):
                 b.join(x, y)
-    assert [a.find(x) for x in range(40)] == [b.find(x) for x in range(40)]
+    assert [a.find(x) for x in range(52)] == [b.find(x) for x in range(52)] and len({a.find(x) for x in range(52)}) > 1
 
 
 def test_flac(spark, docs):

@@ -1,24 +1,33 @@
 """N-gram Jaccard join: prefix-tree join of word-shingle sets, exact, to connected components.
 
-A set is its distinct 64-bit shingle hashes in ascending order, the same order for all sets.
-A set of n shares at least a = ceil(T n / 100) with any that it links with. Hence, exactly:
+A set is its distinct 64-bit shingle hashes. A set of n shares at least a = ceil(T n / 100) with
+any that it links with. Hence, exactly:
 
 1. equal sets are one class, known by a fingerprint (`profile`);
-2. each class sends its tokens, 32 bits of each, to token buckets, where a token is live if
-   another class of fitting size has it; a class with fewer than a live tokens links with
-   nothing (`_tokens`, `_live`);
-3. of the others each keeps the first c - a + 1 of its c live tokens, which two that link must
-   have one of; what is connected by those is a cluster. A cluster of at most BLOCK sets is a
-   block. Sets of larger ones meet first by their two least tokens, then, if they are still in
-   different components, by tokens again (`_first_wave`, `_second_wave`). A block puts its sets
-   into a prefix tree, walks it with each set, shares overlaps along common paths, and prunes
-   subtrees whose remaining lengths cannot reach the threshold or that are in the set's
-   component already (`TokenTrie`). Exact counts decide; a block gives a spanning forest of its
-   links, never all pairs.
-
-Blocks of popular tokens are split into chunks: in the first wave each with the token's least
-class, in the second all pairs of chunks. Bits that tokens lack can only cause extra checks.
-Full hashes are 64 bits: unequal shingles or sets count as equal with a chance of 2**-64 a pair.
+2. each class sends its tokens to token buckets, where a token is live if another class of
+   fitting size has it, and its frequency is counted; a class with fewer than a live tokens
+   links with nothing (`survivors`);
+3. the others keep their c live tokens, rarest first. In a wave each joins one block, led by the
+   most central of the classes that share one of its `KEYS` least hashes, and links what does
+   (`wave`). That is one row a class, whatever the group's size, and finds most links; it
+   decides nothing against any;
+4. step 2 again, over the survivors: now a token is live if another *component* has it. What is
+   left of a group after a wave are classes that some other component may still hold;
+5. of those, two that link share one of their c - a + 1 rarest live tokens. What is connected
+   by these is a cluster, a small one a block; in a larger one, chunks of the largest component
+   each meet the rest, once, and only the rest, if it is more than a block, meets itself in
+   pairs of chunks (`cluster_blocks`).
+
+A block puts its sets into a prefix tree, in one global order, walks it with each set, shares
+overlaps along common paths, and prunes subtrees whose remaining lengths cannot reach the
+threshold or that are in the set's component already (`TokenTrie`). Exact counts decide; a block
+gives a spanning forest of its links, never all pairs.
+
+Tokens that a good part of all documents have are found beforehand, from counts made slice by
+slice; they are at most `MOST_HOT`, so they go to all tasks with their frequencies and are never
+gathered in a bucket. Buckets and slices grow with the square root of the input, so that a row
+between them keeps a fair number of tokens. Unequal shingles or sets count as equal with a
+chance of 2**-64 a pair.
 
 Texts with fewer than five words are one shingle of all; those without words, or null, have an
 empty set and link with nothing. Repeated rows are rows of their own in one class. A null
@@ -29,15 +38,24 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from .common import WORD, flat, materialize, mix64, parallelism, slices, table, word_hashes, words
 
 N, T = 5, 75
-BUCKET_BYTES, BLOCK, CHUNK = 24 << 20, 1024, 512
+#: Text bytes a bucket stands for at least, sets of a block, sets that a leader meets in a task.
+BUCKET_BYTES, BLOCK, CHUNK = 12 << 20, 1024, 256
+#: Least hashes by which a wave groups; waves go on while more than `FEW` sets are left of it.
+KEYS, FEW = 4, 20_000
+#: Hot tokens: most of them, documents of which at least one in `HOT_SHARE` has one, least documents.
+MOST_HOT, HOT_SHARE, HOT_LEAST = 100_000, 200, 1000
+#: Edges that one task may join by itself (16 bytes each).
+ONE_TASK_EDGES = 1 << 22
 _STEP = np.uint64(0x9E3779B97F4A7C15)
+SENT = "bucket int, fp binary, comp binary, n binary, count binary, tok binary, freq binary"
+SURVIVOR = "fp long, comp long, n long, cent double, keys array<long>, toks array<long>"
 
 
 # ------------------------------------------------------------------------------- sets
@@ -74,24 +92,44 @@ def fingerprints(tokens: np.ndarray, bounds: np.ndarray) -> np.ndarray:
     return np.where(n > 0, mix64(sums[bounds[1:]] - sums[bounds[:-1]] + n * _STEP), np.uint64(0)).view(np.int64)
 
 
-def _sets(batches, text: int):
-    """(rows, tokens, bounds, fingerprints) of slices of texts."""
+def _sets(batches, text: int, most: int = 4 << 20):
+    """(rows, bytes, tokens, bounds, fingerprints) of slices of texts."""
     for batch in batches:
         whole, offsets = flat(batch.column(text))
-        for a, b in slices(offsets):
+        for a, b in slices(offsets, most):
             tokens, bounds = shingle_sets(whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a])
-            yield batch.slice(a, b - a), tokens, bounds, fingerprints(tokens, bounds)
+            yield batch.slice(a, b - a), np.diff(offsets[a : b + 1]), tokens, bounds, fingerprints(tokens, bounds)
 
 
 def _profile(batches):
-    for rows, _, bounds, fp in _sets(batches, 1):
-        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), pa.array(fp), rows.column(2)], names=["doc_id", "n", "fp", "row"])
+    for rows, size, tokens, bounds, fp in _sets(batches, 1):
+        tok, m = np.unique(tokens, return_counts=True)
+        often = m >= max(8, len(fp) // HOT_SHARE)
+        hot = [tok[often].tobytes() + m[often].astype(np.uint64).tobytes() if often.any() else None] + [None] * (len(fp) - 1)
+        yield pa.RecordBatch.from_arrays([rows.column(0), pa.array(np.diff(bounds)), pa.array(fp), rows.column(2), pa.array(size), pa.array(hot, pa.binary())], names=["doc_id", "n", "fp", "row", "bytes", "hot"])
 
 
 def profile(docs: DataFrame, row: Column | None = None) -> DataFrame:
-    """(doc_id, n, fp, row): size and fingerprint of each document's set; row as given."""
+    """(doc_id, n, fp, row, bytes, hot): size and fingerprint of each document's set; row as given;
+    bytes of the text; with a slice's first document, what many of the slice's have."""
     row = F.lit(None).cast("long") if row is None else row
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row.alias("row")).mapInArrow(_profile, "doc_id long, n long, fp long, row long")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row.alias("row")).mapInArrow(_profile, "doc_id long, n long, fp long, row long, bytes long, hot binary")
+
+
+def _hot_counts(batches):
+    for b in batches:
+        for raw in b.column(0).to_pylist():
+            both = np.frombuffer(raw, np.int64)
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in np.split(both, 2)], names=["tok", "m"])
+
+
+def hot_tokens(base: DataFrame, docs: int) -> tuple[np.ndarray, np.ndarray]:
+    """Tokens of many documents, ascending, and in how many slices' documents they were seen."""
+    counts = base.select("hot").filter("hot is not null").mapInArrow(_hot_counts, "tok long, m long").groupBy("tok").agg(F.sum("m").alias("m"))
+    rows = counts.filter(F.col("m") >= max(HOT_LEAST, docs // HOT_SHARE)).orderBy(F.desc("m"), "tok").limit(MOST_HOT).collect()
+    tok, m = np.array([r["tok"] for r in rows], np.int64).view(np.uint64), np.array([r["m"] for r in rows], np.int64)
+    order = np.argsort(tok)
+    return tok[order], m[order]
 
 
 # --------------------------------------------------------------------------- live tokens
@@ -107,51 +145,170 @@ def _need(n: str = "n"):
     return F.floor((F.lit(T) * F.col(n) + 99) / 100)
 
 
-def _tokens(n_buckets: int):
-    def run(batches):
-        for _, tokens, bounds, fp in _sets(batches, 0):
+def _pack(bucket, e, tok, freq, fp, comp, n) -> list[tuple]:
+    """A row for each bucket: its entries e (fp, comp, n), and their tokens."""
+    key = bucket * len(fp) + e
+    order = np.argsort(key, kind="stable")
+    key, tok = key[order], tok[order]
+    freq = freq if freq is None else freq[order]
+    at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]]) if len(key) else np.zeros(0, np.int64)
+    of = np.r_[at, len(key)]
+    b, d = np.divmod(key[at], max(1, len(fp)))
+    which, first = np.unique(b, return_index=True)
+    cut = np.r_[first, len(b)]
+    out = []
+    for k, x, y in zip(which.tolist(), cut[:-1].tolist(), cut[1:].tolist(), strict=True):
+        own, lo, hi = d[x:y], of[x], of[y]
+        out.append((k, fp[own].tobytes(), comp if comp is None else comp[own].tobytes(), n[own].astype(np.uint32).tobytes(), np.diff(of[x : y + 1]).astype(np.uint32).tobytes(), tok[lo:hi].tobytes(), freq if freq is None else freq[lo:hi].tobytes()))
+    return out
+
+
+def _unpack(t: pa.Table):
+    """(fp, comp, n, count, tok, freq) of packed rows; what they lack is None."""
+    get = lambda c, kind: np.frombuffer(b"".join(x for x in t[c].to_pylist() if x is not None), kind)
+    fp, comp, freq = get("fp", np.int64), get("comp", np.int64), get("freq", np.uint16)
+    return fp, comp if len(comp) else None, get("n", np.uint32).astype(np.int64), get("count", np.uint32).astype(np.int64), get("tok", np.uint64), freq
+
+
+def _runs(start: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """start[0], start[0] + 1, ... count[0] of them, then those of the next."""
+    return np.repeat(start - (np.cumsum(count) - count), count) + np.arange(count.sum())
+
+
+def _home(fp: np.ndarray, n: int) -> np.ndarray:
+    return (mix64(fp.view(np.uint64)) % np.uint64(n)).astype(np.int64)
+
+
+def _deal(n_buckets: int, hot: tuple, blocks):
+    """Packed rows for token buckets, from (fp, comp, n, tokens, bounds) of distinct sets. Hot tokens
+    go, with their frequencies, to the bucket that stands for their class."""
+    hot_tok, hot_m = hot
+    kinds = [pa.int32(), *[pa.binary()] * 6]
+    names = [x.split()[0] for x in SENT.split(", ")]
+    for fp, comp, n, tokens, bounds in blocks:
+        e = np.repeat(np.arange(len(fp)), np.diff(bounds))
+        rows = []
+        if len(hot_tok):
+            at = np.minimum(np.searchsorted(hot_tok, tokens), len(hot_tok) - 1)
+            is_hot = hot_tok[at] == tokens
+            live = is_hot & (hot_m[at] > 1)  # a frequency of 1: known to be of one component
+            rows = _pack(_home(fp, n_buckets)[e[live]], e[live], tokens[live], np.minimum(hot_m[at[live]], 65535).astype(np.uint16), fp, comp, n)
+            tokens, e = tokens[~is_hot], e[~is_hot]
+        rows += _pack(((tokens >> np.uint64(32)) % np.uint64(n_buckets)).astype(np.int64), e, tokens, None, fp, comp, n)
+        if rows:
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], names=names)
+
+
+def _from_texts(n_buckets: int, most: int, hot: tuple):
+    def distinct(batches):
+        for _, _, tokens, bounds, fp in _sets(batches, 0, most):
             n = np.diff(bounds)
             _, first = np.unique(fp, return_index=True)
             first = first[n[first] > 0]
-            if not len(first):
-                continue
-            n, start, fp = n[first], bounds[:-1][first], fp[first]
-            doc = np.repeat(np.arange(len(n)), n)
-            tok = tokens[np.repeat(start - (np.cumsum(n) - n), n) + np.arange(n.sum())]
-            bucket = ((tok >> np.uint64(32)) & np.uint64(0xFFFFFF)).astype(np.int64) % n_buckets
-            key = bucket * len(n) + doc
-            order = np.argsort(key, kind="stable")
-            key, tok = key[order], (tok[order] & np.uint64(0xFFFFFFFF)).astype(np.uint32)
-            at = np.flatnonzero(np.r_[True, key[1:] != key[:-1]])
-            count = np.diff(np.r_[at, len(key)]).astype(np.uint32)
-            b, d = key[at] // len(n), key[at] % len(n)
-            cut, of = np.searchsorted(b, np.arange(n_buckets + 1)), np.r_[at, len(key)]
-            rows = [(i, fp[d[x:y]].tobytes(), n[d[x:y]].astype(np.uint32).tobytes(), count[x:y].tobytes(), tok[of[x] : of[y]].tobytes()) for i, (x, y) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if y > x]
-            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*rows, strict=True), (pa.int32(), *[pa.binary()] * 4), strict=True)], names=["bucket", "fp", "n", "count", "tok"])
+            yield fp[first], None, n[first], tokens[_runs(bounds[:-1][first], n[first])], np.concatenate(([0], np.cumsum(n[first])))
+
+    return lambda batches: _deal(n_buckets, hot, distinct(batches))
+
+
+def _from_survivors(n_buckets: int, hot: tuple):
+    def each(batches):
+        for b in batches:
+            fp, comp, n, (tokens, bounds) = *(b.column(i).to_numpy() for i in range(3)), _lists(b.column(3))
+            yield fp, comp, n, tokens, bounds
+
+    return lambda batches: _deal(n_buckets, hot, each(batches))
+
+
+def _lists(column) -> tuple[np.ndarray, np.ndarray]:
+    bounds = column.offsets.to_numpy().astype(np.int64)
+    return column.values.to_numpy(zero_copy_only=False)[bounds[0] : bounds[-1]].view(np.uint64), bounds - bounds[0]
+
+
+def _live(n_homes: int):
+    """Of a bucket, for each class its tokens that another class (component, if known) of fitting
+    size has, with their frequencies, packed by homes of classes."""
+
+    def run(t: pa.Table) -> pa.Table:
+        judged = pc.is_null(t["freq"])
+        fp, comp, n, count, tok, _ = _unpack(t.filter(judged))
+        known = _unpack(t.filter(pc.invert(judged)))
+        # a class that came from several slices has the same tokens in each; smaller sets first
+        _, own = np.unique(fp, return_index=True)
+        own = own[np.argsort(n[own], kind="stable")]
+        start = np.cumsum(count) - count
+        tok, e = tok[_runs(start[own], count[own])], np.repeat(np.arange(len(own)), count[own])
+        fp, n, comp = fp[own], n[own], None if comp is None else comp[own]
+        order = np.argsort(tok, kind="stable")
+        tok, e = tok[order], e[order]
+        same = tok[1:] == tok[:-1]
+        near = same & (100 * n[e[:-1]] >= T * n[e[1:]])
+        live = np.r_[False, near] | np.r_[near, False] if len(tok) else np.zeros(0, bool)
+        at = np.flatnonzero(np.r_[True, ~same]) if len(tok) else np.zeros(0, np.int64)
+        m = np.diff(np.r_[at, len(tok)])
+        if comp is not None and len(tok):
+            c = comp[e]
+            live &= np.repeat(np.minimum.reduceat(c, at) != np.maximum.reduceat(c, at), m)
+        freq = np.minimum(np.repeat(m, m)[live], 65535).astype(np.uint16)
+        rows = _pack(_home(fp, n_homes)[e[live]], e[live], tok[live], freq, fp, comp, n)
+        fp, comp, n, count, tok, freq = known
+        _, own = np.unique(fp, return_index=True)
+        at = _runs((np.cumsum(count) - count)[own], count[own])
+        e = np.repeat(np.arange(len(own)), count[own])
+        rows += _pack(_home(fp[own], n_homes)[e], e, tok[at], freq[at], fp[own], None if comp is None else comp[own], n[own])
+        names = [x.split()[0] for x in SENT.split(", ")]
+        return pa.table([pa.array(c, k) for c, k in zip(zip(*rows, strict=True) if rows else [[]] * 7, [pa.int32(), *[pa.binary()] * 6], strict=True)], names)
 
     return run
 
 
-def _live(t: pa.Table) -> pa.Table:
-    """Of a bucket, for each class its tokens that another class of fitting size has."""
-    bucket = t["bucket"][0].as_py()
-    join = lambda c, kind: np.frombuffer(b"".join(t[c].to_pylist()), kind)
-    fp, n, count, tok = join("fp", np.int64), join("n", np.uint32).astype(np.int64), join("count", np.uint32), join("tok", np.uint32)
+def _gather(t: pa.Table) -> pa.Table:
+    """Of a home's classes those with enough live tokens, and these, rarest first."""
+    fp, comp, n, count, tok, freq = _unpack(t)
     own, at, back = np.unique(fp, return_index=True, return_inverse=True)
-    n = n[at]
-    rank = np.empty(len(own), np.int64)
-    by_size = np.argsort(n, kind="stable")
-    rank[by_size] = np.arange(len(own))
-    key = np.unique(tok.astype(np.uint64) << np.uint64(32) | np.repeat(rank[back], count).astype(np.uint64))
-    tok, doc = key >> np.uint64(32), by_size[(key & np.uint64(0xFFFFFFFF)).astype(np.int64)]
-    near = (tok[1:] == tok[:-1]) & (100 * n[doc[:-1]] >= T * n[doc[1:]])
-    live = np.r_[False, near] | np.r_[near, False]
-    tok, doc = tok[live].astype(np.uint32).view(np.int32), doc[live]
-    order = np.argsort(doc, kind="stable")
-    tok, doc = tok[order], doc[order]
-    first = np.flatnonzero(np.r_[True, doc[1:] != doc[:-1]]) if len(doc) else np.zeros(0, np.int64)
-    lists = pa.ListArray.from_arrays(pa.array(np.r_[first, len(doc)].astype(np.int32)), pa.array(tok))
-    return pa.table({"bucket": pa.array(np.full(len(first), bucket, np.int32)), "fp": own[doc[first]], "n": n[doc[first]], "toks": lists})
+    n, comp = n[at], own if comp is None else comp[at]
+    cls = np.repeat(back, count)
+    keep = np.bincount(cls, minlength=len(own)) >= least_shared(n)
+    mine = keep[cls]
+    cls, tok, freq = cls[mine], tok[mine], freq[mine]
+    order = np.lexsort((tok, freq, cls))
+    cls, tok, freq = cls[order], tok[order], freq[order]
+    c = np.bincount(cls, minlength=len(own))[keep]
+    bounds = np.concatenate(([0], np.cumsum(c))).astype(np.int32)
+    hashes = [np.minimum.reduceat(mix64(tok + np.uint64(j + 1) * _STEP), bounds[:-1]) if len(c) else np.zeros(0, np.uint64) for j in range(KEYS)]
+    lists = lambda to, values: pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(values.view(np.int64)))
+    cent = np.bincount(cls, np.log2(1.0 + freq), len(own))[keep] / n[keep]
+    return pa.table({"fp": own[keep], "comp": comp[keep], "n": n[keep], "cent": cent, "keys": lists(np.arange(len(c) + 1) * KEYS, np.stack(hashes, 1).ravel()), "toks": lists(bounds, tok)})
+
+
+def survivors(sent: DataFrame, n: int) -> DataFrame:
+    """Classes with as many live tokens as a link needs."""
+    return sent.groupBy("bucket").applyInArrow(_live(n), SENT).groupBy("bucket").applyInArrow(_gather, SURVIVOR)
+
+
+def _hot_apart(hot_tok: np.ndarray):
+    def run(batches):
+        for b in batches:
+            comp, (tokens, bounds) = b.column(0).to_numpy(), _lists(b.column(1))
+            at = np.minimum(np.searchsorted(hot_tok, tokens), len(hot_tok) - 1)
+            is_hot = hot_tok[at] == tokens
+            at, c = at[is_hot], np.repeat(comp, np.diff(bounds))[is_hot]
+            order = np.argsort(at, kind="stable")
+            at, c = at[order], c[order]
+            if len(at):
+                cut = np.flatnonzero(np.r_[True, at[1:] != at[:-1]])
+                yield pa.RecordBatch.from_arrays([pa.array(x) for x in (hot_tok[at[cut]].view(np.int64), np.minimum.reduceat(c, cut), np.maximum.reduceat(c, cut), np.diff(np.r_[cut, len(at)]))], names=["tok", "lo", "hi", "m"])
+
+    return run
+
+
+def hot_apart(left: DataFrame, hot: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """The hot tokens again, counted over left; those of one component get a frequency of 1."""
+    if not len(hot[0]):
+        return hot
+    rows = left.select("comp", "toks").mapInArrow(_hot_apart(hot[0]), "tok long, lo long, hi long, m long").groupBy("tok").agg(F.min("lo").alias("lo"), F.max("hi").alias("hi"), F.sum("m").alias("m")).filter("lo <> hi").collect()
+    m = np.ones(len(hot[0]), np.int64)
+    m[np.searchsorted(hot[0], np.array([r["tok"] for r in rows], np.int64).view(np.uint64))] = [max(2, r["m"]) for r in rows]
+    return hot[0], m
 
 
 # --------------------------------------------------------------------------- prefix tree
@@ -179,83 +336,92 @@ class Union:
 
 
 class _Node:
-    __slots__ = ("part", "weights", "below", "ends", "least", "most", "one", "mixed")
+    __slots__ = ("part", "below", "ends", "least", "most", "deepest", "one", "mixed")
 
-    def __init__(self, part: np.ndarray, weights: np.ndarray):
-        self.part, self.weights, self.below, self.ends = part, weights, {}, []
-        self.least, self.most, self.one, self.mixed = 1 << 60, 0, None, False
+    def __init__(self, part: np.ndarray):
+        self.part, self.below, self.ends = part, {}, []
+        self.least, self.most, self.deepest, self.one, self.mixed = 1 << 60, 0, 0, None, False
 
-    def note(self, n: int, name, union: Union) -> None:
-        self.least, self.most = min(self.least, n), max(self.most, n)
+    def note(self, n: int, c: int, name, union: Union) -> None:
+        self.least, self.most, self.deepest = min(self.least, n), max(self.most, n), max(self.deepest, c)
         if self.one is None:
             self.one = name
         elif not self.mixed and union.find(self.one) != union.find(name):
             self.mixed = True
 
+    def within(self, name, union: Union) -> bool:
+        """All below is in the component of name."""
+        return not self.mixed and self.one is not None and union.find(self.one) == union.find(name)
+
 
 class TokenTrie:
-    """Sets as paths of ascending tokens, in stretches of at most `STRETCH`. A token may stand for
-    several, by its weight; a set's size counts all of its tokens, whether listed or not."""
+    """Sets as paths of ascending tokens, in stretches of at most `STRETCH`. A set may list only
+    some of its tokens, those that others can share; its size counts all."""
 
     STRETCH = 64
 
     def __init__(self, union: Union):
-        self.union, self.root = union, _Node(np.zeros(0, np.uint64), np.zeros(0, np.int64))
+        self.union, self.root = union, _Node(np.zeros(0, np.uint64))
 
-    def add(self, name, s: np.ndarray, w: np.ndarray, n: int) -> None:
+    def add(self, name, s: np.ndarray, n: int) -> None:
         node, at = self.root, 0
         while True:
-            node.note(n, name, self.union)
+            node.note(n, len(s), name, self.union)
             if at == len(s):
-                node.ends.append((name, n))
+                node.ends.append((n, name))
+                node.ends.sort()
                 return
             child = node.below.get(s[at])
             if child is None:
-                child = node.below[s[at]] = _Node(s[at : at + self.STRETCH], w[at : at + self.STRETCH])
+                child = node.below[s[at]] = _Node(s[at : at + self.STRETCH])
             part = child.part
             k = min(len(part), len(s) - at)
             off = np.flatnonzero(part[:k] != s[at : at + k])
             k = int(off[0]) if len(off) else k
             if k < len(part):  # part ways here
-                upper = _Node(part[:k], child.weights[:k])
-                upper.least, upper.most, upper.one, upper.mixed = child.least, child.most, child.one, child.mixed
+                upper = _Node(part[:k])
+                upper.least, upper.most, upper.deepest, upper.one, upper.mixed = child.least, child.most, child.deepest, child.one, child.mixed
                 upper.below[part[k]] = child
                 node.below[s[at]] = upper
-                child.part, child.weights = part[k:], child.weights[k:]
+                child.part = part[k:]
                 child = upper
             node, at = child, at + k
 
-    def links(self, name, s: np.ndarray, w: np.ndarray, n: int):
+    def links(self, name, s: np.ndarray, n: int):
         """Names of sets that link with s, one at least of each component that does."""
         union, last = self.union, len(s) - 1
-        rest = np.concatenate((np.cumsum(w[::-1])[::-1], [0]))  # weight from each place on
         stack = [(self.root, 0, 0)]
         while stack:
             node, shared, depth = stack.pop()
-            for other, m in node.ends:
-                if 100 * shared >= T * (n + m - shared) and union.join(name, other):
-                    yield other
-            for child in node.below.values():
-                if 100 * child.most < T * n or 100 * n < T * child.least or not child.mixed and union.find(child.one) == union.find(name):
+            if node.within(name, union):
+                continue
+            # the ends of a node list the same tokens: the smallest of those that link speaks for all
+            fit = 0
+            while fit < len(node.ends) and 100 * shared >= T * (n + node.ends[fit][0] - shared):
+                if union.join(name, node.ends[fit][1]):
+                    yield node.ends[fit][1]
+                fit += 1
+            del node.ends[1:fit]
+            for child in reversed(node.below.values()):
+                if 100 * child.most < T * n or 100 * n < T * child.least or child.within(name, union):
                     continue
                 at = np.searchsorted(s, child.part)
                 same = s[np.minimum(at, last)] == child.part
-                both = shared + int(child.weights[same].sum())
-                deep = depth + int(child.weights.sum())
-                best = both + min(int(rest[at[-1] + same[-1]]), child.most - deep)
+                both, deep = shared + int(same.sum()), depth + len(child.part)
+                best = both + min(last + 1 - int(at[-1]) - int(same[-1]), child.deepest - deep)
                 if (100 + T) * best >= T * (n + max(child.least, deep)):
                     stack.append((child, both, deep))
 
 
-def link_block(names: list, sets: list[tuple[np.ndarray, np.ndarray, int]], components: list | None = None) -> list[tuple]:
-    """A spanning forest of the links among sets (tokens, weights, size), beyond what the
-    components have joined."""
+def link_block(names: list, sets: list[tuple[np.ndarray, int]], components: list | None = None) -> list[tuple]:
+    """A spanning forest of the links among sets (tokens, size), beyond what the components have
+    joined. The first set goes first, the others by size."""
     union = Union()
     for name, c in zip(names, components or (), strict=False):
         if c is not None:
             union.join(name, c)
     trie, out = TokenTrie(union), []
-    for i in sorted(range(len(names)), key=lambda i: sets[i][2]):
+    for i in [*range(min(1, len(names))), *sorted(range(1, len(names)), key=lambda i: sets[i][1])]:
         if len(sets[i][0]):
             out += [(names[i], other) for other in trie.links(names[i], *sets[i])]
             trie.add(names[i], *sets[i])
@@ -263,7 +429,7 @@ def link_block(names: list, sets: list[tuple[np.ndarray, np.ndarray, int]], comp
 
 
 def _blocks(batches):
-    """Rows (key, i, j, fp, comp, n, set, weights), sorted by block: links of each block."""
+    """Rows (key, i, j, fp, comp, n, toks), sorted by block: links of each block."""
     key, names, comps, sets, out = None, [], [], [], []
 
     def flush():
@@ -276,153 +442,165 @@ def _blocks(batches):
         return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
     for batch in batches:
-        for *k, fp, comp, n, s, w in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        tokens, bounds = _lists(batch.column(6))
+        for r, (*k, fp, comp, n) in enumerate(zip(*(c.to_pylist() for c in batch.columns[:6]), strict=True)):
             if k != key:
                 flush()
                 key, names, comps, sets = k, [], [], []
             if not names or names[-1] != fp:
                 names.append(fp)
                 comps.append(comp)
-                s = np.frombuffer(s, np.uint64)
-                sets.append((s, np.ones(len(s), np.int64) if w is None else np.array(w, np.int64), n or len(s)))
+                sets.append((np.sort(tokens[bounds[r] : bounds[r + 1]]), n))
         yield rows()
     flush()
     yield rows()
 
 
-def _links(blocks: DataFrame, sets: DataFrame) -> DataFrame:
-    """Links of blocks (key, i, j, fp, comp)."""
-    b = blocks.join(sets, "fp").select("key", "i", "j", "fp", "comp", "n", "set", "weights")
-    return b.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j", "fp").mapInArrow(_blocks, "a long, b long")
+def _links(blocks: DataFrame, left: DataFrame) -> DataFrame:
+    """Links of blocks (key, i, j, fp, first); what is first leads its block."""
+    b = blocks.join(left.select("fp", "comp", "n", "toks"), "fp").repartition("key", "i", "j")
+    return b.sortWithinPartitions("key", "i", "j", F.desc("first"), "fp").select("key", "i", "j", "fp", "comp", "n", "toks").mapInArrow(_blocks, "a long, b long")
+
+
+# --------------------------------------------------------------------------- components
+
+
+def join_edges(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Nodes of the edges and, for each, the least node of its component."""
+    nodes, at = np.unique(np.concatenate((a, b)), return_inverse=True)
+    label = np.arange(len(nodes))
+    x, y = np.split(at, 2)
+    while len(x):
+        hi, lo = np.maximum(x, y), np.minimum(x, y)
+        order = np.lexsort((lo, hi))
+        hi, lo = hi[order], lo[order]
+        first = np.r_[True, hi[1:] != hi[:-1]]
+        label[hi[first]] = lo[first]  # roots hang on smaller ones, so there is no cycle
+        while (label != (up := label[label])).any():
+            label = up
+        x, y = label[x], label[y]
+        x, y = x[x != y], y[x != y]
+    return nodes, nodes[label]
+
+
+def _one_task(batches):
+    parts = [(b.column(0).to_numpy(), b.column(1).to_numpy()) for b in batches]
+    if parts:
+        nodes, comp = join_edges(*(np.concatenate(p) for p in zip(*parts, strict=True)))
+        yield from pa.table({"fp": nodes, "comp": comp}).to_batches(max_chunksize=100_000)
 
 
 def components(links: DataFrame) -> DataFrame:
-    """(fp, comp) for every end of a link: the least end of its component. Each round every node
-    goes to its least neighbour and the graph shrinks to the nodes that are left."""
+    """(fp, comp) for every end of a link (a, b): the least end of its component. In each round every
+    node goes to its least neighbour and the graph shrinks to the nodes that are left, until the
+    edges are few enough, by count, for one task."""
     edges = materialize(links.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), "edges")
     names = None
-    while not edges.isEmpty():
+    while edges.count() > ONE_TASK_EDGES:
         both = edges.union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
         least = both.groupBy("a").agg(F.min("b").alias("b")).select(F.col("a").alias("fp"), F.least("a", "b").alias("comp"))
         least = materialize(least, "steps")
-        if names is None:
-            names = least
-        else:
-            step = least.select(F.col("fp").alias("comp"), F.col("comp").alias("_to"))
-            names = materialize(names.join(step, "comp", "left").select("fp", F.coalesce("_to", "comp").alias("comp")), "names")
+        names = _renamed(names, least)
         a, b = (least.select(F.col("fp").alias(x), F.col("comp").alias(f"_{x}")) for x in "ab")
         edges = edges.join(a, "a").join(b, "b").filter("_a <> _b").select(F.greatest("_a", "_b").alias("a"), F.least("_a", "_b").alias("b")).distinct()
         edges = materialize(edges, "edges")
-    return names if names is not None else edges.select(F.col("a").alias("fp"), F.col("b").alias("comp"))
+    return _renamed(names, materialize(edges.coalesce(1).mapInArrow(_one_task, "fp long, comp long"), "names"))
 
 
-# ---------------------------------------------------------------------------- the operator
+def _renamed(names: DataFrame | None, step: DataFrame) -> DataFrame:
+    if names is None:
+        return step
+    step = step.select(F.col("fp").alias("comp"), F.col("comp").alias("to"))
+    return materialize(names.join(step, "comp", "left").select("fp", F.coalesce("to", "comp").alias("comp")), "names")
 
 
-def _survivor_sets(batches):
-    for rows, tokens, bounds, fp in _sets(batches, 1):
-        keep = [i for i, (want, have) in enumerate(zip(rows.column(0).to_pylist(), fp.tolist(), strict=True)) if want == have]
-        yield pa.RecordBatch.from_arrays([pa.array(fp[keep]), pa.array([tokens[bounds[i] : bounds[i + 1]].tobytes() for i in keep], pa.binary())], names=["fp", "set"])
+# ---------------------------------------------------------------------------- the operator
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
-    """(doc_id, n_shingles, component_id), a row for each of docs (doc_id, text)."""
-    base = materialize(profile(docs), "profile")
-    joined = _class_components(docs, base)
-    least = joined.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    out = joined.join(least, "comp").select("fp", "component_id")
-    return base.join(out, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+def wave(left: DataFrame) -> DataFrame:
+    """Links of each survivor's block: the others that follow the same leader, in chunks, each led
+    by it. At most KEYS + 1 rows a survivor, before and after."""
+    rows = left.select("fp", "cent", F.posexplode("keys").alias("j", "key"))
+    leads = rows.groupBy("j", "key").agg(F.count("*").alias("m"), F.max(F.struct("cent", "fp")).alias("lead")).filter("m > 1")
+    leads = materialize(leads.select("j", "key", F.ceil(F.col("m") / CHUNK).cast("int").alias("chunks"), "lead"), "leads")
+    best = F.max(F.struct("lead", "chunks", "j", "key")).alias("best")
+    own = rows.join(leads, ["j", "key"]).groupBy("fp").agg(best).select("fp", "best.*")
+    own = own.select("key", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("i"), "j", "fp", (F.col("fp") == F.col("lead.fp")).alias("first"))
+    heads = leads.select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), "j", F.col("lead.fp").alias("fp"), F.lit(True).alias("first"))
+    return _links(own.filter("not first").union(heads), left)
 
 
-def _class_components(docs: DataFrame, base: DataFrame) -> DataFrame:
-    """(fp, rep, comp): the least doc_id and the component of each class in base, docs' profile."""
+def cluster_blocks(left: DataFrame) -> DataFrame:
+    """Blocks (key, i, j, fp, first) in which all pairs of survivors that may link, and are of
+    different components, meet."""
+    rows = left.select("fp", F.explode(F.slice("toks", F.lit(1), (F.size("toks") - _need() + 1).cast("int"))).alias("key"))
+    heads = materialize(rows.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("head")).filter("m > 1").select("key", "head"), "heads")
+    stars = rows.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
+    clusters = components(stars).withColumnRenamed("comp", "key").join(left.select("fp", "comp"), "fp")
+    clusters = materialize(clusters, "clusters")
+    parts = clusters.groupBy("key", "comp").agg(F.count("*").alias("k"))
+    sizes = parts.groupBy("key").agg(F.sum("k").alias("m"), F.count("*").alias("comps"), F.max(F.struct("k", "comp")).alias("top"))
+    # what is of one component has nothing left to find
+    sizes = materialize(sizes.filter("comps > 1").select("key", "m", F.col("top.k").alias("k"), F.col("top.comp").alias("top")), "sizes")
+    c = clusters.join(sizes, "key")
+    hash_ = lambda n: F.pmod(F.xxhash64("fp"), n).cast("int")
+    none, zero = F.lit(False).alias("first"), F.lit(0)
+    small = c.filter(F.col("m") <= BLOCK).select("key", zero.alias("i"), zero.alias("j"), "fp", none)
+    large = c.filter(F.col("m") > BLOCK)
+    tops, rests = (F.greatest(F.lit(1), F.ceil(n * 2 / BLOCK)).cast("int") for n in (F.col("k"), F.col("m") - F.col("k")))
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    large = large.withColumns({"tops": tops, "rests": rests})
+    # chunk i of the largest component meets chunk j of the rest
+    main = large.filter("comp = top").select("key", (hash_(F.col("tops")) + 1).alias("i"), F.explode(upto(F.col("rests"))).alias("j"), "fp", none)
+    rest = large.filter("comp <> top").withColumn("c", hash_(F.col("rests")))
+    meets = rest.select("key", F.explode(F.transform(upto(F.col("tops")), lambda x: x + 1)).alias("i"), F.col("c").alias("j"), "fp", none)
+    # chunks of the rest meet each other
+    pairs = rest.select("key", "c", F.explode(upto(F.col("rests"))).alias("o"), "fp")
+    pairs = pairs.select("key", (-F.greatest("c", "o") - 1).alias("i"), F.least("c", "o").alias("j"), "fp", none)
+    return small.union(main).union(meets).union(pairs)
+
+
+def linked(docs: DataFrame, base: DataFrame) -> DataFrame:
+    """(fp, comp) of all classes that link with another; base is docs' profile."""
     spark = docs.sparkSession
-    docs = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    size = docs.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
-    n = parallelism(spark, size, BUCKET_BYTES)
-    classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
-    sent = docs.select("text").mapInArrow(_tokens(n), "bucket int, fp binary, n binary, count binary, tok binary")
-    live = sent.groupBy("bucket").applyInArrow(_live, "bucket int, fp long, n long, toks array<int>")
-    whole = F.transform("toks", lambda t: F.shiftleft(F.col("bucket").cast("long"), 32) + t.cast("long").bitwiseAND(0xFFFFFFFF))
-    # a class's tokens, of as many buckets as there are, meet once; no row is joined back to its buckets
-    left = live.groupBy("fp", "n").agg(F.flatten(F.collect_list(whole)).alias("toks")).filter(F.size("toks") >= _need())
-    left = materialize(left.withColumn("toks", F.sort_array("toks")), "survivors")
-    names = None
-    if not left.isEmpty():
-        want = left.select("fp").join(classes, "fp").select(F.col("fp").alias("_fp"), F.col("rep").alias("_rep"))
-        texts = docs.join(want, docs["doc_id"].eqNullSafe(want["_rep"])).select("_fp", "text")
-        sets = texts.mapInArrow(_survivor_sets, "fp long, set binary").dropDuplicates(["fp"])
-        sets = materialize(sets.withColumns({"n": F.lit(None).cast("long"), "weights": F.lit(None).cast("array<long>")}), "sets")
-        names = components(_verify(left, sets))
-    if names is None:
-        return classes.withColumn("comp", F.col("fp"))
-    return classes.join(names, "fp", "left").select("fp", "rep", F.coalesce("comp", "fp").alias("comp"))
+    size, count = base.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
+    hot = hot_tokens(base, count)
+    n = parallelism(spark, size, max(BUCKET_BYTES, int(32 * size**0.5)))
+    sent = docs.select("text").mapInArrow(_from_texts(n, max(4 << 20, 256 * n), hot), SENT)
+    left = materialize(survivors(sent, n), "survivors")
+    count, links, names = left.count(), [], None
+    while count:
+        links.append(materialize(wave(left), "links"))
+        names = components(_union(links))
+        now = left.select("fp", "n", "toks").join(names, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
+        now = materialize(now, "named")
+        left = materialize(survivors(now.select("fp", "comp", "n", "toks").mapInArrow(_from_survivors(n, hot_apart(now, hot)), SENT), n), "survivors")
+        before, count = count, left.count()
+        if count <= FEW or 2 * count > before:
+            break
+    if count:
+        links.append(materialize(_links(cluster_blocks(left), left), "links"))
+        names = components(_union(links))
+    return names if names is not None else left.select("fp", "comp")
+
+
+def _union(frames: list[DataFrame]) -> DataFrame:
+    out = frames[0]
+    for f in frames[1:]:
+        out = out.union(f)
+    return out
 
 
-def _verify(left: DataFrame, sets: DataFrame) -> DataFrame:
-    """The links among all survivors, up to what components need."""
-    rows = left.select("fp", F.explode(F.slice("toks", F.lit(1), (F.size("toks") - _need() + 1).cast("int"))).alias("key"))
-    small, large = _clusters(rows)
-    links = materialize(_links(small.select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.lit(None).cast("long").alias("comp")), sets), "links")
-    if large is None:
-        return links
-    rest = materialize(left.join(large, "fp", "left_semi"), "large")
-    first = materialize(_first_wave(rest, sets), "links")
-    more = _second_wave(rest, sets, components(first))
-    links = links.union(first)
-    return links if more is None else links.union(more)
-
-
-def _clusters(rows: DataFrame) -> tuple[DataFrame, DataFrame | None]:
-    """What tokens connect in rows (key, fp): (fp, key) of clusters of at most BLOCK sets, known by
-    their least; the sets of larger ones, None if there are none."""
-    heads = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("head")).filter("m > 1").select("key", "head")
-    stars = rows.join(heads, "key").filter("fp <> head").select(F.col("fp").alias("a"), F.col("head").alias("b"))
-    clusters = components(stars).select("fp", F.col("comp").alias("key"))
-    sizes = materialize(clusters.groupBy("key").agg(F.count("*").alias("m")), "clusters")
-    small = clusters.join(sizes.filter(F.col("m") <= BLOCK), "key").select("fp", "key")
-    large = sizes.filter(F.col("m") > BLOCK)
-    return small, None if large.isEmpty() else clusters.join(large, "key").select("fp")
-
-
-def _first_wave(left: DataFrame, sets: DataFrame) -> DataFrame:
-    rows = left.select("fp", F.explode(F.slice("toks", 1, 2)).alias("key"))
-    groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("fp").alias("head")).filter("m > 1")
-    groups = groups.withColumn("chunks", F.ceil(F.col("m") / CHUNK).cast("int"))
-    own = rows.join(groups, "key").select("key", F.pmod(F.xxhash64("fp"), F.col("chunks")).cast("int").alias("i"), "fp")
-    heads = groups.filter("chunks > 1").select("key", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)).alias("i"), F.col("head").alias("fp"))
-    blocks = own.union(heads).distinct().select("key", "i", F.lit(0).alias("j"), "fp", F.lit(None).cast("long").alias("comp"))
-    return _links(blocks, sets)
-
-
-def _second_wave(left: DataFrame, sets: DataFrame, names: DataFrame) -> DataFrame | None:
-    """Links of what shares tokens across components; None if nothing does enough to link."""
-    rows = left.select("fp", "n", F.explode("toks").alias("key")).join(names, "fp", "left").withColumn("comp", F.coalesce("comp", "fp")).withColumn("w", F.lit(1).cast("long"))
-    order = W.partitionBy("fp").orderBy("m", "key")
-    for _ in range(2):
-        groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.bit_xor(F.xxhash64("fp")).alias("who"), F.min("comp").alias("lo"), F.max("comp").alias("hi"), F.max("w").alias("w"))
-        # tokens of the same sets are one, with their number as weight
-        groups = groups.filter("lo <> hi").groupBy("m", "who").agg(F.min("key").alias("key"), F.sum("w").alias("w")).select("key", "m", "w")
-        rows = rows.select("fp", "n", "key", "comp").join(groups, "key").withColumn("c", F.sum("w").over(W.partitionBy("fp")))
-        # what two that link share weighs at least `_need`: what can be left out of each weighs less
-        before = F.coalesce(F.sum("w").over(order.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-        rows = materialize(rows.withColumn("before", before).filter(F.col("c") >= _need()).select("fp", "n", "key", "comp", "m", "w", "c", "before"), "apart")
-    if rows.isEmpty():
-        return None
-    rows = materialize(rows.filter(F.col("before") <= F.col("c") - _need()), "rare")
-    small, large = _clusters(rows)
-    near = small.join(names, "fp", "left").select("key", F.lit(0).alias("i"), F.lit(0).alias("j"), "fp", F.coalesce("comp", "fp").alias("comp"))
-    links = materialize(_links(near, sets), "links")
-    if large is None:
-        return links
-    rows = rows.join(large, "fp", "left_semi")
-    groups = rows.groupBy("key").agg(F.count("*").alias("m"), F.min("comp").alias("lo"), F.max("comp").alias("hi")).filter("lo <> hi")
-    groups = groups.select("key", F.ceil(F.col("m") * 2 / CHUNK).cast("int").alias("chunks"))
-    mine = rows.join(groups, "key").withColumn("c", F.pmod(F.xxhash64("fp"), F.when(F.col("chunks") > 2, F.col("chunks")).otherwise(F.lit(1))).cast("int"))
-    other = F.explode(F.when(F.col("chunks") > 2, F.sequence(F.lit(0), F.col("chunks") - 1)).otherwise(F.array(F.lit(0))))
-    mine = mine.withColumn("o", other)
-    blocks = mine.select("key", F.least("c", "o").alias("i"), F.greatest("c", "o").alias("j"), "fp", "comp")
-    return links.union(materialize(_links(blocks, sets), "links"))
+def near_duplicates(docs: DataFrame) -> DataFrame:
+    """(doc_id, n_shingles, component_id), a row for each of docs (doc_id, text)."""
+    base = materialize(profile(docs), "profile")
+    names = linked(docs, base)
+    classes = base.filter("n > 0").groupBy("fp").agg(F.min("doc_id").alias("rep"))
+    named = materialize(names.join(classes, "fp"), "named")
+    least = materialize(named.groupBy("comp").agg(F.min("rep").alias("component_id")), "least")
+    ids = named.join(least, "comp").select("fp", "component_id")
+    ids = materialize(classes.join(ids, "fp", "left").select("fp", F.coalesce("component_id", "rep").alias("component_id")), "ids")
+    return base.join(ids, "fp", "left").select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
 
 
 def _row_hash(docs: DataFrame) -> Column:
@@ -433,16 +611,18 @@ def _row_hash(docs: DataFrame) -> Column:
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each component: of the smallest doc_id (null only if there is no other), then of
     the least fingerprint and row hash; once if the row is repeated. Texts without words link
-    with nothing and stay, those with an id once if the row is repeated."""
+    with nothing and stay, those with an id once if the row is repeated. Rows are wrapped, so no
+    column of docs can clash with those used here."""
+    rows = docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), _row_hash(docs).alias("row"), F.struct(*[docs[c] for c in docs.columns]).alias("whole"))
     bare = F.col("doc_id").isNull() & ~F.coalesce(F.col("text").rlike(WORD), F.lit(False))
-    rest = docs.filter(~bare)
-    base = materialize(profile(rest, _row_hash(rest)), "profile")
+    rest = rows.filter(~bare)
+    base = materialize(profile(rest, F.col("row")), "profile")
     least = lambda *by: F.min(F.struct(*by)).alias("least")
     classes = base.filter("n > 0").groupBy("fp").agg(least(F.col("doc_id").isNull(), "doc_id", "fp", "row"))
-    found = _class_components(rest, base).select("fp", "comp").join(classes, "fp").groupBy("comp").agg(F.min("least").alias("least"))
-    keep = found.select(F.col("least.row").alias("_row")).union(base.filter("n = 0").select("row"))
-    once = rest.withColumn("_row", _row_hash(rest)).join(keep, "_row", "left_semi").dropDuplicates(["_row"])
-    return once.select(*docs.columns).union(docs.filter(bare))
+    found = classes.join(linked(rest, base), "fp", "left").groupBy(F.coalesce("comp", "fp").alias("comp")).agg(F.min("least").alias("least"))
+    keep = materialize(found.select(F.col("least.row").alias("row")).union(base.filter("n = 0").select("row")), "keep")
+    once = rest.select("row", "whole").join(keep, "row", "left_semi").groupBy("row").agg(F.first("whole").alias("whole"))
+    return once.select("whole").union(rows.filter(bare).select("whole")).select("whole.*")
 
 
 def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
