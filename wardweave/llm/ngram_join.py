@@ -274,7 +274,7 @@ def _gather(t: pa.Table) -> pa.Table:
     cls, tok, freq = cls[order], tok[order], freq[order]
     c = np.bincount(cls, minlength=len(own))[keep]
     bounds = np.concatenate(([0], np.cumsum(c))).astype(np.int32)
-    hashes = [np.minimum.reduceat(mix64(tok + np.uint64(j + 1) * _STEP), bounds[:-1]) if len(c) else np.zeros(0, np.uint64) for j in range(KEYS)]
+    hashes = [np.minimum.reduceat(mix64(tok + np.uint64((j + 1) * int(_STEP) % (1 << 64))), bounds[:-1]) if len(c) else np.zeros(0, np.uint64) for j in range(KEYS)]
     lists = lambda to, values: pa.ListArray.from_arrays(pa.array(to.astype(np.int32)), pa.array(values.view(np.int64)))
     cent = np.bincount(cls, np.log2(1.0 + freq), len(own))[keep] / n[keep]
     return pa.table({"fp": own[keep], "comp": comp[keep], "n": n[keep], "cent": cent, "keys": lists(np.arange(len(c) + 1) * KEYS, np.stack(hashes, 1).ravel()), "toks": lists(bounds, tok)})
@@ -314,117 +314,138 @@ def hot_apart(left: DataFrame, hot: tuple) -> tuple[np.ndarray, np.ndarray]:
 # --------------------------------------------------------------------------- prefix tree
 
 
-class Union:
-    def __init__(self):
-        self.up: dict = {}
-
-    def find(self, x):
-        up = self.up
-        root = x
-        while (p := up.get(root, root)) != root:
-            root = p
-        while x != root:
-            up[x], x = root, up.get(x, x)
-        return root
-
-    def join(self, a, b) -> bool:
-        a, b = self.find(a), self.find(b)
-        if a == b:
-            return False
-        self.up[max(a, b)] = min(a, b)
-        return True
-
-
-class _Node:
-    __slots__ = ("part", "below", "ends", "least", "most", "deepest", "one", "mixed")
-
-    def __init__(self, part: np.ndarray):
-        self.part, self.below, self.ends = part, {}, []
-        self.least, self.most, self.deepest, self.one, self.mixed = 1 << 60, 0, 0, None, False
-
-    def note(self, n: int, c: int, name, union: Union) -> None:
-        self.least, self.most, self.deepest = min(self.least, n), max(self.most, n), max(self.deepest, c)
-        if self.one is None:
-            self.one = name
-        elif not self.mixed and union.find(self.one) != union.find(name):
-            self.mixed = True
-
-    def within(self, name, union: Union) -> bool:
-        """All below is in the component of name."""
-        return not self.mixed and self.one is not None and union.find(self.one) == union.find(name)
-
-
 class TokenTrie:
-    """Sets as paths of ascending tokens, in stretches of at most `STRETCH`. A set may list only
-    some of its tokens, those that others can share; its size counts all."""
-
-    STRETCH = 64
-
-    def __init__(self, union: Union):
-        self.union, self.root = union, _Node(np.zeros(0, np.uint64))
-
-    def add(self, name, s: np.ndarray, n: int) -> None:
-        node, at = self.root, 0
-        while True:
-            node.note(n, len(s), name, self.union)
-            if at == len(s):
-                node.ends.append((n, name))
-                node.ends.sort()
-                return
-            child = node.below.get(s[at])
-            if child is None:
-                child = node.below[s[at]] = _Node(s[at : at + self.STRETCH])
-            part = child.part
-            k = min(len(part), len(s) - at)
-            off = np.flatnonzero(part[:k] != s[at : at + k])
-            k = int(off[0]) if len(off) else k
-            if k < len(part):  # part ways here
-                upper = _Node(part[:k])
-                upper.least, upper.most, upper.deepest, upper.one, upper.mixed = child.least, child.most, child.deepest, child.one, child.mixed
-                upper.below[part[k]] = child
-                node.below[s[at]] = upper
-                child.part = part[k:]
-                child = upper
-            node, at = child, at + k
-
-    def links(self, name, s: np.ndarray, n: int):
-        """Names of sets that link with s, one at least of each component that does."""
-        union, last = self.union, len(s) - 1
-        stack = [(self.root, 0, 0)]
-        while stack:
-            node, shared, depth = stack.pop()
-            if node.within(name, union):
-                continue
-            # the ends of a node list the same tokens: the smallest of those that link speaks for all
-            fit = 0
-            while fit < len(node.ends) and 100 * shared >= T * (n + node.ends[fit][0] - shared):
-                if union.join(name, node.ends[fit][1]):
-                    yield node.ends[fit][1]
-                fit += 1
-            del node.ends[1:fit]
-            for child in reversed(node.below.values()):
-                if 100 * child.most < T * n or 100 * n < T * child.least or child.within(name, union):
-                    continue
-                at = np.searchsorted(s, child.part)
-                same = s[np.minimum(at, last)] == child.part
-                both, deep = shared + int(same.sum()), depth + len(child.part)
-                best = both + min(last + 1 - int(at[-1]) - int(same[-1]), child.deepest - deep)
-                if (100 + T) * best >= T * (n + max(child.least, deep)):
-                    stack.append((child, both, deep))
+    """A block's sets as paths of ascending tokens; what paths share is stored once. A set may list
+    only some of its tokens, those that others can share; its size counts all. Nodes lie level by
+    level in arrays, children side by side, so that a walk takes a whole frontier at a time."""
+
+    def __init__(self, sets: list[tuple[np.ndarray, int]], roots: np.ndarray):
+        self.n = np.array([n for _, n in sets], np.int64)
+        self.length = np.array([len(s) for s, _ in sets], np.int64)
+        self.root = roots  # of each set, the component's least place
+        names, ids = np.unique(np.concatenate([s for s, _ in sets]), return_inverse=True)
+        self.ids = np.split(ids, np.cumsum(self.length)[:-1])
+        self.flag = np.zeros(len(names), bool)
+        self._build()
+        self._bounds()
+        self.relabel()
+
+    def _build(self) -> None:
+        order = sorted(range(len(self.ids)), key=lambda k: self.ids[k].astype(">u4").tobytes())
+        lo, hi, up, owner, end = [0], [0], [-1], [0], np.zeros(len(order), np.int64)  # node 0: the root
+        path, before = [0], None
+        for k in order:
+            s = self.ids[k]
+            shared = 0
+            if before is not None:
+                m = min(len(s), len(before))
+                off = np.flatnonzero(s[:m] != before[:m])
+                shared = int(off[0]) if len(off) else m
+            while len(path) > 1 and lo[path[-1]] >= shared:
+                path.pop()
+            top = path[-1]
+            if hi[top] > shared:  # paths part within a node: its upper end becomes one of its own
+                for column, value in ((lo, lo[top]), (hi, shared), (up, up[top]), (owner, owner[top])):
+                    column.append(value)
+                lo[top], up[top], path[-1] = shared, len(lo) - 1, len(lo) - 1
+            if len(s) > shared:
+                for column, value in ((lo, shared), (hi, len(s)), (up, path[-1]), (owner, k)):
+                    column.append(value)
+                path.append(len(lo) - 1)
+            end[k], before = path[-1], s
+        below: list[list[int]] = [[] for _ in lo]
+        for node, parent in enumerate(up):
+            if parent >= 0:
+                below[parent].append(node)
+        line = [0]
+        for node in line:  # grows while it is read: level by level
+            line += below[node]
+        place = np.empty(len(line), np.int64)
+        place[line] = np.arange(len(line))
+        take = lambda column: np.array(column, np.int64)[line]
+        self.top, self.deep = take(lo), take(hi)
+        self.up = place[take(up)]
+        self.kids = np.array([len(below[x]) for x in line], np.int64)
+        self.first = np.cumsum(self.kids) - self.kids + 1
+        self.part = np.concatenate([self.ids[o][a:b] for o, a, b in zip(take(owner).tolist(), self.top.tolist(), self.deep.tolist(), strict=True)])
+        self.at = np.cumsum(self.deep - self.top) - (self.deep - self.top)
+        self.end = place[end]
+
+    def _rise(self, value: np.ndarray, what) -> np.ndarray:
+        """Of each node, what (minimum or maximum) of the values of the sets below."""
+        out = np.full(len(self.up), 1 << 60 if what is np.minimum else -1, np.int64)
+        what.at(out, self.end, value)
+        for a, b in reversed(self.levels):
+            what.at(out, self.up[a:b], out[a:b])
+        return out
+
+    def _bounds(self) -> None:
+        self.levels, a, b = [], 1, 1 + int(self.kids[0])
+        while a < b:
+            self.levels.append((a, b))
+            a, b = b, b + int(self.kids[a:b].sum())
+        self.least, self.most = self._rise(self.n, np.minimum), self._rise(self.n, np.maximum)
+        self.longest = self._rise(self.length, np.maximum)
+        self.last = np.where(self.deep > self.top, self.part[np.minimum(self.at + self.deep - self.top - 1, len(self.part) - 1)], -1)
+        self.stop = np.argsort(self.end, kind="stable")  # sets, by the node that ends them
+        self.stops = np.bincount(self.end, minlength=len(self.up))
+        self.stop_at = np.cumsum(self.stops) - self.stops
+
+    def relabel(self) -> None:
+        """Note which nodes have sets of one component only."""
+        self.one, most = self._rise(self.root, np.minimum), self._rise(self.root, np.maximum)
+        self.mixed = self.one != most
+
+    def join(self, i: int, j: int) -> bool:
+        a, b = sorted((self.root[i], self.root[j]))
+        self.root[self.root == b] = a
+        return a != b
+
+    def links(self, i: int):
+        """Sets that link with set i, one at least of each other component that does."""
+        s, n, flag = self.ids[i], int(self.n[i]), self.flag
+        flag[s] = True
+        nodes, shared = np.zeros(1, np.int64), np.zeros(1, np.int64)
+        while len(nodes):
+            stops = self.stops[nodes]
+            ends = self.stop[_runs(self.stop_at[nodes], stops)]
+            both = np.repeat(shared, stops)
+            for j in ends[100 * both >= T * (n + self.n[ends] - both)].tolist():
+                if self.root[j] != self.root[i]:
+                    yield j
+                    self.join(i, j)
+            kids = self.kids[nodes]
+            shared, nodes = np.repeat(shared, kids), _runs(self.first[nodes], kids)
+            go = (100 * self.most[nodes] >= T * n) & (100 * n >= T * self.least[nodes]) & (self.mixed[nodes] | (self.root[self.one[nodes]] != self.root[i]))
+            nodes, shared = nodes[go], shared[go]
+            if not len(nodes):
+                break
+            size = self.deep[nodes] - self.top[nodes]
+            hits = flag[self.part[_runs(self.at[nodes], size)]]
+            shared = shared + np.add.reduceat(hits, np.cumsum(size) - size, dtype=np.int64)
+            rest = len(s) - np.searchsorted(s, self.last[nodes], "right")
+            best = shared + np.minimum(rest, self.longest[nodes] - self.deep[nodes])
+            go = (100 + T) * best >= T * (n + np.maximum(self.least[nodes], self.deep[nodes]))
+            nodes, shared = nodes[go], shared[go]
+        flag[s] = False
 
 
 def link_block(names: list, sets: list[tuple[np.ndarray, int]], components: list | None = None) -> list[tuple]:
     """A spanning forest of the links among sets (tokens, size), beyond what the components have
-    joined. The first set goes first, the others by size."""
-    union = Union()
-    for name, c in zip(names, components or (), strict=False):
-        if c is not None:
-            union.join(name, c)
-    trie, out = TokenTrie(union), []
-    for i in [*range(min(1, len(names))), *sorted(range(1, len(names)), key=lambda i: sets[i][1])]:
-        if len(sets[i][0]):
-            out += [(names[i], other) for other in trie.links(names[i], *sets[i])]
-            trie.add(names[i], *sets[i])
+    joined. The first set goes first: where it leads, most are joined at once."""
+    some = [i for i, s in enumerate(sets) if len(s[0])]
+    label: dict = {}
+    roots = np.array([label.setdefault(components[i], k) if components else k for k, i in enumerate(some)], np.int64)
+    if len(some) < 2 or (roots == roots[0]).all():
+        return []
+    trie, out, noted = TokenTrie([sets[i] for i in some], roots), [], 0
+    for k in range(len(some)):
+        out += [(names[some[k]], names[some[j]]) for j in trie.links(k)]
+        if len(out) >= 2 * noted + 16:
+            trie.relabel()
+            noted = len(out)
+            if not trie.mixed[0]:
+                break
     return out
 
 
@@ -458,7 +479,8 @@ def _blocks(batches):
 
 def _links(blocks: DataFrame, left: DataFrame) -> DataFrame:
     """Links of blocks (key, i, j, fp, first); what is first leads its block."""
-    b = blocks.join(left.select("fp", "comp", "n", "toks"), "fp").repartition("key", "i", "j")
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be coalesced
+    b = blocks.join(left.select("fp", "comp", "n", "toks"), "fp").repartition(tasks, "key", "i", "j")
     return b.sortWithinPartitions("key", "i", "j", F.desc("first"), "fp").select("key", "i", "j", "fp", "comp", "n", "toks").mapInArrow(_blocks, "a long, b long")
 
 
