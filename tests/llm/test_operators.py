@@ -343,6 +343,63 @@ def test_language_id(spark, docs):
     assert language_id.predict(docs, m).count() == docs.count()
 
 
+def naive_language(rows):
+    """A scorer of (text, lang) rows, word by word, as the method states it."""
+    langs = sorted({lang for _, lang in rows})
+    letters = lambda t: re.findall(r"[^\W\d_]+", (t or "").lower())
+    pieces = lambda w, k: [f"<{w}>"[i : i + k] for i in range(len(w) + 3 - k)]
+    tables = [{x: Counter() for x in langs} for _ in range(6)]
+    for t, lang in rows:
+        for w in letters(t):
+            tables[0][lang][w] += 1
+            for k in (5, 4, 3, 2, 1):
+                tables[6 - k][lang].update(pieces(w, k))
+
+    total = [{x: sum(t[x].values()) + 0.5 * (len(set().union(*t.values())) + 1) for x in langs} for t in tables]
+
+    def log(k, lang, w):
+        return math.log((tables[k][lang][w] + 0.5) / total[k][lang])
+
+    def each(w):
+        for k, table in enumerate(tables):
+            if known := [g for g in ([w] if not k else pieces(w, 6 - k)) if any(table[x][g] for x in langs)]:
+                return [sum(log(k, x, g) for g in known) / len(known) for x in langs]
+        return [0.0] * len(langs)
+
+    def predict(t):
+        w = letters(t)
+        if not w or not langs:
+            return "und", 0.0
+        sums = np.sum([each(x) for x in w], 0)
+        p = np.exp(sums - sums.max())
+        return langs[int(p.argmax())], float(p.max() / p.sum())
+
+    return predict
+
+
+def test_language_id_brute_force(spark, docs):
+    base = [("the house of kings", "en"), ("the the garden", "en"), ("das haus der könige", "de"), ("la maison", "fr"), ("unik", "xx"), ("12 34", "none")]
+    rows = [(i, t, lang) for i, (t, lang) in enumerate(base + [(f"tal{chr(97 + i % 26)}{chr(97 + i // 26)}", f"l{i:03}") for i in range(600)])]
+    ask = [r["text"] for r in docs.collect()][:30] + [t for _, t, _ in rows[:40]] + ["gardens of könig", "talzz", "qqq", "the haus", None, ""]
+    for learn in (rows[:6], rows):
+        naive = naive_language([r[1:] for r in learn])
+        best, score = language_id.fit(spark.createDataFrame(learn, "doc_id long, text string, lang string"), max_train=10_000).predict(ask)
+        want = [naive(t) for t in ask]
+        assert np.allclose(score, [w[1] for w in want], atol=1e-9)
+        assert all(b == w[0] or abs(s - 1 / 2) < 0.2 or s < 0.01 for b, s, w in zip(best, score, want, strict=True))
+
+
+def test_language_id_samples_by_language(spark):
+    rows = [(None, f"common{i}", "en") for i in range(500)] + [(None, "same", "en")] * 300 + [(5, "rar", "xx")]
+    d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    m = language_id.fit(d, max_train=20)
+    assert m.langs == ["en", "xx"] and len(m.kinds[0].at) < 60 and m.predict(["rar"])[0] == ["xx"]
+    assert len(language_id.fit(d, max_train=400, max_entries=100).kinds[0].at) <= 100
+    assert language_id.fair_share([1, 5, 1000], 20) == 14 and language_id.fair_share([3, 4], 20) == 4 and language_id.fair_share([9] * 30, 20) == 1
+    odd = spark.createDataFrame([(i, "the garden of kings", "en", "l", 1.0, "w") for i in range(9)], "doc_id long, text string, lang string, lang_pred string, score double, whole string")
+    assert by_row(language_id.keep_known(odd)) == by_row(odd)
+
+
 def test_language_id_held_out(spark):
     d = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     p = language_id.op2_language_id(spark, "/root/testdata/sf0.01").filter("held_out").join(d.select("doc_id", "lang"), "doc_id")

@@ -4,11 +4,18 @@ A known word scores its log frequency in each language; an unseen one the mean l
 its longest known character n-grams, orders 5 to 1, of the word between marks. Sums over a
 text's words give posteriors over the languages; the best is the prediction, its posterior the
 score, ties go to the first language by code point. Only text and lang of training rows are
-learned from. The fit uses at most about `max_train` rows, those with the smallest hash of the
-doc_id, and keeps the `max_words` and `max_grams` most frequent entries, so the model that is
-broadcast has a fixed bound; every whole text is scored. Null texts and those without a letter
-are `und` with score 0, as is everything when no row can be learned from. Repeated rows are
-scored alike; empty tables give empty results.
+learned from.
+
+Languages are those of all training rows, whose counts by language go to the driver, and so does
+the model. The fit uses about `max_train` rows at most, but one of each language at least: every
+language gives all its rows or about as many as any other, those with the smallest hash of id
+and text, equal rows once. All words and n-grams of these rows are in the model. If they are
+more than `max_entries`, half as many rows are taken, until they are not or a language gives one
+row, so what is broadcast has a bound. Every whole text is scored.
+
+Null texts and those without a letter are `und` with score 0, as is everything when no row can
+be learned from. Languages without a word are never predicted for a text with known words.
+Repeated rows are scored alike; empty tables give empty results.
 """
 
 from __future__ import annotations
@@ -19,6 +26,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -26,7 +34,9 @@ from .common import residue, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
-MAX_TRAIN, MAX_WORDS, MAX_GRAMS, ALPHA = 20_000, 150_000, 200_000, 0.5
+MAX_TRAIN, MAX_ENTRIES, ALPHA = 8_000, 1_000_000, 0.5
+#: Texts by languages that are scored at once.
+MOST_CELLS = 1 << 22
 UNKNOWN = "und"
 
 
@@ -63,76 +73,124 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(counts)
 
 
+class Entries:
+    """Log frequencies of words, or n-grams of one order: for each language that of an unseen one,
+    and for each word the languages that have it and by how much more."""
+
+    def __init__(self, names: list[str], langs: np.ndarray, n: np.ndarray, n_langs: int, alpha: float):
+        self.at: dict[str, int] = {}
+        rows = np.array([self.at.setdefault(w, len(self.at)) for w in names], np.int64)
+        order = np.lexsort((langs, rows))
+        self.lang, n = langs[order], n[order].astype(np.float64)
+        self.stop = np.searchsorted(rows[order], np.arange(len(self.at) + 1))
+        total = np.bincount(self.lang, n, n_langs) + alpha * (len(self.at) + 1)
+        self.base = np.log(alpha / total)
+        self.more = np.log((n + alpha) / alpha)
+
+
 class Model:
-    """Log frequencies by language of words and n-grams; rows of one matrix."""
-
-    def __init__(self, word_rows, gram_rows, alpha: float = ALPHA):
-        self.langs = sorted({r[0] for r in word_rows}, key=lambda x: x.encode())
-        self.words = self._table(word_rows, alpha)
-        self.grams = [self._table([r for r in gram_rows if len(r[1]) == k], alpha) for k in ORDERS]
-
-    def _table(self, rows, alpha: float) -> tuple[dict[str, int], np.ndarray]:
-        names: dict[str, int] = {}
-        for _, w, _ in rows:
-            names.setdefault(w, len(names))
-        m = np.zeros((len(names), len(self.langs)))
-        for lang, w, n in rows:
-            m[names[w], self.langs.index(lang)] += n
-        return names, np.log((m + alpha) / (m.sum(0) + alpha * (len(names) + 1)))
-
-    def score(self, word: str) -> np.ndarray:
-        names, m = self.words
-        if (i := names.get(word)) is not None:
-            return m[i]
-        for k, (names, m) in zip(ORDERS, self.grams, strict=True):
-            if known := [names[g] for g in grams(word, k) if g in names]:
-                return m[known].mean(0)
-        return np.zeros(len(self.langs))
+    """Entries of words and of each order's n-grams."""
+
+    def __init__(self, langs: list[str], word_rows: pa.Table, gram_rows: pa.Table, alpha: float = ALPHA):
+        self.langs = sorted(langs, key=lambda x: x.encode())
+        place = {x: i for i, x in enumerate(self.langs)}
+
+        def entries(t: pa.Table) -> Entries:
+            return Entries(t["w"].to_pylist(), np.array([place[x] for x in t["lang"].to_pylist()], np.int64), t["n"].to_numpy(), len(self.langs), alpha)
+
+        length = pc.utf8_length(gram_rows["w"])
+        self.kinds = [entries(word_rows), *(entries(gram_rows.filter(pc.equal(length, k))) for k in ORDERS)]
+        self.base = np.stack([*(k.base for k in self.kinds), np.zeros(len(self.langs))])
+
+    def parts(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
+        """The kind that knows the word (the last: none does), and its languages' shares beyond the base."""
+        for kind, e in enumerate(self.kinds):
+            keys = [word] if not kind else grams(word, ORDERS[kind - 1])
+            if known := [e.at[g] for g in keys if g in e.at]:
+                at = np.concatenate([np.arange(e.stop[i], e.stop[i + 1]) for i in known])
+                return kind, e.lang[at], e.more[at] / len(known)
+        return len(self.kinds), np.zeros(0, np.int64), np.zeros(0)
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
+        if not self.langs:
+            return lang, score
+        step = max(1, MOST_CELLS // len(self.langs))
+        for at in range(0, len(texts), step):
+            for i, b, p in self._some(texts[at : at + step]):
+                lang[at + i], score[at + i] = self.langs[b], p
+        return lang, score
+
+    def _some(self, texts: list[str | None]):
+        """(place, language, posterior) of the texts with letters."""
         index: dict[str, int] = {}
         put = index.setdefault
         flat: list[int] = []
-        cut, plain = [0], []
+        counts, letters = [], []
         for t in texts:
             w = LETTERS.findall(t.lower()) if t else []
-            plain.append(not any(map(str.isalpha, w)) and not any(c.isalpha() for x in w for c in x))
+            letters.append(any(map(str.isalpha, w)) or any(c.isalpha() for x in w for c in x))
             flat += [put(x, len(index)) for x in w]
-            cut.append(len(flat))
-        lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
-        if not self.langs or not index:
-            return lang, score
-        known, m = self.words
-        at = np.array([known.get(w, -1) for w in index], np.int64)
-        each = m[at]
-        names = list(index)
-        for i in np.flatnonzero(at < 0).tolist():
-            each[i] = self.score(names[i])
-        rows, cut = np.array(flat, np.int64), np.array(cut)
-        sums = np.stack([np.concatenate(([0.0], np.cumsum(each[rows, k]))) for k in range(len(self.langs))], 1)
-        total = sums[cut[1:]] - sums[cut[:-1]]
+            counts.append(len(w))
+        if not index:
+            return
+        found = [self.parts(w) for w in index]
+        kind = np.array([f[0] for f in found])
+        size = np.array([len(f[1]) for f in found])
+        of, more = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        word, text = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), counts)
+        each = size[word]
+        at = np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
+        shape = len(texts), len(self.langs)
+        total = np.bincount(np.repeat(text, each) * shape[1] + of[at], more[at], shape[0] * shape[1]).reshape(shape)
+        kinds = len(self.base)
+        total += np.bincount(text * kinds + kind[word], minlength=shape[0] * kinds).reshape(-1, kinds) @ self.base
         total -= total.max(1, keepdims=True)
         p = np.exp(total)
         p /= p.sum(1, keepdims=True)
         best = p.argmax(1)
-        for i, (b, none) in enumerate(zip(best.tolist(), plain, strict=True)):
-            if not none:
-                lang[i], score[i] = self.langs[b], p[i, b]
-        return lang, score
+        for i in np.flatnonzero(letters).tolist():
+            yield i, int(best[i]), float(p[i, best[i]])
+
+
+def fair_share(counts: list[int], most: int) -> int:
+    """The largest share so that languages of so many rows, each giving at most it, give at most
+    `most` in all; one at least."""
+    left, share = most, 1
+    for k, n in enumerate(sorted(counts)):
+        share = left // (len(counts) - k)
+        if n > share:
+            break
+        left -= n
+        share = n
+    return max(1, share)
+
+
+def sample(rows: DataFrame, counts: dict[str, int], share: int) -> DataFrame:
+    """About `share` rows of each language, all of those with fewer, and one at least."""
+    spark = rows.sparkSession
+    keyed = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
+    rate = spark.createDataFrame([(k, 2**63 - 1 if n <= share else int(2**63 * (share / n))) for k, n in counts.items()], "lang string, most long")
+    first = keyed.groupBy("lang").agg(F.min("h").alias("least"))
+    return keyed.join(rate.join(first, "lang"), "lang").filter("h <= most or h = least").select("lang", "text", "h").distinct()
 
 
-def fit(train: DataFrame, max_train: int = MAX_TRAIN, max_words: int = MAX_WORDS, max_grams: int = MAX_GRAMS) -> Model:
+def fit(train: DataFrame, max_train: int = MAX_TRAIN, max_entries: int = MAX_ENTRIES) -> Model:
     """A model of rows (doc_id, text, lang)."""
     t = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    n = t.count()
-    if n > max_train:
-        t = t.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(2**63 * (max_train / n)))
-    counts = t.select("lang", "text").mapInArrow(_count_words, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
-    first = lambda d, k: [tuple(r) for r in d.orderBy(F.desc("n"), "w", "lang").limit(k).collect()]
-    word_rows = first(counts.filter("n > 1"), max_words) or first(counts, max_words)
-    gram_rows = first(counts.mapInArrow(_count_grams, "lang string, w string, n long").groupBy("lang", "w").agg(F.sum("n").alias("n")), max_grams)
-    counts.unpersist()
-    return Model(word_rows, gram_rows)
+    counts = {r["lang"]: r["count"] for r in t.groupBy("lang").count().collect()}
+    share = fair_share(list(counts.values()), max_train)
+    names = "lang string, w string, n long"
+    while True:
+        words = sample(t, counts, share).select("lang", "text").mapInArrow(_count_words, names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
+        pieces = words.mapInArrow(_count_grams, names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
+        few = share == 1 or words.count() + pieces.count() <= max_entries
+        model = Model(list(counts), words.toArrow(), pieces.toArrow()) if few else None
+        words.unpersist()
+        pieces.unpersist()
+        if model:
+            return model
+        share = max(1, share // 2)
 
 
 def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str = "score") -> DataFrame:
@@ -162,11 +220,12 @@ def train_rows(docs: DataFrame) -> DataFrame:
 
 
 def keep_known(docs: DataFrame, least: float = 0.5) -> DataFrame:
-    """Documents with a language; those that are `und` or below `least` go."""
+    """Documents with a language; those that are `und` or below `least` go. Rows are wrapped, so no
+    column of docs can clash with the prediction's."""
     model = fit(train_rows(docs))
-    p = predict(docs.select(*docs.columns), model, "_lang_pred", "_lang_score")
-    ok: Column = (F.col("_lang_pred") != UNKNOWN) & (F.col("_lang_score") >= least)
-    return p.filter(ok).select(*docs.columns)
+    p = predict(docs.select(docs["text"].alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("whole")), model)
+    ok: Column = (F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least)
+    return p.filter(ok).select("whole.*")
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
