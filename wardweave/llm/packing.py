@@ -42,7 +42,7 @@ _SMALL[0x9F:0xC0], _SMALL[0xB7] = True, False
 
 class WordTokens:
     """Ids of texts, word by word. The tokenizer drops blanks and never joins what they part, so
-    words are independent; a mark after plain letters is a token run of its own, and the case of
+    words are independent, those that hold its special tokens too; a mark after plain letters is a token run of its own, and the case of
     ASCII letters is dropped. Words are known by 64-bit hashes in a table of bounded size, which
     starts anew when it is full; what it lacks is encoded once a slice, plain words by `Merges`,
     others by the library."""
@@ -53,7 +53,9 @@ class WordTokens:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.specials = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        if any(c.isspace() for t in self.specials for c in t):
+            raise ValueError(f"an added token of {path} crosses words")
         self.merges = Merges(path)
         probe = [b"a", b"the", b"packing", b"sequences", b"stra\xc3\x9fe", b"\xc3\xa9t\xc3\xa9", b"zzzz", b"abababab", b"internationalisation"]
         if not self.merges.check(self._encode, probe):
@@ -69,6 +71,9 @@ class WordTokens:
         out: list[bytes] = []
         for at in range(0, len(new), 4096):
             part = [w.decode() for w in new[at : at + 4096]]
+            if any(t in w for w in part for t in self.specials):  # the library gives these no word's number
+                out += [np.array(self.tokenizer.encode(w, add_special_tokens=False).ids, np.int32).tobytes() for w in part]
+                continue
             e = self.tokenizer.encode(part, is_pretokenized=True, add_special_tokens=False)
             ids = np.array(e.ids, np.int32)
             owner = np.array(e.word_ids, np.int64)
