@@ -277,7 +277,7 @@ def merged_index(folder: str, files: DataFrame) -> DataFrame:
 
 
 def op1_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return merged_index(*write_archives(table(spark, sf_dir, "pages")))
+    return merged_index(*write_archives(table(spark, sf_dir, "pages"))).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 
 
 SQL = """
