@@ -44,9 +44,11 @@ def mix(docs: DataFrame, seed: str = SEED) -> DataFrame:
 
 
 def emit(docs: DataFrame) -> DataFrame:
-    """The mix itself: each document as often as it is taken, with the columns of docs."""
-    m = mix(docs).filter(F.col("_copies") > 0)
-    return m.withColumn("_copy", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select(*docs.columns)
+    """The mix itself: each document as often as it is taken, with the columns of docs. Rows are
+    wrapped, so no column of docs can clash with those used here."""
+    whole = F.struct(*[docs[c] for c in docs.columns]).alias("whole")
+    m = mix(docs.select(docs["doc_id"].alias("doc_id"), docs["text"].alias("text"), docs["source"].alias("source"), whole)).filter(F.col("_copies") > 0)
+    return m.select("whole", F.explode(F.sequence(F.lit(1), F.col("_copies")))).select("whole.*")
 
 
 def op9_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
