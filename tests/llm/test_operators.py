@@ -452,8 +452,8 @@ def test_language_id_samples_by_language(spark):
     rows = [(None, f"common{i}", "en") for i in range(500)] + [(None, "same", "en")] * 300 + [(5, "rar", "xx")]
     d = spark.createDataFrame(rows, "doc_id long, text string, lang string")
     m = language_id.fit(d, max_train=20)
-    assert m.langs == ["en", "xx"] and len(m.kinds[0].at) < 60 and m.predict(["rar"])[0] == ["xx"]
-    assert len(language_id.fit(d, max_train=400, max_entries=100).kinds[0].at) <= 100
+    assert m.langs == ["en", "xx"] and len(m.at[0]) < 60 and m.predict(["rar"])[0] == ["xx"]
+    assert len(language_id.fit(d, max_train=400, max_entries=100).at[0]) <= 100
     assert language_id.fair_share([1, 5, 1000], 20) == 14 and language_id.fair_share([3, 4], 20) == 4 and language_id.fair_share([9] * 30, 20) == 1
     odd = spark.createDataFrame([(i, "the garden of kings", "en", "l", 1.0, "w") for i in range(9)], "doc_id long, text string, lang string, lang_pred string, score double, whole string")
     assert by_row(language_id.keep_known(odd)) == by_row(odd)

@@ -21,8 +21,9 @@ Repeated rows are scored alike; empty tables give empty results.
 from __future__ import annotations
 
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import residue, table
+from .common import group_sums, residue, table
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -73,43 +74,50 @@ def _count_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield from _rows(counts)
 
 
-class Entries:
-    """Log frequencies of words, or n-grams of one order: for each language that of an unseen one,
-    and for each word the languages that have it and by how much more."""
-
-    def __init__(self, names: list[str], langs: np.ndarray, n: np.ndarray, n_langs: int, alpha: float):
-        self.at: dict[str, int] = {}
-        rows = np.array([self.at.setdefault(w, len(self.at)) for w in names], np.int64)
-        order = np.lexsort((langs, rows))
-        self.lang, n = langs[order], n[order].astype(np.float64)
-        self.stop = np.searchsorted(rows[order], np.arange(len(self.at) + 1))
-        total = np.bincount(self.lang, n, n_langs) + alpha * (len(self.at) + 1)
-        self.base = np.log(alpha / total)
-        self.more = np.log((n + alpha) / alpha)
-
-
 class Model:
-    """Entries of words and of each order's n-grams."""
+    """Log frequencies of words and of each order's n-grams: for each language that of an unseen one
+    (`base`, a row for words and for each order), and for each entry the languages that have it and
+    by how much more (`lang` and `more`, from `stop`)."""
 
     def __init__(self, langs: list[str], word_rows: pa.Table, gram_rows: pa.Table, alpha: float = ALPHA):
         self.langs = sorted(langs, key=lambda x: x.encode())
         place = {x: i for i, x in enumerate(self.langs)}
-
-        def entries(t: pa.Table) -> Entries:
-            return Entries(t["w"].to_pylist(), np.array([place[x] for x in t["lang"].to_pylist()], np.int64), t["n"].to_numpy(), len(self.langs), alpha)
-
         length = pc.utf8_length(gram_rows["w"])
-        self.kinds = [entries(word_rows), *(entries(gram_rows.filter(pc.equal(length, k))) for k in ORDERS)]
-        self.base = np.stack([*(k.base for k in self.kinds), np.zeros(len(self.langs))])
-
-    def parts(self, word: str) -> tuple[int, np.ndarray, np.ndarray]:
-        """The kind that knows the word (the last: none does), and its languages' shares beyond the base."""
-        for kind, e in enumerate(self.kinds):
-            keys = [word] if not kind else grams(word, ORDERS[kind - 1])
-            if known := [e.at[g] for g in keys if g in e.at]:
-                at = np.concatenate([np.arange(e.stop[i], e.stop[i + 1]) for i in known])
-                return kind, e.lang[at], e.more[at] / len(known)
-        return len(self.kinds), np.zeros(0, np.int64), np.zeros(0)
+        self.at: list[dict[str, int]] = []
+        base, parts, at = [], [], 0
+        for t in (word_rows, *(gram_rows.filter(pc.equal(length, k)) for k in ORDERS)):
+            names: dict[str, int] = {}
+            rows = np.array([names.setdefault(w, at + len(names)) for w in t["w"].to_pylist()], np.int64)
+            lang, n = np.array([place[x] for x in t["lang"].to_pylist()], np.int64), t["n"].to_numpy().astype(np.float64)
+            base.append(np.log(alpha / (np.bincount(lang, n, len(self.langs)) + alpha * (len(names) + 1))))
+            parts.append((rows, lang, np.log((n + alpha) / alpha)))
+            self.at.append(names)
+            at += len(names)
+        rows, lang, more = (np.concatenate(x) for x in zip(*parts, strict=True))
+        order = np.lexsort((lang, rows))
+        self.lang, self.more, self.stop = lang[order], more[order], np.searchsorted(rows[order], np.arange(at + 1))
+        self.base = np.stack([*base, np.zeros(len(self.langs))])
+
+    def parts(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of each word the kind that knows it (the last: none does) and the number of languages it
+        has, and these, and their shares beyond the base."""
+        rows = np.array([self.at[0].get(w, -1) for w in words], np.int64)
+        kind = np.where(rows >= 0, 0, len(self.at))
+        rest = np.flatnonzero(rows < 0)
+        owner, entry, weight = [np.flatnonzero(rows >= 0)], [rows[rows >= 0]], [np.ones(len(words) - len(rest))]
+        for order, (k, names) in enumerate(zip(ORDERS, self.at[1:], strict=True), 1):
+            known = [[names[g] for g in grams(words[i], k) if g in names] for i in rest.tolist()]
+            n = np.array([len(x) for x in known], np.int64)
+            owner.append(np.repeat(rest, n))
+            entry.append(np.array([x for own in known for x in own], np.int64))
+            weight.append(np.repeat(1 / np.maximum(n, 1), n))
+            kind[rest[n > 0]] = order
+            rest = rest[n == 0]
+        owner, entry, weight = (np.concatenate(x) for x in (owner, entry, weight))
+        size = self.stop[entry + 1] - self.stop[entry]
+        at = np.repeat(self.stop[entry] - (np.cumsum(size) - size), size) + np.arange(size.sum())
+        key, more = group_sums(np.repeat(owner, size) * len(self.langs) + self.lang[at], self.more[at] * np.repeat(weight, size))
+        return kind, np.bincount(key // len(self.langs), minlength=len(words)), key % len(self.langs), more
 
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
         lang, score = [UNKNOWN] * len(texts), np.zeros(len(texts))
@@ -123,21 +131,17 @@ class Model:
 
     def _some(self, texts: list[str | None]):
         """(place, language, posterior) of the texts with letters."""
-        index: dict[str, int] = {}
-        put = index.setdefault
+        index: defaultdict[str, int] = defaultdict(count().__next__)
         flat: list[int] = []
         counts, letters = [], []
         for t in texts:
             w = LETTERS.findall(t.lower()) if t else []
             letters.append(any(map(str.isalpha, w)) or any(c.isalpha() for x in w for c in x))
-            flat += [put(x, len(index)) for x in w]
+            flat += map(index.__getitem__, w)
             counts.append(len(w))
         if not index:
             return
-        found = [self.parts(w) for w in index]
-        kind = np.array([f[0] for f in found])
-        size = np.array([len(f[1]) for f in found])
-        of, more = (np.concatenate([f[k] for f in found]) for k in (1, 2))
+        kind, size, of, more = self.parts(list(index))
         word, text = np.array(flat, np.int64), np.repeat(np.arange(len(texts)), counts)
         each = size[word]
         at = np.repeat((np.cumsum(size) - size)[word] - (np.cumsum(each) - each), each) + np.arange(each.sum())
