@@ -38,6 +38,8 @@ ORDERS = (5, 4, 3, 2, 1)
 MAX_TRAIN, MAX_ENTRIES, ALPHA = 8_000, 1_000_000, 0.5
 #: Texts by languages that are scored at once.
 MOST_CELLS = 1 << 22
+#: Languages whose rates are broadcast; beyond, they are joined by shuffling.
+MOST_BROADCAST = 100_000
 UNKNOWN = "und"
 
 
@@ -170,20 +172,24 @@ def fair_share(counts: list[int], most: int) -> int:
     return max(1, share)
 
 
-def sample(rows: DataFrame, counts: dict[str, int], share: int) -> DataFrame:
-    """About `share` rows of each language, all of those with fewer, and one at least."""
-    spark = rows.sparkSession
-    keyed = rows.select("lang", "text", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1).alias("h"))
-    rate = spark.createDataFrame([(k, 2**63 - 1 if n <= share else int(2**63 * (share / n))) for k, n in counts.items()], "lang string, most long")
-    first = keyed.groupBy("lang").agg(F.min("h").alias("least"))
-    return keyed.join(rate.join(first, "lang"), "lang").filter("h <= most or h = least").select("lang", "text", "h").distinct()
+def _row_hash():
+    return F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)
+
+
+def sample(rows: DataFrame, counts: dict[str, tuple[int, int]], share: int) -> DataFrame:
+    """About `share` rows of each language, all of those with fewer, and one at least; counts has
+    each language's rows and least hash. Texts are not shuffled for it unless languages are many."""
+    most = [(k, max(least, 2**63 - 1 if n <= share else int(2**63 * (share / n)))) for k, (n, least) in counts.items()]
+    rate = rows.sparkSession.createDataFrame(most, "lang string, most long")
+    keyed = rows.select("lang", "text", _row_hash().alias("h"))
+    return keyed.join(F.broadcast(rate) if len(most) <= MOST_BROADCAST else rate, "lang").filter("h <= most").select("lang", "text", "h").distinct()
 
 
 def fit(train: DataFrame, max_train: int = MAX_TRAIN, max_entries: int = MAX_ENTRIES) -> Model:
     """A model of rows (doc_id, text, lang)."""
     t = train.filter(F.col("lang").isNotNull() & F.col("text").isNotNull())
-    counts = {r["lang"]: r["count"] for r in t.groupBy("lang").count().collect()}
-    share = fair_share(list(counts.values()), max_train)
+    counts = {r["lang"]: (r["n"], r["h"]) for r in t.groupBy("lang").agg(F.count("*").alias("n"), F.min(_row_hash()).alias("h")).collect()}
+    share = fair_share([n for n, _ in counts.values()], max_train)
     names = "lang string, w string, n long"
     while True:
         words = sample(t, counts, share).select("lang", "text").mapInArrow(_count_words, names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
