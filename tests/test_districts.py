@@ -167,3 +167,66 @@ def test_chain_queries_walk_the_customers(spark):
     assert {r["score"] for r in bursts if r["step"] == 0} == {cuts} and len({r["chain"] for r in bursts}) == 4
     stats = {(r["chain"], r["step"]): r for r in Q.QUERIES["diversity_stats"](spark, SF).collect()}
     assert len(stats) == 2 * 20 and all(stats[c, 0]["unique_districts"] == 5 for c in ("0", "1"))
+
+
+def test_spanning_trees_of_parts(spark):
+    nodes, edges = grid(spark)
+    one = {r["part"]: r["log_trees"] for r in S.spanning_trees_log(nodes, edges, plan(spark, [0] * 9)).collect()}
+    assert one[0] == pytest.approx(np.log(192))
+    two = {r["part"]: r["log_trees"] for r in S.spanning_trees_log(nodes, edges, plan(spark, [0, 0, 1, 0, 0, 2, 1, 1, 2])).collect()}
+    assert two[0] == pytest.approx(np.log(4)) and two[2] == pytest.approx(0) and two[1] == -np.inf
+
+
+def _grid_net(n, seed=None):
+    ids = np.arange(n * n)
+    a = np.array([i for i in ids if i % n < n - 1] + [i for i in ids if i < n * (n - 1)])
+    b = np.r_[[i + 1 for i in ids if i % n < n - 1], [i + n for i in ids if i < n * (n - 1)]]
+    people = np.ones(n * n, np.int64) if seed is None else np.random.default_rng(seed).integers(1, 5, n * n)
+    return K.Net(ids, people, a, b)
+
+
+def test_tree_plans_keep_their_tolerance():
+    for seed in range(60):
+        net = _grid_net(12, seed)
+        for k, epsilon in ((6, 0.05), (8, 0.1)):
+            for made in (K.tree_plan(net, list(range(k)), epsilon, np.random.default_rng(seed)), K.seed_plan(net, k, epsilon, np.random.default_rng(seed))):
+                pop = np.bincount(made, net.population, k)
+                assert (np.abs(pop * k / net.population.sum() - 1) <= epsilon + 1e-12).all()
+                assert all(K.connected(net, set(np.flatnonzero(made == p).tolist())) for p in range(k))
+
+
+def test_a_tie_resets_the_stuck_count():
+    net = _grid_net(6)
+    first = np.repeat([0, 1], 18)
+    lengths, rows = [], list(K.bursts(net, first, np.random.default_rng(0), K.PROPOSALS["flip"], K.Limits(0.9), lambda net, plan: 1.0, False, "variable_bursts", 60, buffer=1))
+    assert [r[0] for r in rows] == list(range(60))
+    # every step ties, so bursts stay two long: each second step starts from the best, without a flip of its own
+    lengths = [len(r[3]) for r in rows]
+    assert max(lengths) <= 2
+
+
+def test_chains_take_functions_and_say_why_they_end(spark):
+    nodes, edges = grid(spark, 4)
+    start = plan(spark, [0] * 8 + [1] * 8)
+
+    def keep_first(net, plan):
+        return plan[0] == 0
+
+    rows = ensemble.run_chains(nodes, edges, start, 2, 30, proposal=K.PROPOSALS["flip"], accept=K.always, epsilon=0.5, constraints=(keep_first,)).collect()
+    assert {r["chain"] for r in rows} == {0, 1} and not any(r["node_id"] == 0 for r in rows) and all(r["status"] is None for r in rows)
+
+    def stuck(net, plan, rng, **_):
+        raise K.TooManyCuts("31")
+
+    rows = ensemble.run_chains(nodes, edges, start, 2, 30, proposal=stuck).collect()
+    assert sorted((r["chain"], r["step"], r["status"]) for r in rows if r["status"]) == [(0, None, "TooManyCuts: 31"), (1, None, "TooManyCuts: 31")]
+    scored = ensemble.scored(nodes, edges, ensemble.run_chains(nodes, edges, start, 2, 30, proposal=stuck), start).collect()
+    assert [(r["step"], r["cut_edges"]) for r in scored] == [(0, 4)] * 2
+
+
+def test_a_long_straight_border(spark):
+    """Sides on one line: a strip of cells against one long side."""
+    rows = [(i, [(float(i), 0.0), (i + 1.0, 0.0), (i + 1.0, 1.0), (float(i), 1.0)]) for i in range(40)] + [(99, [(0.0, 1.0), (40.0, 1.0), (40.0, 2.0), (0.0, 2.0)])]
+    d = spark.createDataFrame(rows, "node_id long, ring array<struct<x:double,y:double>>")
+    got = {(r["src"], r["dst"]): r["shared_perim"] for r in G.adjacency(d).collect()}
+    assert got == {(i, i + 1): 1.0 for i in range(39)} | {(i, 99): 1.0 for i in range(40)}

@@ -315,3 +315,147 @@ def neighbours(edges: DataFrame, plans: DataFrame) -> DataFrame:
     f = metagraph_flips(edges, plans).distinct().withColumnsRenamed({"node_id": "moved", "part": "to"})
     out = plans.join(f, "plan_id")
     return out.select(F.concat_ws("/", "plan_id", F.col("moved").cast("string"), F.col("to").cast("string")).alias("plan_id"), "node_id", F.when(F.col("node_id") == F.col("moved"), F.col("to")).otherwise(F.col("part")).alias("part"))
+
+
+def metagraph_degree(edges: DataFrame, plans: DataFrame) -> DataFrame:
+    """How many moves each plan has; plans without a cut edge have 0."""
+    n = cut_edges(edges, plans).groupBy("plan_id").agg((2 * F.count("*")).alias("n"))
+    return plans.select("plan_id").distinct().join(n, "plan_id", "left").select("plan_id", F.coalesce("n", F.lit(0).cast("long")).alias("degree"))
+
+
+# ------------------------------------------------------------------------- incremental updates
+
+
+def updated_tally(before: DataFrame, nodes: DataFrame, flowed: DataFrame, column: str) -> DataFrame:
+    """A tally (plan_id, part, column) after flows: what came in is added, what went out taken away.
+    Parts that flows bring into being start from 0."""
+    sign = F.when(F.col("direction") == "in", 1).otherwise(-1)
+    change = flowed.join(nodes.select("node_id", F.col(column).alias("v")), "node_id").groupBy(*KEY).agg(F.sum(sign * F.col("v")).alias("d"))
+    both = before.join(change, KEY, "full")
+    return both.select(*KEY, (F.coalesce(column, F.lit(0)) + F.coalesce("d", F.lit(0))).alias(column))
+
+
+def updated_cuts(before: DataFrame, flowed: DataFrame) -> DataFrame:
+    """Cut edges by part (plan_id, part, src, dst) after edge flows."""
+    key = ["plan_id", "part", "src", "dst"]
+    gone, come = (flowed.filter(F.col("direction") == d).select(*key) for d in ("out", "in"))
+    return before.select(*key).join(gone, key, "left_anti").unionAll(come)
+
+
+def neighbour_flips(edges: DataFrame, flowed: DataFrame) -> DataFrame:
+    """(plan_id, src, dst): edges with an end that changed parts, once each."""
+    moved = flowed.select("plan_id", "node_id").distinct()
+    ends = edges.select("src", "dst", F.explode(F.array("src", "dst")).alias("node_id"))
+    return ends.join(moved, "node_id").select("plan_id", "src", "dst").distinct()
+
+
+def affected(flowed: DataFrame) -> DataFrame:
+    """(plan_id, part): parts that a flip has left or come to."""
+    return flowed.select(*KEY).distinct()
+
+
+def flip_contiguous(nodes: DataFrame, edges: DataFrame, new: DataFrame, flowed: DataFrame) -> DataFrame:
+    """(plan_id, part, contiguous) of the parts that nodes have left: the others stay whole."""
+    lost = flowed.filter("direction = 'out'").select(*KEY).distinct()
+    comps = components(nodes, edges, new.join(lost, KEY, "left_semi"))
+    return comps.groupBy(*KEY).agg((F.countDistinct("component") == 1).alias("contiguous"))
+
+
+def reachable(nodes: DataFrame, edges: DataFrame, avoid: Column, source: int) -> DataFrame:
+    """(node_id): what a source reaches over nodes that `avoid` does not name. One task walks it: the
+    graph of a map is small."""
+    open_ = nodes.filter(~avoid).select(F.lit("").alias("plan_id"), "node_id", F.lit(0).alias("part"))
+    c = components(nodes, edges, open_)
+    return c.join(c.filter(F.col("node_id") == source).select("component"), "component").select("node_id")
+
+
+# ------------------------------------------------------------------------------ sets and ranks
+
+
+def subgraphs(edges: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, part, src, dst): the edges inside each part."""
+    return sided(edges, plans).filter("part_src = part_dst").select("plan_id", F.col("part_src").alias("part"), "src", "dst")
+
+
+def boundary_sets(nodes: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, part, node_id): each part's nodes on the map's outer boundary."""
+    return plans.join(nodes.filter("boundary_node").select("node_id"), "node_id").select("plan_id", "part", "node_id")
+
+
+def level_sets(plans: DataFrame) -> DataFrame:
+    """(plan_id, part, n_nodes, nodes): each part's nodes, ascending; districts are small."""
+    return plans.groupBy(*KEY).agg(F.count("*").alias("n_nodes"), F.sort_array(F.collect_list("node_id")).alias("nodes"))
+
+
+def sorted_shares(results: DataFrame, party: str) -> DataFrame:
+    """(plan_id, rank, share): a party's shares, ascending, for plots of ensembles."""
+    order = F.row_number().over(W.partitionBy("plan_id").orderBy("share", "part"))
+    return results.filter(F.col("party") == party).select("plan_id", order.alias("rank"), "share")
+
+
+def most_common(nodes: DataFrame, plans: DataFrame, field: str) -> DataFrame:
+    """(plan_id, part, field): the commonest value in each part; of equal ones the least."""
+    n = plans.join(nodes.select("node_id", field), "node_id").groupBy(*KEY, field).agg(F.count("*").alias("n"))
+    return n.groupBy(*KEY).agg(F.min_by(field, F.struct(-F.col("n"), F.col(field))).alias(field))
+
+
+def heaviest_cut(edges: DataFrame, plans: DataFrame, weight: Column) -> DataFrame:
+    """(plan_id, src, dst, weight): the cut edge of most weight; of equal ones the first."""
+    c = cut_edges(edges, plans).withColumn("weight", weight)
+    best = F.max_by(F.struct("src", "dst", "weight"), F.struct("weight", -F.col("src"), -F.col("dst"))).alias("e")
+    return c.groupBy("plan_id").agg(best).select("plan_id", "e.*")
+
+
+def group_share(nodes: DataFrame, plans: DataFrame, group: str, total: str) -> DataFrame:
+    """(plan_id, part, share): a group's share of each part."""
+    t = tally(nodes, plans, g=group, t=total)
+    return t.select(*KEY, ratio(F.col("g"), F.col("t")).alias("share"))
+
+
+def total_population(nodes: DataFrame, column: str = "population") -> DataFrame:
+    return nodes.agg(F.sum(column).alias(column))
+
+
+# ------------------------------------------------------------------------- more constraints
+
+
+def at_most(scored: DataFrame, column: str, bound: float) -> DataFrame:
+    return scored.groupBy("plan_id").agg((F.max(column) <= bound).alias("valid"))
+
+
+def at_least(scored: DataFrame, column: str, bound: float) -> DataFrame:
+    return scored.groupBy("plan_id").agg((F.min(column) >= bound).alias("valid"))
+
+
+def within_percent_of_first(chain: DataFrame, column: str, percent: float) -> DataFrame:
+    """Chain scores (plan_id, step, column): within so many per cent of the first that is not 0."""
+    first = F.first(F.when(F.col(column) != 0, F.col(column)), ignorenulls=True).over(W.partitionBy("plan_id").orderBy("step"))
+    low, high = first * (1 - percent / 100), first * (1 + percent / 100)
+    return chain.withColumn("valid", F.coalesce((F.col(column) >= low) & (F.col(column) <= high), F.lit(True)))
+
+
+def refuse_new_splits(states: DataFrame) -> DataFrame:
+    """(plan_id, step, valid) of county states: no county is newly split."""
+    return states.groupBy("plan_id", "step").agg((F.count_if(F.col("state") == "new_split") == 0).alias("valid"))
+
+
+def spanning_trees_log(nodes: DataFrame, edges: DataFrame, plans: DataFrame) -> DataFrame:
+    """(plan_id, part, log_trees): log of how many spanning trees each part has, by the determinant
+    of its Laplacian without a row; a part a task, dense, as districts are small. A part of several
+    pieces has none: minus infinity."""
+    import numpy as np
+    import pandas as pd
+
+    inner = subgraphs(edges, plans)
+    solo = plans.select("plan_id", "part", F.col("node_id").alias("src"), F.col("node_id").alias("dst"))
+
+    def solve(d: pd.DataFrame) -> pd.DataFrame:
+        ids = np.unique(d[["src", "dst"]].to_numpy())
+        real = d[d["src"] != d["dst"]]
+        a, b = np.searchsorted(ids, real["src"]), np.searchsorted(ids, real["dst"])
+        m = np.diag(np.bincount(np.r_[a, b], minlength=len(ids)).astype(float))
+        m[a, b] -= 1
+        m[b, a] -= 1
+        return pd.DataFrame({"plan_id": [d["plan_id"].iloc[0]], "part": [d["part"].iloc[0]], "log_trees": [float(np.linalg.slogdet(m[1:, 1:])[1]) if len(ids) > 1 else 0.0]})
+
+    return inner.unionAll(solo).groupBy(*KEY).applyInPandas(solve, "plan_id string, part int, log_trees double")

@@ -14,14 +14,16 @@ from pyspark.sql import functions as F
 from ..operators import scores as S
 from . import kernels as K
 
-MOST_NODES = 2_000_000
+MOST_NODES, MOST_EDGES = 2_000_000, 8_000_000
 
 
 def net_of(nodes: DataFrame, edges: DataFrame, plan: DataFrame, population: str = "population", regions: tuple[str, ...] = ()) -> tuple[K.Net, np.ndarray]:
     n = nodes.select("node_id", population, *regions).join(plan.select("node_id", "part"), "node_id").orderBy("node_id").limit(MOST_NODES + 1).toPandas()
     if len(n) > MOST_NODES:
         raise ValueError(f"more than {MOST_NODES} nodes")
-    e = edges.select("src", "dst").toPandas()
+    e = edges.select("src", "dst").limit(MOST_EDGES + 1).toPandas()
+    if len(e) > MOST_EDGES:
+        raise ValueError(f"more than {MOST_EDGES} edges")
     ids = n["node_id"].to_numpy()
     at = lambda x: np.searchsorted(ids, x.to_numpy())
     return K.Net(ids, n[population].to_numpy(np.int64), at(e["src"]), at(e["dst"]), {r: n[r].to_numpy(object) for r in regions}), n["part"].to_numpy(np.int64)
@@ -31,35 +33,42 @@ def _chains(spark, n_chains: int) -> DataFrame:
     return spark.range(n_chains).select(F.col("id").alias("chain")).repartition(n_chains, "chain")
 
 
-def run_chains(nodes, edges, start: DataFrame, n_chains: int, steps: int, proposal: str = "recom", accept: str = "always", epsilon: float = 0.05, seed: int = 0, **options) -> DataFrame:
-    """(chain, step, node_id, part): flips of each step; a step without flips has a row of nulls."""
+def run_chains(nodes, edges, start: DataFrame, n_chains: int, steps: int, proposal: str = "recom", accept: str = "always", epsilon: float = 0.05, seed: int = 0, constraints: tuple = (), **options) -> DataFrame:
+    """(chain, step, node_id, part, status): flips of each step; a step without flips has a row of
+    nulls. A chain that cannot go on ends with a row that has only its status. `proposal` and
+    `accept` are names or functions as in `kernels`, `constraints` functions of (net, plan)."""
     spark = nodes.sparkSession
     shared = spark.sparkContext.broadcast(net_of(nodes, edges, start))
-    rule = {"always": K.always, "fewer_cuts": K.fewer_cuts}[accept]
+    rule = {"always": K.always, "fewer_cuts": K.fewer_cuts}.get(accept, accept) if isinstance(accept, str) else accept
+    propose = K.PROPOSALS[proposal] if isinstance(proposal, str) else proposal
 
     def run(batches):
         net, first = shared.value
         for pdf in batches:
             for c in pdf["chain"]:
-                limits = K.Limits(epsilon, parts=len(np.unique(first)))
+                limits = K.Limits(epsilon, parts=len(np.unique(first)), more=tuple(constraints))
                 rows = []
-                for step, new in K.chain(net, first.copy(), np.random.default_rng([seed, int(c)]), K.PROPOSALS[proposal], limits, rule, steps, epsilon=epsilon, **options):
-                    rows += [(c, step, int(net.ids[v]), p) for v, p in new.items()] or [(c, step, None, None)]
-                    if len(rows) > 20_000:
-                        yield _frame(rows)
-                        rows = []
+                try:
+                    for step, new in K.chain(net, first.copy(), np.random.default_rng([seed, int(c)]), propose, limits, rule, steps, epsilon=epsilon, **options):
+                        rows += [(c, step, int(net.ids[v]), p, None) for v, p in new.items()] or [(c, step, None, None, None)]
+                        if len(rows) > 20_000:
+                            yield _frame(rows)
+                            rows = []
+                except (K.TooManyCuts, K.Stuck, K.NoCut) as e:
+                    rows.append((c, None, None, None, f"{type(e).__name__}: {e}"))
                 yield _frame(rows)
 
-    return _chains(spark, n_chains).mapInPandas(run, "chain long, step long, node_id long, part int")
+    return _chains(spark, n_chains).mapInPandas(run, "chain long, step long, node_id long, part int, status string")
 
 
 def _frame(rows) -> pd.DataFrame:
-    d = pd.DataFrame(rows, columns=["chain", "step", "node_id", "part"])
-    return d.astype({"node_id": "Int64", "part": "Int32"})
+    d = pd.DataFrame(rows, columns=["chain", "step", "node_id", "part", "status"])
+    return d.astype({"step": "Int64", "node_id": "Int64", "part": "Int32", "status": "string"})
 
 
 def plans_of(flips: DataFrame, start: DataFrame) -> DataFrame:
     """(plan_id, step, node_id, part): each chain's plan at each step, the last flip of a node."""
+    flips = flips.filter("status is null") if "status" in flips.columns else flips
     steps = flips.select(F.col("chain").cast("string").alias("plan_id"), "step").distinct()
     spans = flips.filter("node_id is not null").select(F.col("chain").cast("string").alias("plan_id"), "step", "node_id", "part")
     first = steps.select("plan_id").distinct().crossJoin(start.select("node_id", "part")).select("plan_id", F.lit(-1).cast("long").alias("step"), "node_id", "part")
@@ -74,10 +83,10 @@ def plans_of(flips: DataFrame, start: DataFrame) -> DataFrame:
 def scored(nodes: DataFrame, edges: DataFrame, flips: DataFrame, start: DataFrame) -> DataFrame:
     """(chain, step, cut_edges, spread, contiguous): every plan of an ensemble in one job."""
     p = plans_of(flips, start).select(F.concat_ws("/", "plan_id", F.col("step").cast("string")).alias("plan_id"), "node_id", "part")
-    cuts = S.cut_edges(edges, p).groupBy("plan_id").agg(F.count("*").alias("cut_edges"))
+    cuts = S.cut_edges(edges, p).groupBy("plan_id").agg(F.count("*").alias("n"))
     pop = S.tally(nodes, p, population="population").groupBy("plan_id").agg((F.max("population") - F.min("population")).alias("spread"))
     whole = S.contiguity(S.components(nodes, edges, p)).select("plan_id", "contiguous")
-    out = cuts.join(pop, "plan_id").join(whole, "plan_id")
+    out = pop.join(whole, "plan_id").join(cuts, "plan_id", "left").withColumn("cut_edges", F.coalesce("n", F.lit(0).cast("long")))
     key = F.split("plan_id", "/")
     return out.select(key[0].cast("long").alias("chain"), key[1].cast("long").alias("step"), "cut_edges", "spread", "contiguous")
 

@@ -218,9 +218,10 @@ def metagraph_flips(n, e, p, *_):
     return S.metagraph_flips(e, p)
 
 
-@query("SELECT plan_id, 2 * count(*) AS degree FROM c GROUP BY 1")
+@query("SELECT plan_id, 2 * count(*) AS degree FROM c GROUP BY 1 UNION ALL SELECT 'whole', 0")
 def metagraph_degree(n, e, p, *_):
-    return S.metagraph_flips(e, p).groupBy("plan_id").agg(F.count("*").alias("degree"))
+    whole = n.select(F.lit("whole").alias("plan_id"), "node_id", F.lit(0).alias("part"))
+    return S.metagraph_degree(e, p.unionAll(whole))
 
 
 @query("SELECT n.node_id, coalesce(degree, 0) AS degree FROM n LEFT JOIN g USING (node_id)")
@@ -228,9 +229,10 @@ def degrees(n, e, *_):
     return G.degrees(n, e)
 
 
-@query("SELECT node_id FROM n WHERE bp = 4")
+@query("SELECT node_id FROM n WHERE node_id NOT IN (SELECT unnest([src, dst]) FROM e WHERE src % 5 <> 0 AND dst % 5 <> 0)")
 def islands(n, e, *_):
-    return G.islands(n, e).select("node_id")
+    """Of the graph without the edges of every fifth node."""
+    return G.islands(n, e.filter("src % 5 <> 0 and dst % 5 <> 0")).select("node_id")
 
 
 @query("SELECT node_id, n_name AS nation FROM n JOIN nation ON n_nationkey = county")
@@ -272,6 +274,174 @@ def beta_schedules(n, e, p, spark, sf):
     return spark.range(200).select(s.alias("step"), C.jump_cycle(s, 10, 20).alias("jump"), C.linear_cycle(s, 10, 10, 20).alias("linear"))
 
 
+@query("SELECT x AS step, " + ", ".join(f"round(CAST({q} AS DOUBLE), 9) AS {n}" for n, q in {
+    "linear_jump": "CASE WHEN x % 40 < 10 THEN 0 WHEN x % 40 < 20 THEN (x % 40 - 10) / 10.0 ELSE 1 END",
+    "logit": "CASE WHEN x % 50 <= 10 THEN 0 WHEN x % 50 < 20 THEN greatest(0, least(1, (ln(((x % 50 - 10) / 10.0) / (1 - (x % 50 - 10) / 10.0)) + 5) / 10)) WHEN x % 50 <= 40 THEN 1 ELSE greatest(0, least(1, (ln((1 - (x % 50 - 40) / 10.0) / ((x % 50 - 40) / 10.0)) + 5) / 10)) END",
+    "logit_jump": "CASE WHEN x % 40 <= 10 THEN 0 WHEN x % 40 < 20 THEN greatest(0, least(1, (ln(((x % 40 - 10) / 10.0) / (1 - (x % 40 - 10) / 10.0)) + 5) / 10)) ELSE 1 END",
+}.items()) + " FROM (SELECT unnest(range(0, 200)) AS x)")
+def more_schedules(n, e, p, spark, sf):
+    s = F.col("id")
+    return spark.range(200).select(s.alias("step"), C.linear_cycle(s, 10, 10, 20, down=False).alias("linear_jump"), C.logit_cycle(s, 10, 10, 20).alias("logit"), C.logit_cycle(s, 10, 10, 20, down=False).alias("logit_jump"))
+
+
+@query("""
+SELECT plan_id, round(n + below, 9) AS partial_district, round(CASE WHEN below < 0.4 THEN n ELSE n + 10 * (below - 0.4) END, 9) AS next_highest_close, round(CASE WHEN n = 0 THEN 0 ELSE n + (1 - above) / 0.5 END, 9) AS maximum_over, round(CASE WHEN n = 0 THEN 0 ELSE n + (1 - mean) / 0.5 END, 9) AS average_over
+FROM (SELECT plan_id, CAST(count(*) FILTER (share >= 0.5) AS DOUBLE) AS n, max(share) FILTER (share < 0.5) AS below, max(share) FILTER (share >= 0.5) AS above, avg(share) FILTER (share >= 0.5) AS mean FROM v GROUP BY 1)""")
+def opportunity_scores(n, e, p, *_):
+    o = C.opportunity(F.col("share"), 0.5)
+    return S.two_party(S.election(n, p, PARTIES)).groupBy("plan_id").agg(*[o[k].alias(k) for k in ("partial_district", "next_highest_close", "maximum_over", "average_over")])
+
+
+@query("""
+, s AS (SELECT a.plan_id, a.part, x.county, e.src AS a, e.dst AS b FROM e JOIN p a ON a.node_id = src JOIN p b ON b.node_id = dst AND a.plan_id = b.plan_id JOIN n x ON x.node_id = src JOIN n y ON y.node_id = dst WHERE a.part = b.part AND x.county = y.county),
+u AS (SELECT plan_id, a, b FROM s UNION ALL SELECT plan_id, b, a FROM s), r AS (SELECT plan_id, node_id AS a, node_id AS b FROM p UNION SELECT r.plan_id, r.a, u.b FROM r JOIN u ON u.a = r.b AND u.plan_id = r.plan_id)
+SELECT plan_id, count(DISTINCT b) AS num_pieces FROM (SELECT plan_id, a, min(b) AS b FROM r GROUP BY ALL) GROUP BY 1""")
+def num_pieces(n, e, p, *_):
+    return S.pieces(S.components(n, e, p, within="county"), "county")
+
+
+STATES = """
+, x AS (SELECT 0 AS step, county, count(DISTINCT part) > 1 AS split FROM p5 JOIN n USING (node_id) GROUP BY ALL UNION ALL SELECT 1, county, count(DISTINCT part) > 1 FROM q JOIN n USING (node_id) GROUP BY ALL),
+z AS (SELECT step, county, CASE WHEN NOT split THEN 'not_split' WHEN step = 0 OR lag(split) OVER (PARTITION BY county ORDER BY step) THEN 'old_split' ELSE 'new_split' END AS state FROM x)
+"""
+
+
+def _states(n, spark, sf):
+    """Two steps of a chain: the bands, and what the flip log makes of them."""
+    steps = [S.counties(n, x, "county").withColumn("step", F.lit(i)) for i, x in enumerate((G.bands(n, 5), flipped(spark, sf, n)))]
+    return S.county_states(steps[0].unionAll(steps[1]).withColumn("plan_id", F.lit("chain")), "county")
+
+
+@query(STATES + "SELECT step, county, state FROM z")
+def county_states(n, e, p, spark, sf):
+    return _states(n, spark, sf).select("step", "county", "state")
+
+
+@query(STATES + "SELECT step, count(*) FILTER (state = 'new_split') = 0 AS valid FROM z GROUP BY 1")
+def refuse_new_splits(n, e, p, spark, sf):
+    return S.refuse_new_splits(_states(n, spark, sf)).select("step", "valid")
+
+
+def _chain(spark, sf):
+    return spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("step"), "value")
+
+
+FIRST = "FROM (SELECT user_id, event_id, value, first_value(value) OVER (PARTITION BY user_id ORDER BY event_id) AS f, first_value(nullif(value, 0) IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id) AS g FROM events)"
+
+
+@query(f"SELECT event_id AS step, value <= f AS below, value >= f - 0.05 AS above, coalesce(value BETWEEN g * (1 - 10.0::DOUBLE / 100) AND g * (1 + 10.0::DOUBLE / 100), true) AS within {FIRST}")
+def self_set_bounds(n, e, p, spark, sf):
+    c = _chain(spark, sf)
+    low = S.no_worse_than_first(c, "value", lower=False).withColumnRenamed("valid", "below")
+    high = S.no_worse_than_first(low, "value", lower=True, slack=0.05).withColumnRenamed("valid", "above")
+    return S.within_percent_of_first(high, "value", 10.0).withColumnRenamed("valid", "within").select("step", "below", "above", "within")
+
+
+@query("SELECT plan_id, count(DISTINCT part) = 6 AS valid FROM (SELECT plan_id, part FROM p WHERE part < 6) GROUP BY 1")
+def no_empty_parts(n, e, p, spark, sf):
+    parts = p.select("plan_id").distinct().crossJoin(spark.range(6).select(F.col("id").cast("int").alias("part")))
+    return S.no_empty_parts(parts, p)
+
+
+@query("SELECT plan_id, min(population) >= 0.98::DOUBLE * 300 AND max(population) <= 1.02::DOUBLE * 300 AS near, max(population) <= 400 AS at_most, min(population) >= 150 AS at_least FROM t GROUP BY 1")
+def population_limits(n, e, p, *_):
+    t = S.tally(n, p, population="population")
+    near = S.near_ideal(t, 300, 0.02).withColumnRenamed("valid", "near")
+    return near.join(S.at_most(t, "population", 400).withColumnRenamed("valid", "at_most"), "plan_id").join(S.at_least(t, "population", 150).withColumnRenamed("valid", "at_least"), "plan_id")
+
+
+@query("SELECT plan_id, part, CAST(sum(CASE WHEN col % 7 <> 0 THEN population END) AS DOUBLE) AS real FROM p JOIN n USING (node_id) GROUP BY ALL")
+def tally_without_nan(n, e, p, *_):
+    return S.tally(n.withColumn("x", F.when(F.col("col") % 7 == 0, float("nan")).otherwise(F.col("population").cast("double"))), p, real="x")
+
+
+@query("SELECT CAST(sum(population) AS BIGINT) AS population FROM n")
+def total_population(n, *_):
+    return S.total_population(n)
+
+
+@query("SELECT part, CAST(sum(population) AS BIGINT) AS population FROM q JOIN n USING (node_id) GROUP BY 1")
+def updated_tally(n, e, p, spark, sf):
+    old = G.bands(n, 5)
+    return S.updated_tally(S.tally(n, old, population="population"), n, S.flows(old, flipped(spark, sf, n)), "population").drop("plan_id")
+
+
+@query("SELECT src, dst, unnest([ps, pd]) AS part FROM cq")
+def updated_cuts(n, e, p, spark, sf):
+    old, new = G.bands(n, 5), flipped(spark, sf, n)
+    return S.updated_cuts(S.by_part(S.cut_edges(e, old)), S.edge_flows(e, old, new)).drop("plan_id")
+
+
+MOVED = ", d AS (SELECT node_id, a.part AS was, b.part AS now FROM p5 a JOIN q b USING (node_id) WHERE a.part <> b.part)\n"
+
+
+@query(MOVED + "SELECT DISTINCT src, dst FROM e JOIN d ON node_id IN (src, dst)")
+def neighbour_flips(n, e, p, spark, sf):
+    return S.neighbour_flips(e, S.flows(G.bands(n, 5), flipped(spark, sf, n))).drop("plan_id")
+
+
+@query(MOVED + "SELECT was AS part FROM d UNION SELECT now FROM d")
+def affected_parts(n, e, p, spark, sf):
+    return S.affected(S.flows(G.bands(n, 5), flipped(spark, sf, n))).drop("plan_id")
+
+
+@query(REACH + MOVED + "SELECT part, count(DISTINCT component) = 1 AS contiguous FROM w JOIN q USING (node_id) WHERE part IN (SELECT was FROM d) GROUP BY 1")
+def flip_contiguous(n, e, p, spark, sf):
+    new = flipped(spark, sf, n)
+    return S.flip_contiguous(n, e, new, S.flows(G.bands(n, 5), new)).drop("plan_id")
+
+
+@query("""
+, s AS (SELECT src AS a, dst AS b FROM e WHERE src IN (SELECT node_id FROM n WHERE col % 10 <> 4 OR row % 8 = 1) AND dst IN (SELECT node_id FROM n WHERE col % 10 <> 4 OR row % 8 = 1)), u AS (SELECT a, b FROM s UNION ALL SELECT b, a FROM s), r AS (SELECT 0::BIGINT AS a UNION SELECT u.b FROM r JOIN u ON u.a = r.a)
+SELECT a AS node_id FROM r""")
+def reachable(n, e, *_):
+    return S.reachable(n, e, (F.col("col") % 10 == 4) & (F.col("row") % 8 != 1), 0)
+
+
+@query("SELECT a.plan_id, a.part, src, dst FROM e JOIN p a ON a.node_id = src JOIN p b ON b.node_id = dst AND a.plan_id = b.plan_id WHERE a.part = b.part")
+def subgraphs(n, e, p, *_):
+    return S.subgraphs(e, p)
+
+
+@query("SELECT plan_id, part, node_id FROM p JOIN n USING (node_id) WHERE bp > 0")
+def boundary_sets(n, e, p, *_):
+    return S.boundary_sets(n, p)
+
+
+@query("SELECT plan_id, part, count(*) AS n_nodes, string_agg(CAST(node_id AS VARCHAR), ',' ORDER BY node_id) AS nodes FROM p GROUP BY ALL")
+def level_sets(n, e, p, *_):
+    return S.level_sets(p).withColumn("nodes", F.array_join(F.transform("nodes", lambda x: x.cast("string")), ","))
+
+
+@query("SELECT plan_id, CAST(row_number() OVER (PARTITION BY plan_id ORDER BY share, part) AS INTEGER) AS rank, round(share, 9) AS share FROM v")
+def sorted_shares(n, e, p, *_):
+    return S.sorted_shares(S.election(n, p, PARTIES), "d")
+
+
+@query("SELECT plan_id, part, muni FROM (SELECT plan_id, part, muni, row_number() OVER (PARTITION BY plan_id, part ORDER BY count(*) DESC, muni) AS r FROM p JOIN n USING (node_id) GROUP BY plan_id, part, muni) WHERE r = 1")
+def most_common_muni(n, e, p, *_):
+    return S.most_common(n, p, "muni")
+
+
+@query("SELECT plan_id, src, dst, weight FROM (SELECT plan_id, src, dst, (src * 7 + dst * 13) % 101 AS weight, row_number() OVER (PARTITION BY plan_id ORDER BY (src * 7 + dst * 13) % 101 DESC, src, dst) AS r FROM c) WHERE r = 1")
+def heaviest_cut(n, e, p, *_):
+    return S.heaviest_cut(e, p, (F.col("src") * 7 + F.col("dst") * 13) % 101)
+
+
+@query("SELECT plan_id, part, round(CAST(votes_d AS DOUBLE) / population, 9) AS share FROM t")
+def group_share(n, e, p, *_):
+    return S.group_share(n, p, "votes_d", "population")
+
+
+ZONE = "CASE WHEN lat >= 56 AND lat < 64 AND lon >= 3 AND lon < 12 THEN 32 WHEN lat >= 72 AND lat <= 84 AND lon >= 0 AND lon < 42 THEN CASE WHEN lon < 9 THEN 31 WHEN lon < 21 THEN 33 WHEN lon < 33 THEN 35 ELSE 37 END ELSE CAST(floor((lon + 180) / 6) AS INTEGER) % 60 + 1 END"
+
+
+@query(f"SELECT node_id, CAST({ZONE} AS INTEGER) AS zone FROM (SELECT node_id, CAST(node_id * 37 % 361 - 180 AS DOUBLE) AS lon, CAST(node_id * 11 % 161 - 80 AS DOUBLE) AS lat FROM n)")
+def utm_zones(n, *_):
+    lon, lat = (F.col("node_id") * 37 % 361 - 180).cast("double"), (F.col("node_id") * 11 % 161 - 80).cast("double")
+    return n.select("node_id", G.utm_zone(lon, lat).alias("zone"))
+
+
 @query()
 def chain_scores(n, e, p, spark, sf):
     """Four recombination chains from the five bands of all customers, scored as an ensemble."""

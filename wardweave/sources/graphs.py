@@ -161,16 +161,21 @@ def segments(polygons: DataFrame) -> DataFrame:
 
 def adjacency(polygons: DataFrame, queen: bool = False) -> DataFrame:
     """Edges between polygons (node_id, ring) of a planar map: shared_perim sums the overlaps of
-    sides on one line, which meet by an equi-join on that line; queen adds shared corners, 0 long."""
+    sides on one line, which meet by an equi-join on that line and a cell of it, as long as a mean
+    side; an overlap counts in the cell where it begins. queen adds shared corners, 0 long."""
     s = segments(polygons)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     norm = F.sqrt(dx * dx + dy * dy)
     r = lambda c: F.round(c, 9) + 0.0
     line = s.withColumns({"ux": r(dx / norm), "uy": r(dy / norm)})
     line = line.withColumns({"off": r(F.col("x1") * F.col("uy") - F.col("y1") * F.col("ux")), "lo": F.col("x1") * F.col("ux") + F.col("y1") * F.col("uy"), "hi": F.col("x2") * F.col("ux") + F.col("y2") * F.col("uy")})
-    a, b = (line.select("ux", "uy", "off", F.col("node_id").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in ("src", "dst"))
+    cell = line.agg(F.greatest(F.avg(F.col("hi") - F.col("lo")), F.lit(1e-9)).alias("cell"))
+    place = lambda c: F.floor(F.col(c) / F.col("cell"))
+    line = line.crossJoin(F.broadcast(cell)).withColumn("at", F.explode(F.sequence(place("lo"), place("hi"))))
+    a, b = (line.select("ux", "uy", "off", "at", "cell", F.col("node_id").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in ("src", "dst"))
     over = F.least("hi_src", "hi_dst") - F.greatest("lo_src", "lo_dst")
-    sides = a.join(b, ["ux", "uy", "off"]).filter("src < dst").select("src", "dst", over.alias("w")).filter("w > 1e-9")
+    first = F.floor(F.greatest("lo_src", "lo_dst") / F.col("cell")) == F.col("at")
+    sides = a.join(b.drop("cell"), ["ux", "uy", "off", "at"]).filter("src < dst").filter(first).select("src", "dst", over.alias("w")).filter("w > 1e-9")
     if queen:
         p = polygons.select("node_id", F.explode("ring").alias("p")).distinct()
         p, q = p.select(F.col("node_id").alias("src"), "p"), p.select(F.col("node_id").alias("dst"), "p")
@@ -190,3 +195,19 @@ def boundary_perimeters(polygons: DataFrame, edges: DataFrame) -> DataFrame:
     one = segments(polygons).groupBy("x1", "y1", "x2", "y2").agg(F.count("*").alias("n")).filter("n = 1").select(F.explode(F.array(F.struct(F.col("x1").alias("x"), F.col("y1").alias("y")), F.struct(F.col("x2").alias("x"), F.col("y2").alias("y")))).alias("p")).join(corner, "p", "left_semi").distinct()
     touch = polygons.select("node_id", F.explode("ring").alias("p")).join(one, "p", "left_semi").select("node_id").distinct().withColumn("touch", F.lit(True))
     return t.join(touch, "node_id", "left").select("node_id", "perimeter", "boundary_perim", ((F.col("boundary_perim") > 0) | F.coalesce("touch", F.lit(False))).alias("boundary_node"))
+
+
+def utm_zone(lon: Column, lat: Column) -> Column:
+    """The zone number of a point: six degrees each, but for the south-west of Norway (32) and
+    Svalbard (31, 33, 35, 37)."""
+    plain = F.pmod(F.floor((lon + 180) / 6), F.lit(60)) + 1
+    norway = (lat >= 56) & (lat < 64) & (lon >= 3) & (lon < 12)
+    north = (lat >= 72) & (lat <= 84) & (lon >= 0) & (lon < 42)
+    svalbard = F.when(lon < 9, 31).when(lon < 21, 33).when(lon < 33, 35).otherwise(37)
+    return F.when(norway, 32).when(north, svalbard).otherwise(plain).cast("int")
+
+
+def common_zone(points: DataFrame) -> DataFrame:
+    """(zone): that of most points (lon, lat); of equal ones the least."""
+    n = points.groupBy(utm_zone(F.col("lon"), F.col("lat")).alias("zone")).agg(F.count("*").alias("n"))
+    return n.agg(F.max_by("zone", F.struct("n", -F.col("zone"))).alias("zone"))
