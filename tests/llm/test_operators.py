@@ -402,6 +402,21 @@ def test_language_id(spark, docs):
     assert language_id.predict(docs, m).count() == docs.count()
 
 
+def test_lm_score_contract(spark, docs, tmp_path):
+    d = docs.filter("doc_id is not null").dropDuplicates(["doc_id"])
+    d.coalesce(2).write.parquet(f"file://{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: WORD.findall((r["text"] or "").translate(UP)) + [None] for r in d.collect()}
+    held = {k: zlib.crc32(str(k).encode()) % 10 == 0 for k in rows}
+    count = Counter(w for k, ws in rows.items() if not held[k] for w in ws)
+    n, v = sum(count.values()), len(count)
+    for r in lm_score.op7_lm_score(spark, f"file://{tmp_path}").collect():
+        ws = rows[r["doc_id"]]
+        base = sum(math.log10((count[w] + 0.1) / (n + 0.1 * (v + 1))) for w in ws)
+        assert (r["held_out"], r["n_tokens"], r["n_known"], r["train_tokens"]) == (held[r["doc_id"]], len(ws), sum(count[w] > 0 for w in ws), n)
+        assert r["base_score"] == pytest.approx(base, rel=1e-6)
+        assert r["bits_per_byte"] == pytest.approx(-r["score"] * math.log2(10) / len((" ".join(ws[:-1]) + "\n").encode()))
+
+
 def naive_language(rows):
     """A scorer of (text, lang) rows, word by word, as the method states it."""
     langs = sorted({lang for _, lang in rows})

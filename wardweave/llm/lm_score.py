@@ -334,7 +334,7 @@ class Lookup:
         return self.values[at]
 
 
-SCORES = "doc_id long, learn boolean, n_tokens long, n_known long, train_words long, train_distinct long, base double, score double"
+SCORES = "doc_id long, learn boolean, n_tokens long, n_known long, train_words long, train_distinct long, base double, score double, bytes long"
 
 
 def _scores(depth: int):
@@ -352,7 +352,7 @@ def _scores(depth: int):
         distinct, total = (sum(answers[c].to_pylist()) // asked for c in ("distinct", "total"))
         whole, offsets = flat(docs["text"])
         n = len(docs)
-        tokens, known, base, score = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n)
+        tokens, known, base, score, size = np.zeros(n, np.int64), np.zeros(n, np.int64), np.zeros(n), np.zeros(n), np.zeros(n, np.int64)
         for a, b in slices(offsets):
             data, off = whole[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a]
             starts, ends, counts = words(data, off)
@@ -362,9 +362,10 @@ def _scores(depth: int):
             known[a:b] = np.bincount(doc[c > 0], minlength=b - a)
             base[a:b] = np.bincount(doc, weights=np.log10(c + 0.1), minlength=b - a)
             s, begin = stream(data, starts, ends, counts)
+            size[a:b] = np.diff(np.append(begin, len(s)))
             score[a:b] = np.add.reduceat(look[GRAMS](gram_keys(s, begin, depth)), begin)
         full = lambda x: pa.array(np.full(n, x, np.int64))
-        return pa.table({"doc_id": docs["doc_id"], "learn": docs["learn"], "n_tokens": tokens, "n_known": known, "train_words": full(total), "train_distinct": full(distinct), "base": base, "score": score})
+        return pa.table({"doc_id": docs["doc_id"], "learn": docs["learn"], "n_tokens": tokens, "n_known": known, "train_words": full(total), "train_distinct": full(distinct), "base": base, "score": score, "bytes": size})
 
     return run
 
@@ -411,4 +412,5 @@ def op7_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.select(
         "doc_id", (~F.col("learn")).alias("held_out"), (F.col("n_tokens") + 1).alias("n_tokens"), (F.col("n_known") + (1 if docs else 0)).alias("n_known"), n.alias("train_tokens"),
         (F.col("base") + F.log10(F.lit(docs + 0.1)) - bar * (F.col("n_tokens") + 1)).alias("base_score"), "score",
+        (F.col("score") * -math.log2(10) / F.col("bytes")).alias("bits_per_byte"),
     )
