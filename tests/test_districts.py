@@ -12,6 +12,7 @@ from wardweave.functions import columns as C
 from wardweave.operators import scores as S
 from wardweave.plans import ensemble
 from wardweave.plans import kernels as K
+from wardweave.sources import geometry as P
 from wardweave.sources import graphs as G
 
 SF = "/root/testdata/sf0.001"
@@ -230,3 +231,176 @@ def test_a_long_straight_border(spark):
     d = spark.createDataFrame(rows, "node_id long, ring array<struct<x:double,y:double>>")
     got = {(r["src"], r["dst"]): r["shared_perim"] for r in G.adjacency(d).collect()}
     assert got == {(i, i + 1): 1.0 for i in range(39)} | {(i, 99): 1.0 for i in range(40)}
+
+
+def test_incremental_scores_equal_whole_ones(spark):
+    nodes, edges = grid(spark, 4)
+    start = plan(spark, [0] * 8 + [1] * 4 + [2] * 4)
+    # the last flips empty part 2
+    log = [(0, 1, 5, 1), (0, 2, 5, 0), (0, 2, 15, 1), (0, 3, None, None), (0, 4, 0, 2), (0, 5, 0, 0), *[(0, 6, i, 1) for i in (12, 13, 14)], (1, 0, None, None), (1, 1, 7, 1), (1, 1, 12, 1)]
+    flips = spark.createDataFrame([(c, s, v, p) for c, s, v, p in log], "chain long, step long, node_id long, part int")
+    a, b = (np.array([r[k] for r in edges.select("src", "dst").collect()]) for k in ("src", "dst"))
+    net = K.Net(np.arange(16), np.ones(16, np.int64), a, b)
+    want = {}
+    for c in (0, 1):
+        now = np.array([0] * 8 + [1] * 4 + [2] * 4)
+        for step in sorted({s for k, s, *_ in log if k == c}):
+            for k, s, v, p in log:
+                if (k, s) == (c, step) and v is not None:
+                    now[v] = p
+            pop = np.bincount(now, minlength=3)
+            want[c, step] = (len(K.cuts_of(net, now)), int(pop.max() - pop.min()), all(K.connected(net, set(np.flatnonzero(now == p).tolist())) for p in np.unique(now)))
+    got = {(r["chain"], r["step"]): (r["cut_edges"], r["spread"], r["contiguous"]) for r in ensemble.scored(nodes, edges, flips, start).collect()}
+    assert got == want
+
+
+def test_record_and_replay(spark, tmp_path):
+    nodes, edges = grid(spark, 4)
+    start = plan(spark, [0] * 8 + [1] * 8)
+    flips = ensemble.run_chains(nodes, edges, start, 2, 12, proposal="flip", epsilon=0.5).cache()
+    ensemble.record(flips, f"{tmp_path}/log")
+    whole = {tuple(r) for r in ensemble.plans_of(flips, start).collect()}
+    assert {tuple(r) for r in ensemble.replay(spark, f"{tmp_path}/log", start).collect()} == whole
+    assert {tuple(r) for r in ensemble.replay(spark, f"{tmp_path}/log", start, 7).collect()} == {r for r in whole if r[1] == 7}
+    scores = ensemble.scored(nodes, edges, flips, start)
+    ensemble.write_scores(scores, f"{tmp_path}/scores")
+    assert spark.read.json(f"{tmp_path}/scores").count() == scores.count() == 24
+
+
+def test_opportunity_runs(spark):
+    nodes, edges = grid(spark, 4)
+    nodes = nodes.withColumn("group", (F.col("node_id") % 2).cast("long")).withColumn("share", F.col("group") * 0.6)
+    start = plan(spark, [0] * 8 + [1] * 8)
+    rows = ensemble.opportunity_run(nodes, edges, start, "group", threshold=0.6, kind="partial_district", n_chains=1, steps=30, proposal="flip", epsilon=0.5).collect()
+    assert rows[0]["score"] == 0.5 and max(r["score"] for r in rows) == max(r["best"] for r in rows) > 0.5
+    shares = ensemble.opportunity_run(nodes, edges, start, share="share", threshold=0.3, n_chains=1, steps=3, proposal="flip", epsilon=0.5).first()
+    assert shares["score"] == 2
+    with pytest.raises(ValueError):
+        ensemble.opportunity_run(nodes, edges, start)
+    net = _grid_net(2)
+    net.region["g"] = np.array([1, 1, 0, 1])
+    two = np.array([0, 0, 1, 1])
+    assert [K.opportunity("g", "population", 0.6, k)(net, two) for k in K.OPPORTUNITY] == pytest.approx([1, 1.5, 1, 1, 1])
+    assert K.opportunity("g", "population", 0.55, "next_highest_close")(net, two) == pytest.approx(1.5)
+
+
+def test_cuts_by_contraction_are_the_same():
+    for seed in range(30):
+        net, rng = _grid_net(6, seed), np.random.default_rng(seed)
+        nodes = list(range(36))
+        tree = K.random_tree(nodes, K.induced(net, set(nodes)), rng)
+        ideal, root = net.population.sum() / 2, int(rng.integers(36))
+        one, two = (f(tree, net.population, ideal, 0.2, root) for f in (K.balanced_cuts, K.contracted_cuts))
+        assert {c[:2]: frozenset(c[2]) for c in one} == {c[:2]: frozenset(c[2]) for c in two}
+        for c in K.contracted_cuts(tree, net.population, ideal / 2, 0.2, root, one_sided=True):
+            assert abs(net.population[list(c[2])].sum() - ideal / 2) < 0.1 * ideal
+
+
+def test_ways_to_cut():
+    net = _grid_net(6)
+    everything, half = set(range(36)), 18
+    net.region = {"row": np.array([i // 18 for i in range(36)], object), "odd": np.array([None] * 36, object)}
+    surcharge = {"row": 2.0, "odd": 1.0}
+    assert K.regions_by_size_and_sum({"a": 1, "b": 3, "c": 2}) == [("a", "b", "c"), ("b", "c"), ("a", "b"), ("a", "c"), ("b",), ("c",), ("a",)]
+    for seed in range(20):
+        rng = np.random.default_rng(seed)
+        cuts, weights = K.all_cuts(net, everything, half, 0.5, rng, surcharge=surcharge)
+        best = K.region_cut(net, cuts, rng, weights, surcharge)
+        between = [c for c in cuts if net.region["row"][c[0]] != net.region["row"][c[1]]]
+        assert best in (between or cuts) and weights[best[:2]] == max(weights[c[:2]] for c in between or cuts)
+        assert weights[K.heaviest_cut(net, cuts, rng, weights)[:2]] == max(weights[c[:2]] for c in cuts)
+        made = K.two_parts(net, [3, 4], half, 0.2, rng, repeats=3, find=K.contracted_cuts)
+        assert abs(int((made == 3).sum()) - half) <= 0.2 * half
+        chunks = K.seed_chunks(net, 3, 6, 0.2, rng)
+        assert sorted(v for c in chunks for v in c) == list(range(36)) and all(abs(len(c) - 12) <= 2.4 for c in chunks)
+        side = K.bipartition_random(net, everything, half, 0.2, rng)
+        assert abs(len(side) - half) <= 3.6
+    with pytest.raises(ValueError):
+        K.two_parts(net, [1], half, 0.2, rng)
+    with pytest.raises(ValueError):
+        K.seed_chunks(net, 4, 6, 0.2, rng)
+
+
+RINGS = "node_id long, ring array<struct<x:double,y:double>>"
+
+
+def test_validity():
+    why = lambda *r: P.ring_fault(*np.array(r, float).T)
+    assert why((0, 0), (1, 0), (1, 1), (0, 1)) is None and why((0, 0), (1, 0), (1, 1), (0, 0)) is None
+    assert why((0, 0), (1, 0), (2, 0), (2, 2)) is None
+    assert why((0, 0), (1, 1), (1, 0), (0, 1)) == why((0, 0), (2, 0), (1, 0), (1, 1)) == why((0, 0), (2, 0), (2, 2), (1, 0), (0, 2)) == "Self-intersection"
+    assert why((0, 0), (1, 1)) == P.ring_fault(np.array([]), np.array([])) == "Too few points in geometry component"
+    assert why((0, 0), (2, 0), (1, 1), (2, 2), (0, 2), (1, 1)) == "Ring Self-intersection"
+    assert why((0, 0), (1, float("nan")), (1, 1)) == "Invalid Coordinate"
+    # against all pairs of sides
+    cross = lambda a, b, c: (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+    for seed in range(200):
+        p = np.random.default_rng(seed).random((6, 2))
+        sides = [(p[i], p[(i + 1) % 6]) for i in range(6)]
+        meet = any(cross(*sides[i], sides[j][0]) * cross(*sides[i], sides[j][1]) < 0 and cross(*sides[j], sides[i][0]) * cross(*sides[j], sides[i][1]) < 0 for i in range(6) for j in range(i + 2, 6) if (j + 1) % 6 != i)
+        assert (P.ring_fault(p[:, 0], p[:, 1]) is not None) == meet
+
+
+def test_overlaps_and_holes(spark):
+    square = lambda x, y, w: [(x, y), (x + w, y), (x + w, y + w), (x, y + w)]
+    rows = [(1, square(0.0, 0.0, 9.0)), (1, square(3.0, 3.0, 3.0)[::-1]), (2, square(3.0, 3.0, 3.0)), (3, square(8.0, 8.0, 2.0)), (4, [(0.0, 9.0), (1.0, 9.0), (0.5, 8.0)]), (5, None), (6, [])]
+    d = spark.createDataFrame(rows, RINGS)
+    got = {(r["src"], r["dst"]): r["area"] for r in P.overlaps(d).collect()}
+    assert got == pytest.approx({(1, 3): 1.0, (1, 4): 0.5})
+    assert {r["node_id"] for r in P.invalid(d).collect()} == {5, 6}
+    nodes, edges = P.graph_of(d.filter("node_id < 3"))
+    assert {r["node_id"]: r["area"] for r in nodes.collect()} == {1: 72.0, 2: 9.0}
+    assert [tuple(r) for r in edges.collect()] == [(1, 2, 12.0)]
+    with pytest.raises(G.GraphError):
+        P.graph_of(d)
+    assert P.without_geometries(d).columns == ["node_id"] and P.overlaps(d.limit(0)).count() == 0
+
+
+def test_projection(spark):
+    """A tower whose grid coordinates are published: zone 17, 630084 m east, 4833438 m north."""
+    lon, lat = F.lit(-(79 + 23 / 60 + 13.7 / 3600)), F.lit(43 + 38 / 60 + 33.24 / 3600)
+    x, y = P.to_utm(lon, lat, F.lit(17))
+    r = spark.range(1).select(x.alias("x"), y.alias("y"), G.utm_zone(lon, lat).alias("z")).first()
+    assert r["z"] == 17 and abs(r["x"] - 630084) < 1 and abs(r["y"] - 4833438) < 1
+    d = spark.createDataFrame([(1, [(-79.0, -43.0), (-78.0, -43.0), (-78.0, -42.0)])], RINGS)
+    p = P.reprojected(d).first()["ring"]
+    assert all(5e6 < q["y"] < 6e6 for q in p) and p[0]["x"] < p[1]["x"]
+
+
+def _shapefile(path, shapes, fields, rows):
+    import struct
+
+    body = b""
+    for i, rings in enumerate(shapes):
+        points = [q for r in rings for q in r]
+        starts, at = [], 0
+        for r in rings:
+            starts.append(at)
+            at += len(r)
+        rec = struct.pack("<i", 0) if not rings else struct.pack("<i4d2i", 5, 0, 0, 0, 0, len(rings), len(points)) + struct.pack(f"<{len(starts)}i", *starts) + b"".join(struct.pack("<2d", *q) for q in points)
+        body += struct.pack(">2i", i + 1, len(rec) // 2) + rec
+    (path / "map.shp").write_bytes(b"\0" * 100 + body)
+    head = b"".join(n.encode().ljust(11, b"\0") + b"C" + b"\0" * 4 + bytes([w]) + b"\0" * 15 for n, w in fields) + b"\r"
+    size = 1 + sum(w for _, w in fields)
+    (path / "map.dbf").write_bytes(struct.pack("<4Bihh", 3, 99, 1, 1, len(rows), 32 + len(head), size) + b"\0" * 20 + head + b"".join(b" " + b"".join(v.encode().ljust(w) for v, (_, w) in zip(r, fields, strict=True)) for r in rows))
+
+
+def test_vector_files(spark, tmp_path):
+    import json
+
+    ring = [(0.0, 0.0), (0.0, 1.0), (1.0, 1.0), (1.0, 0.0), (0.0, 0.0)]
+    far = [(x + 1, y) for x, y in ring]
+    _shapefile(tmp_path, [[ring], [far, [(x + 5, y) for x, y in ring]], []], [("NAME", 6), ("POP", 4)], [("one", "12"), ("two", "7"), ("none", "")])
+    attributes, polygons = P.read_shapefile(spark, f"{tmp_path}/map")
+    assert [tuple(r) for r in attributes.orderBy("node_id").collect()] == [(0, {"NAME": "one", "POP": "12"}), (1, {"NAME": "two", "POP": "7"}), (2, {"NAME": "none", "POP": None})]
+    assert sorted((r["node_id"], r["ring"][0]["x"]) for r in polygons.collect()) == [(0, 0.0), (1, 1.0), (1, 5.0)]
+    nodes, edges = P.graph_of(polygons, attributes)
+    assert {(r["node_id"], r["area"], r["attributes"]["NAME"]) for r in nodes.collect()} == {(0, 1.0, "one"), (1, 2.0, "two")} and edges.count() == 1
+    features = [{"type": "Feature", "properties": {"id": i, "name": n}, "geometry": g} for i, n, g in ((7, "a", {"type": "Polygon", "coordinates": [ring]}), (8, "b", {"type": "MultiPolygon", "coordinates": [[far], [ring]]}), (9, "c", None))]
+    (tmp_path / "one.geojson").write_text(json.dumps({"type": "FeatureCollection", "features": features}, indent=1))
+    (tmp_path / "lines.geojson").write_text("\n".join(map(json.dumps, features)) + "\n")
+    for name in ("one", "lines"):
+        attributes, polygons = P.read_geojson(spark, f"{tmp_path}/{name}.geojson", "id", "id long, name string")
+        assert sorted(map(tuple, attributes.collect())) == [(7, 7, "a"), (8, 8, "b"), (9, 9, "c")]
+        assert sorted((r["node_id"], r["ring"][0]["x"], len(r["ring"])) for r in polygons.collect()) == [(7, 0.0, 5), (8, 0.0, 5), (8, 1.0, 5)]
+    assert json.loads(polygons.filter("node_id = 7").select(P.to_geojson(F.col("ring"))).first()[0]) == json.loads(json.dumps(features[0]["geometry"]))

@@ -342,6 +342,16 @@ def updated_cuts(before: DataFrame, flowed: DataFrame) -> DataFrame:
     return before.select(*key).join(gone, key, "left_anti").unionAll(come)
 
 
+def on_flow(before: DataFrame, flowed: DataFrame, item: Column, previous: str, update) -> DataFrame:
+    """A score of parts (plan_id, part, `previous`) after flows of nodes or edges: `update` makes the
+    new value from the column of the old one and the arrays of items that came in and went out.
+    Parts without flows keep their value; those that flows bring into being have a null before."""
+    pick = lambda d: F.collect_list(F.when(F.col("direction") == d, item)).alias(f"_{d}")
+    both = before.select(*KEY, previous).join(flowed.groupBy(*KEY).agg(pick("in"), pick("out")), KEY, "full")
+    changed = update(F.col(previous), F.col("_in"), F.col("_out"))
+    return both.select(*KEY, F.when(F.col("_in").isNull(), F.col(previous)).otherwise(changed).alias(previous))
+
+
 def neighbour_flips(edges: DataFrame, flowed: DataFrame) -> DataFrame:
     """(plan_id, src, dst): edges with an end that changed parts, once each."""
     moved = flowed.select("plan_id", "node_id").distinct()
@@ -406,6 +416,33 @@ def heaviest_cut(edges: DataFrame, plans: DataFrame, weight: Column) -> DataFram
     return c.groupBy("plan_id").agg(best).select("plan_id", "e.*")
 
 
+def preferred_cut(nodes: DataFrame, edges: DataFrame, plans: DataFrame, surcharge: dict[str, float], weight: Column) -> DataFrame:
+    """(plan_id, src, dst, crossed, weight): the cut edge that crosses most of the named regions; of
+    equal numbers those of most surcharge, then of most weight, then the first. Two nodes without a
+    region are in one."""
+    r = nodes.select("node_id", *surcharge)
+    end = lambda e: r.withColumnsRenamed({"node_id": e} | {c: f"{c}_{e}" for c in surcharge})
+    c = cut_edges(edges, plans).join(end("src"), "src").join(end("dst"), "dst").withColumn("weight", weight)
+    over = {c: (~F.col(f"{c}_src").eqNullSafe(F.col(f"{c}_dst"))).cast("int") for c in surcharge}
+    c = c.withColumns({"crossed": sum(over.values(), F.lit(0)), "extra": sum((x * surcharge[k] for k, x in over.items()), F.lit(0.0))})
+    best = F.max_by(F.struct("src", "dst", "crossed", "weight"), F.struct("crossed", "extra", "weight", -F.col("src"), -F.col("dst"))).alias("e")
+    return c.groupBy("plan_id").agg(best).select("plan_id", "e.*")
+
+
+def election_report(results: DataFrame) -> DataFrame:
+    """(plan_id, report): an election as text, a heading, then each part with its parties' shares to
+    four places."""
+    line = F.concat(F.lit("  "), "party", F.lit(": "), F.coalesce(F.round("share", 4).cast("string"), F.lit("nan")))
+    part = results.groupBy("plan_id", "election", "part").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("party_ord", line.alias("t")))), lambda x: x["t"]), "\n").alias("t"))
+    parts = F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("part", "t"))), lambda x: F.concat(x["part"].cast("string"), F.lit(":\n"), x["t"])), "\n")
+    return part.groupBy("plan_id", "election").agg(parts.alias("t")).select("plan_id", F.concat(F.lit("Election Results for "), "election", F.lit("\n"), "t").alias("report"))
+
+
+def plan_map(plans: DataFrame) -> DataFrame:
+    """(plan_id, parts): each plan as one map from nodes to parts, for export; a map's nodes are few."""
+    return plans.groupBy("plan_id").agg(F.map_from_entries(F.sort_array(F.collect_list(F.struct("node_id", "part")))).alias("parts"))
+
+
 def group_share(nodes: DataFrame, plans: DataFrame, group: str, total: str) -> DataFrame:
     """(plan_id, part, share): a group's share of each part."""
     t = tally(nodes, plans, g=group, t=total)

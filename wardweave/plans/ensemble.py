@@ -9,6 +9,7 @@ from __future__ import annotations
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from ..operators import scores as S
@@ -66,36 +67,104 @@ def _frame(rows) -> pd.DataFrame:
     return d.astype({"step": "Int64", "node_id": "Int64", "part": "Int32", "status": "string"})
 
 
+def spans(flips: DataFrame, start: DataFrame) -> DataFrame:
+    """(chain, node_id, part, a, b): from which step to which each node is in a part. Rows grow with
+    nodes and flips, not with nodes times steps."""
+    flips = flips.filter("status is null") if "status" in flips.columns else flips
+    last = flips.groupBy("chain").agg(F.max("step").alias("end"))
+    first = last.select("chain").crossJoin(start.select("node_id", "part")).select("chain", F.lit(-1).cast("long").alias("step"), "node_id", "part")
+    log = first.unionAll(flips.filter("node_id is not null").select("chain", "step", "node_id", "part"))
+    log = log.withColumn("until", F.lead("step").over(W.partitionBy("chain", "node_id").orderBy("step"))).join(last, "chain")
+    log = log.select("chain", "node_id", "part", F.greatest("step", F.lit(0).cast("long")).alias("a"), F.coalesce(F.col("until") - 1, "end").alias("b"))
+    return log.filter("a <= b")
+
+
 def plans_of(flips: DataFrame, start: DataFrame) -> DataFrame:
     """(plan_id, step, node_id, part): each chain's plan at each step, the last flip of a node."""
+    return spans(flips, start).select(F.col("chain").cast("string").alias("plan_id"), F.explode(F.sequence("a", "b")).alias("step"), "node_id", "part")
+
+
+def cut_counts(edges: DataFrame, spanned: DataFrame, steps: DataFrame) -> DataFrame:
+    """(chain, step, cut_edges): an edge is cut over stretches of steps, from the spans of its ends;
+    where they begin and end, a running sum changes."""
+    end = lambda e: spanned.withColumnsRenamed({"node_id": e, "part": f"part_{e}", "a": f"a_{e}", "b": f"b_{e}"})
+    j = edges.select("src", "dst").join(end("src"), "src").join(end("dst"), ["chain", "dst"])
+    a, b = F.greatest("a_src", "a_dst"), F.least("b_src", "b_dst")
+    j = j.filter(F.col("part_src") != F.col("part_dst")).select("chain", a.alias("a"), b.alias("b")).filter("a <= b")
+    turn = F.explode(F.array(F.struct(F.col("a").alias("step"), F.lit(1).alias("d")), F.struct((F.col("b") + 1).alias("step"), F.lit(-1).alias("d")))).alias("t")
+    change = j.select("chain", turn).select("chain", "t.*").groupBy("chain", "step").agg(F.sum("d").alias("d"))
+    return _running(steps, change, "d", "cut_edges")
+
+
+def _running(steps: DataFrame, change: DataFrame, column: str, name: str, *more: str) -> DataFrame:
+    """Running sums of changes over all steps, also those between the ones in `steps`."""
+    both = steps.select("chain", *more, "step", F.lit(0).cast("long").alias(column), F.lit(True).alias("own")).unionAll(change.select("chain", *more, "step", column, F.lit(False)))
+    at = both.groupBy("chain", *more, "step").agg(F.sum(column).alias(column), F.max("own").alias("own"))
+    total = F.sum(column).over(W.partitionBy("chain", *more).orderBy("step"))
+    return at.withColumn(name, total).filter("own").select("chain", *more, "step", name)
+
+
+def tallies(nodes: DataFrame, spanned: DataFrame, steps: DataFrame, column: str = "population") -> DataFrame:
+    """(chain, step, part, column): running sums of what comes to each part and leaves it."""
+    s = spanned.join(nodes.select("node_id", F.col(column).alias("v")), "node_id")
+    turn = F.explode(F.array(F.struct(F.col("a").alias("step"), F.col("v").alias("d")), F.struct((F.col("b") + 1).alias("step"), (-F.col("v")).alias("d")))).alias("t")
+    change = s.select("chain", "part", turn).select("chain", "part", "t.*").groupBy("chain", "part", "step").agg(F.sum("d").alias("d"))
+    every = steps.join(spanned.select("chain", "part").distinct(), "chain")
+    return _running(every, change, "d", column, "part")
+
+
+def whole_parts(nodes: DataFrame, edges: DataFrame, spanned: DataFrame, steps: DataFrame) -> DataFrame:
+    """(chain, step, contiguous): only parts that a step has changed are walked; the others are as
+    they were."""
+    moved = spanned.select("chain", "part", F.explode(F.array("a", F.col("b") + 1)).alias("step")).distinct().join(steps, ["chain", "step"], "left_semi")
+    inner = spanned.join(moved, ["chain", "part"]).filter("step between a and b")
+    p = inner.select(F.concat_ws("/", F.col("chain").cast("string"), F.col("step").cast("string")).alias("plan_id"), "node_id", "part")
+    n = S.components(nodes, edges, p).groupBy("plan_id", "part").agg(F.countDistinct("component").alias("n"))
+    key = F.split("plan_id", "/")
+    # a part left without nodes is in no piece, so none of it is apart
+    apart = n.select(key[0].cast("long").alias("chain"), key[1].cast("long").alias("step"), "part", (F.col("n") > 1).cast("long").alias("bad"))
+    state = moved.join(apart, ["chain", "step", "part"], "left").fillna(0, ["bad"])
+    before = F.lag("bad", 1, 0).over(W.partitionBy("chain", "part").orderBy("step"))
+    change = state.withColumn("d", F.col("bad") - before).groupBy("chain", "step").agg(F.sum("d").alias("d"))
+    return _running(steps, change, "d", "n").select("chain", "step", (F.col("n") == 0).alias("contiguous"))
+
+
+def scored(nodes: DataFrame, edges: DataFrame, flips: DataFrame, start: DataFrame) -> DataFrame:
+    """(chain, step, cut_edges, spread, contiguous) of every plan of an ensemble, from changes: the
+    first plan is scored whole, then each step by what its flips change. Parts that lose all their
+    nodes count as 0 in the spread."""
     flips = flips.filter("status is null") if "status" in flips.columns else flips
-    steps = flips.select(F.col("chain").cast("string").alias("plan_id"), "step").distinct()
-    spans = flips.filter("node_id is not null").select(F.col("chain").cast("string").alias("plan_id"), "step", "node_id", "part")
-    first = steps.select("plan_id").distinct().crossJoin(start.select("node_id", "part")).select("plan_id", F.lit(-1).cast("long").alias("step"), "node_id", "part")
-    from pyspark.sql import Window as W
+    steps, spanned = flips.select("chain", "step").distinct(), spans(flips, start)
+    pop = tallies(nodes, spanned, steps).groupBy("chain", "step").agg((F.max("population") - F.min("population")).alias("spread"))
+    whole = whole_parts(nodes, edges, spanned, steps)
+    return cut_counts(edges, spanned, steps).join(pop, ["chain", "step"]).join(whole, ["chain", "step"])
 
-    log = first.unionAll(spans).withColumn("until", F.lead("step").over(W.partitionBy("plan_id", "node_id").orderBy("step")))
-    last = steps.groupBy("plan_id").agg(F.max("step").alias("end"))
-    log = log.join(last, "plan_id").withColumn("a", F.greatest("step", F.lit(0))).withColumn("b", F.coalesce(F.col("until") - 1, "end")).filter("a <= b")
-    return log.select("plan_id", F.explode(F.sequence("a", "b")).alias("step"), "node_id", "part")
 
+def record(flips: DataFrame, path: str) -> None:
+    """Store flips by chain, for `replay`."""
+    flips.write.partitionBy("chain").parquet(path)
 
-def scored(nodes: DataFrame, edges: DataFrame, flips: DataFrame, start: DataFrame) -> DataFrame:
-    """(chain, step, cut_edges, spread, contiguous): every plan of an ensemble in one job."""
-    p = plans_of(flips, start).select(F.concat_ws("/", "plan_id", F.col("step").cast("string")).alias("plan_id"), "node_id", "part")
-    cuts = S.cut_edges(edges, p).groupBy("plan_id").agg(F.count("*").alias("n"))
-    pop = S.tally(nodes, p, population="population").groupBy("plan_id").agg((F.max("population") - F.min("population")).alias("spread"))
-    whole = S.contiguity(S.components(nodes, edges, p)).select("plan_id", "contiguous")
-    out = pop.join(whole, "plan_id").join(cuts, "plan_id", "left").withColumn("cut_edges", F.coalesce("n", F.lit(0).cast("long")))
-    key = F.split("plan_id", "/")
-    return out.select(key[0].cast("long").alias("chain"), key[1].cast("long").alias("step"), "cut_edges", "spread", "contiguous")
+
+def replay(spark, path: str, start: DataFrame, step: int | None = None) -> DataFrame:
+    """Stored chains' plans (plan_id, step, node_id, part): all steps, or those that hold at one."""
+    flips = spark.read.parquet(path).withColumn("chain", F.col("chain").cast("long"))
+    if step is None:
+        return plans_of(flips, start)
+    at = spans(flips, start).filter(F.lit(step).between(F.col("a"), F.col("b")))
+    return at.select(F.col("chain").cast("string").alias("plan_id"), F.lit(step).cast("long").alias("step"), "node_id", "part")
+
+
+def write_scores(scores: DataFrame, path: str) -> None:
+    """Scores as JSON lines, one a row."""
+    scores.write.json(path)
 
 
-def optimize(nodes, edges, start: DataFrame, mode: str = "short_bursts", n_chains: int = 4, steps: int = 100, proposal: str = "recom", epsilon: float = 0.05, maximize: bool = False, score=K.n_cuts, seed: int = 0, **options) -> DataFrame:
+def optimize(nodes, edges, start: DataFrame, mode: str = "short_bursts", n_chains: int = 4, steps: int = 100, proposal: str = "recom", epsilon: float = 0.05, maximize: bool = False, score=K.n_cuts, seed: int = 0, regions: tuple[str, ...] = (), **options) -> DataFrame:
     """(chain, step, score, best) of optimising runs: short_bursts, tilted_bursts, variable_bursts,
-    tilted or annealing. `score` is a function of (net, plan)."""
+    tilted or annealing. `score` is a function of (net, plan), which finds
+    the columns that `regions` names in net.region."""
     spark = nodes.sparkSession
-    shared = spark.sparkContext.broadcast(net_of(nodes, edges, start))
+    shared = spark.sparkContext.broadcast(net_of(nodes, edges, start, regions=regions))
 
     def run(batches):
         net, first = shared.value
@@ -106,3 +175,14 @@ def optimize(nodes, edges, start: DataFrame, mode: str = "short_bursts", n_chain
                 yield pd.DataFrame(rows, columns=["chain", "step", "score", "best"])
 
     return _chains(spark, n_chains).mapInPandas(run, "chain long, step long, score double, best double")
+
+
+def opportunity_run(nodes, edges, start: DataFrame, group: str | None = None, total: str = "population", share: str | None = None, threshold: float = 0.5, kind: str = "n_districts", **options) -> DataFrame:
+    """`optimize` for districts where a group's share reaches a threshold: from the columns of the
+    group and of the total, or, first, from a column of nodes that is their share of a part's
+    population. The score is always maximised; `kind` is one of `kernels.OPPORTUNITY`."""
+    if group is None and share is None:
+        raise ValueError("either a group's column or a share is needed")
+    columns = (share,) if share else (group, total)
+    score = K.opportunity(columns[0], None if share else total, threshold, kind)
+    return optimize(nodes, edges, start, maximize=True, score=score, regions=tuple(dict.fromkeys(c for c in columns if c != "population")), **options)

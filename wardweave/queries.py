@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from .functions import columns as C
 from .operators import scores as S
+from .sources import geometry as P
 from .sources import graphs as G
 
 PARTIES = {"d": "votes_d", "r": "votes_r"}
@@ -442,6 +443,116 @@ def utm_zones(n, *_):
     return n.select("node_id", G.utm_zone(lon, lat).alias("zone"))
 
 
+REGIONS = {"county": 0.5, "muni": 0.2}
+
+
+@query("""
+SELECT plan_id, src, dst, crossed, weight FROM (SELECT plan_id, src, dst, x + y AS crossed, weight, row_number() OVER (PARTITION BY plan_id ORDER BY x + y DESC, 0.5 * x + 0.2 * y DESC, weight DESC, src, dst) AS r FROM (
+ SELECT plan_id, src, dst, CAST(a.county IS DISTINCT FROM b.county AS INTEGER) AS x, CAST(a.muni IS DISTINCT FROM b.muni AS INTEGER) AS y, (src * 7 + dst * 13) % 101 AS weight FROM c JOIN n a ON a.node_id = src JOIN n b ON b.node_id = dst)) WHERE r = 1""")
+def preferred_cut(n, e, p, *_):
+    return S.preferred_cut(n, e, p, REGIONS, (F.col("src") * 7 + F.col("dst") * 13) % 101)
+
+
+@query("""
+, y AS (SELECT plan_id, part, part || ':' || chr(10) || '  d: ' || round(CAST(votes_d AS DOUBLE) / (votes_d + votes_r), 4) || chr(10) || '  r: ' || round(CAST(votes_r AS DOUBLE) / (votes_d + votes_r), 4) AS t FROM t)
+SELECT plan_id, 'Election Results for election' || chr(10) || string_agg(t, chr(10) ORDER BY part) AS report FROM y GROUP BY 1""")
+def election_report(n, e, p, *_):
+    return S.election_report(S.election(n, p, PARTIES))
+
+
+@query("SELECT plan_id, string_agg(node_id || '=' || part, ',' ORDER BY node_id) AS parts FROM p GROUP BY 1")
+def plan_map(n, e, p, *_):
+    pair = F.transform(F.array_sort(F.map_entries("parts")), lambda x: F.concat_ws("=", x["key"].cast("string"), x["value"].cast("string")))
+    return S.plan_map(p).select("plan_id", F.array_join(pair, ",").alias("parts"))
+
+
+@query("SELECT part, count(*) AS n_nodes FROM q GROUP BY 1")
+def node_counts_on_flow(n, e, p, spark, sf):
+    old = G.bands(n, 5)
+    before = old.groupBy("plan_id", "part").agg(F.count("*").alias("n_nodes"))
+    count = lambda x, came, went: F.coalesce(x, F.lit(0)) + F.size(came) - F.size(went)
+    return S.on_flow(before, S.flows(old, flipped(spark, sf, n)), F.col("node_id"), "n_nodes", count).drop("plan_id")
+
+
+@query("SELECT part, CAST(sum(src * 3 + dst) AS BIGINT) AS weight FROM (SELECT src, dst, unnest([ps, pd]) AS part FROM cq) GROUP BY 1")
+def cut_weight_on_edge_flow(n, e, p, spark, sf):
+    old = G.bands(n, 5)
+    item = F.col("src") * 3 + F.col("dst")
+    before = S.by_part(S.cut_edges(e, old)).groupBy("plan_id", "part").agg(F.sum(item).alias("weight"))
+    add = lambda xs: F.aggregate(xs, F.lit(0).cast("long"), lambda s, v: s + v)
+    return S.on_flow(before, S.edge_flows(e, old, flipped(spark, sf, n)), item, "weight", lambda x, came, went: F.coalesce(x, F.lit(0)) + add(came) - add(went)).drop("plan_id")
+
+
+@query("""
+, fl AS (SELECT f.* FROM f JOIN p5 USING (node_id)), lg AS (SELECT -1 AS step, node_id, part FROM p5 UNION ALL SELECT * FROM fl),
+sp AS (SELECT node_id, part, greatest(step, 0) AS a, coalesce(lead(step) OVER (PARTITION BY node_id ORDER BY step) - 1, (SELECT max(step) FROM fl)) AS b FROM lg),
+cs AS (SELECT greatest(x.a, y.a) AS a, least(x.b, y.b) AS b FROM e JOIN sp x ON x.node_id = src JOIN sp y ON y.node_id = dst WHERE x.part <> y.part AND x.a <= y.b AND y.a <= x.b AND x.a <= x.b AND y.a <= y.b),
+ce AS (SELECT step, count(*) AS cut_edges FROM fl JOIN cs ON step BETWEEN a AND b GROUP BY 1),
+pe AS (SELECT fl.step, z.part, sum(population) AS population FROM fl JOIN (SELECT sp.part, a, b, population FROM sp JOIN n USING (node_id)) z ON fl.step BETWEEN a AND b GROUP BY 1, 2)
+SELECT step, any_value(cut_edges) AS cut_edges, CAST(max(population) - min(population) AS BIGINT) AS spread FROM ce JOIN pe USING (step) GROUP BY 1""")
+def flip_scores(n, e, p, spark, sf):
+    """The events as one chain from the five bands, scored at each step from changes."""
+    from .plans import ensemble
+
+    start = G.bands(n, 5)
+    flips = G.flip_log(spark, sf).join(start, "node_id", "left_semi").withColumn("chain", F.lit(0).cast("long"))
+    steps, spanned = flips.select("chain", "step"), ensemble.spans(flips, start)
+    pop = ensemble.tallies(n, spanned, steps).groupBy("chain", "step").agg((F.max("population") - F.min("population")).alias("spread"))
+    return ensemble.cut_counts(e, spanned, steps).join(pop, ["chain", "step"]).drop("chain")
+
+
+def _wide(n: DataFrame) -> DataFrame:
+    """Squares of customers, each third one a quarter wider than its place."""
+    w = F.when(F.col("node_id") % 3 == 0, 1.25).otherwise(1.0)
+    at = lambda dx, dy: F.struct((F.col("col") + dx * w).alias("x"), (F.col("row") + dy * w).alias("y"))
+    return n.select("node_id", F.array(at(0, 0), at(1, 0), at(1, 1), at(0, 1)).alias("ring"))
+
+
+WIDE = ", w AS (SELECT node_id, col AS x1, row AS y1, col + CASE WHEN node_id % 3 = 0 THEN 1.25::DOUBLE ELSE 1 END AS x2, row + CASE WHEN node_id % 3 = 0 THEN 1.25::DOUBLE ELSE 1 END AS y2 FROM n)\n"
+
+
+@query(WIDE + "SELECT a.node_id AS src, b.node_id AS dst, round((least(a.x2, b.x2) - greatest(a.x1, b.x1)) * (least(a.y2, b.y2) - greatest(a.y1, b.y1)), 9) AS area FROM w a JOIN w b ON a.node_id < b.node_id AND a.x1 < b.x2 AND b.x1 < a.x2 AND a.y1 < b.y2 AND b.y1 < a.y2")
+def overlapping_polygons(n, *_):
+    return P.overlaps(_wide(n))
+
+
+@query(WIDE + "SELECT a.node_id AS src, b.node_id AS dst FROM w a JOIN w b ON a.node_id < b.node_id AND a.x1 <= b.x2 AND b.x1 <= a.x2 AND a.y1 <= b.y2 AND b.y1 <= a.y2")
+def meeting_boxes(n, *_):
+    b = P.boxes(_wide(n)).drop("ring")
+    return P.range_join(b, b).filter("l_node_id < r_node_id").select(F.col("l_node_id").alias("src"), F.col("r_node_id").alias("dst"))
+
+
+@query("SELECT node_id, CASE WHEN node_id % 7 = 0 THEN 'Self-intersection' ELSE 'Too few points in geometry component' END AS reason FROM n WHERE node_id % 7 = 0 OR node_id % 11 = 0")
+def invalid_polygons(n, *_):
+    """Of squares, each seventh one with two corners changed about, each eleventh one with two only."""
+    r, i = F.col("ring"), F.col("node_id")
+    ring = F.when(i % 7 == 0, F.array(r[0], r[2], r[1], r[3])).when(i % 11 == 0, F.slice(r, 1, 2)).otherwise(r)
+    return P.invalid(_squares(n).withColumn("ring", ring))
+
+
+@query("SELECT node_id, CAST(CASE WHEN node_id % 3 = 0 THEN 1.5625 ELSE 1 END AS DOUBLE) AS area FROM n")
+def polygon_areas(n, *_):
+    return _wide(n).select("node_id", F.round(G.polygon_area(F.col("ring")), 6).alias("area"))
+
+
+@query("""SELECT node_id, '{"type":"Polygon","coordinates":[[[' || col::DOUBLE || ',' || row::DOUBLE || '],[' || (col + 1)::DOUBLE || ',' || row::DOUBLE || '],[' || (col + 1)::DOUBLE || ',' || (row + 1)::DOUBLE || '],[' || col::DOUBLE || ',' || (row + 1)::DOUBLE || '],[' || col::DOUBLE || ',' || row::DOUBLE || ']]]}' AS geojson FROM n""")
+def geojson(n, *_):
+    return _squares(n).select("node_id", P.to_geojson(F.col("ring")).alias("geojson"))
+
+
+@query(f"""
+, z AS (SELECT node_id, lon, lat, CAST({ZONE} AS INTEGER) AS zone FROM (SELECT node_id, CAST(node_id * 37 % 361 - 180 AS DOUBLE) AS lon, CAST(node_id * 11 % 161 - 80 AS DOUBLE) AS lat FROM n)),
+kk AS (SELECT (1 / 298.257223563::DOUBLE) / (2 - 1 / 298.257223563::DOUBLE) AS n),
+a AS (SELECT z.*, n, sinh(atanh(sin(radians(lat))) - 2 * sqrt(n) / (1 + n) * atanh(2 * sqrt(n) / (1 + n) * sin(radians(lat)))) AS t, radians(lon - (zone * 6 - 183)) AS lam FROM z, kk),
+b AS (SELECT *, atan2(t, cos(lam)) AS xi, atanh(sin(lam) / sqrt(1 + t * t)) AS eta, 0.9996::DOUBLE * 6378137 / (1 + n) * (1 + n * n / 4 + n * n * n * n / 64) AS r, n / 2 - 2 * n * n / 3 + 5 * n * n * n / 16 AS a1, 13 * n * n / 48 - 3 * n * n * n / 5 AS a2, 61 * n * n * n / 240 AS a3 FROM a)
+SELECT node_id, round(500000 + r * (eta + a1 * cos(2 * xi) * sinh(2 * eta) + a2 * cos(4 * xi) * sinh(4 * eta) + a3 * cos(6 * xi) * sinh(6 * eta)), 3) AS easting,
+ round(CASE WHEN lat < 0 THEN 10000000 ELSE 0 END + r * (xi + a1 * sin(2 * xi) * cosh(2 * eta) + a2 * sin(4 * xi) * cosh(4 * eta) + a3 * sin(6 * xi) * cosh(6 * eta)), 3) AS northing FROM b""")
+def utm_coordinates(n, *_):
+    lon, lat = (F.col("node_id") * 37 % 361 - 180).cast("double"), (F.col("node_id") * 11 % 161 - 80).cast("double")
+    x, y = P.to_utm(lon, lat, G.utm_zone(lon, lat))
+    return n.select("node_id", F.round(x, 3).alias("easting"), F.round(y, 3).alias("northing"))
+
+
 @query()
 def chain_scores(n, e, p, spark, sf):
     """Four recombination chains from the five bands of all customers, scored as an ensemble."""
