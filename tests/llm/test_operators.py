@@ -331,6 +331,66 @@ def test_flac_loud_and_damaged(seed):
         flac.decode([s[:at] + bytes([s[at] ^ 16]) + s[at + 1 :]])
 
 
+def bits(*pairs):
+    """Bytes of (value, width) pairs, the last one filled up with zeros."""
+    text = "".join(format(v & (1 << w) - 1, f"0{w}b") if w else "" for v, w in pairs)
+    return int(text.ljust(-(-len(text) // 8) * 8, "0"), 2).to_bytes(-(-len(text) // 8), "big")
+
+
+def crc(data, poly, width):
+    c = 0
+    for b in data:
+        c ^= b << (width - 8)
+        for _ in range(8):
+            c = (c << 1 ^ (poly if c >> (width - 1) & 1 else 0)) & (1 << width) - 1
+    return c
+
+
+def foreign_frame(number, x, kind):
+    """A frame of signed samples, without a predictor or by differences of an order, Rice coded."""
+    sub = [(0, 1)]
+    if kind == "verbatim":
+        sub += [(1, 6), (0, 1), *[(v, 8) for v in x]]
+    elif kind == "constant":
+        sub += [(0, 6), (0, 1), (x[0], 8)]
+    else:
+        e = list(x)
+        for _ in range(kind):
+            e = [b - a for a, b in zip(e, e[1:])]
+        k = 3
+        sub += [(8 + kind, 6), (0, 1), *[(v, 8) for v in x[:kind]], (0, 2), (0, 4), (k, 4)]
+        for u in (2 * v if v >= 0 else -2 * v - 1 for v in e):
+            sub += [(1, (u >> k) + 1), (u, k)]
+    head = bits((0x3FFE, 14), (0, 2), (7, 4), (0, 4), (0, 4), (1, 3), (0, 1), (number, 8), (len(x) - 1, 16))
+    frame = head + bytes([crc(head, 0x07, 8)]) + bits(*sub)
+    return frame + crc(frame, 0x8005, 16).to_bytes(2, "big")
+
+
+def test_flac_of_another_encoder():
+    """A stream without seek points, of other predictors, partitions and block sizes than our own."""
+    r = random.Random(2)
+    blocks = [([r.randint(-128, 127) for _ in range(40)], "verbatim"), ([9] * 500, "constant")]
+    blocks += [([int(60 * math.sin(i / 9)) + r.randint(-2, 2) for i in range(n)], k) for n, k in ((300, 0), (257, 1), (64, 2), (1000, 3), (33, 4))]
+    x = [v for b, _ in blocks for v in b]
+    info = bits((16, 16), (1000, 16), (0, 24), (0, 24), (8000, 20), (0, 3), (7, 5), (len(x), 36)) + hashlib.md5(bytes(v & 255 for v in x)).digest()
+    stream = b"fLaC" + bytes([0x80, 0, 0, 34]) + info + b"".join(foreign_frame(i, *b) for i, b in enumerate(blocks))
+    assert b"".join(b for _, b in flac.decode([stream])[0]) == bytes(v + 128 for v in x)
+
+
+def test_flac_digests(spark, docs, tmp_path):
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    media = {(m["doc_id"], m["n_bytes"]): bytes(m["media"]) for m in flac.encode_documents(docs).collect()}
+    want = []
+    for t in docs.collect():
+        raw = (t["text"] or "").encode()
+        p = raw + b" " * (192 * max(1, -(-len(raw) // 192)) - len(raw))
+        m = media[t["doc_id"], len(raw)]
+        x = [b - 128 for b in p]
+        feature = f"blocks={-(-len(p) // 1152)};sum={sum(x)};energy={sum(v * v for v in x)};crossings={sum((a < 0) != (b < 0) for a, b in zip(x, x[1:]))}"
+        want.append((t["doc_id"], len(raw), len(p), hashlib.sha256(p).hexdigest(), zlib.crc32(p[-16:]), len(m), hashlib.sha256(m).hexdigest(), feature))
+    assert by_row(flac.op6_flac(spark, str(tmp_path))) == sorted(want, key=str)
+
+
 def brute_ctw(train, depth):
     """Counts of every context of every length, for each node of the byte."""
     n = Counter()
@@ -565,6 +625,100 @@ def test_weak_labels_find_the_bad():
     assert ((weak_labels.estimate(at, n.astype(float))[p] > 0.5) == y).mean() > 0.97
 
 
+def brute_votes(t):
+    import regex
+
+    n, chars, lines = len(WORD.findall(t)), max(1, len(t)), t.split("\n")
+    count = lambda p: len(regex.findall(p, t))
+    letters, upper, digits = count(r"\p{L}") / chars, count(r"\p{Lu}") / chars, count("[0-9]") / chars
+    symbols, pipes = count(r"[#*$%&<>]"), count(r"(?m)\||^\x20*[-*•]")
+    short, mean = sum(len(w) < 4 for w in WORD.findall(t)) / max(n, 1), sum(map(len, WORD.findall(t))) / max(n, 1)
+    end = t.rstrip(" \t\n\v\f\r")[-1:]
+    rules = [
+        (n >= 50, n < 20), (symbols <= 0.01 * n, symbols > 0.1 * n), (3 <= mean <= 8, mean < 2 or mean > 12), (len(lines) > 1 and len(set(lines)) == len(lines), len(set(lines)) < 0.7 * len(lines)), (letters >= 0.7, letters < 0.55),
+        (end != "" and end in ".!?\"'", end == "" or end not in ".!?\"',;:)"), (upper < 0.1, upper > 0.3), (digits < 0.01, digits > 0.1), (False, pipes > 0.2 * n), (0.2 <= short <= 0.7, short < 0.1 or short > 0.85),
+    ]
+    return [-1 if bad else 1 if good else 0 for good, bad in rules]
+
+
+def brute_posteriors(voted, rounds=200):
+    """Expectation maximisation row by row."""
+    rate = {c: [dict(zip((-1, 0, 1), ((0.3, 0.3, 0.4), (0.1, 0.3, 0.6))[c])) for _ in range(10)] for c in (0, 1)}
+    prior = 0.8
+
+    def posterior(v):
+        bad, good = ((1 - prior, prior)[c] * math.prod(rate[c][j][x] for j, x in enumerate(v)) for c in (0, 1))
+        return good / (good + bad)
+
+    for _ in range(rounds):
+        q, last = [posterior(v) for v in voted], prior
+        prior = min(0.99, max(0.01, sum(q) / len(q)))
+        for c in (0, 1):
+            for j in range(10):
+                got = {k: 1 + sum((x if c else 1 - x) for x, v in zip(q, voted, strict=True) if v[j] == k) for k in (-1, 0, 1)}
+                rate[c][j] = {k: x / sum(got.values()) for k, x in got.items()}
+        if abs(prior - last) < 1e-9:
+            break
+    return [posterior(v) for v in voted]
+
+
+def brute_scores(texts, soft, train_on, rounds=150):
+    """Logistic regression over the mean of hashed words, with soft labels, word by word."""
+    from wardweave.llm.common import word_hashes
+
+    def place(w):
+        b = np.frombuffer(w.encode(), np.uint8)
+        return int(word_hashes(b, np.array([0]), np.array([len(b)]))[0] >> np.uint64(64 - weak_labels.BITS))
+
+    bags = [{k: n / sum(c.values()) for k, n in c.items()} for c in (Counter(place(w) for w in WORD.findall(t)) for t in texts)]
+    rows = [(bags[i], soft[i]) for i in train_on if bags[i]]
+    w, past, bias, bias_past = Counter(), Counter(), 0.0, 1e-8
+    sigmoid = lambda z: 1 / (1 + math.exp(-z))
+    for _ in range(rounds):
+        error = [sigmoid(sum(w[k] * x for k, x in b.items()) + bias) - y for b, y in rows]
+        g = Counter()
+        for (b, _), e in zip(rows, error, strict=True):
+            for k, x in b.items():
+                g[k] += e * x / len(rows)
+        gb = sum(error) / len(rows)
+        bias_past += gb * gb
+        for k, x in g.items():
+            past[k] += x * x
+            w[k] -= x / math.sqrt(past[k] + 1e-8)
+        bias -= 0.1 * gb / math.sqrt(bias_past)
+    return [sigmoid(sum(w[k] * x for k, x in b.items()) + bias) if b else s for b, s in zip(bags, soft, strict=True)]
+
+
+def test_quality_classifier_brute_force(spark, docs, tmp_path):
+    r = random.Random(3)
+    more = ["# $ % & " * 5 + "12345 99", "| a | b |\n" * 6, "- item\n- item\n- item", "SHOUTING TEXT ALL CAPS NOW!", "A good plain sentence of some words.\nAnd another line, with its end.", "x" * 50 + " é"]
+    more += [" ".join(r.choices(["these", "words", "make", "a", "text", "of", "it"], k=r.randint(5, 90))) + r.choice([".", ",", "", " 7\n"]) for _ in range(30)]
+    d = docs.select("doc_id", "text").unionAll(spark.createDataFrame([(100 + i, t) for i, t in enumerate(more)], "doc_id long, text string"))
+    d.write.parquet(f"{tmp_path}/documents.parquet")
+    rows = [(x["doc_id"], x["text"] or "") for x in d.collect()]
+    voted = [brute_votes(t) for _, t in rows]
+    assert {tuple(v) for v in voted} == {tuple(p // 3**i % 3 - 1 for i in range(10)) for (p,) in weak_labels.voted(d).select("p").distinct().collect()}
+    soft = brute_posteriors(voted)
+    once = list({x: i for i, x in enumerate(rows)}.values())
+    scores = brute_scores([t for _, t in rows], soft, once)
+    got = sorted(weak_labels.op4_quality_classifier(spark, str(tmp_path)).collect(), key=lambda x: (x["doc_id"] is None, x["doc_id"], x["score"]))
+    want = sorted(zip((i for i, _ in rows), soft, scores, strict=True), key=lambda x: (x[0] is None, x[0], x[2]))
+    assert [x["doc_id"] for x in got] == [x[0] for x in want]
+    assert [x["p_weak"] for x in got] == pytest.approx([x[1] for x in want], abs=1e-6)
+    assert [x["score"] for x in got] == pytest.approx([x[2] for x in want], abs=1e-5)
+    assert all(x["kept"] == (x["score"] >= 0.5) for x in got) and len({x["kept"] for x in got}) == 2
+
+
+def test_classifier_sample_is_bounded(spark, monkeypatch):
+    """Neither null ids nor one repeated row fill the sample."""
+    monkeypatch.setattr(weak_labels, "MAX_DOCS", 100)
+    seen = []
+    monkeypatch.setattr(weak_labels, "train", lambda rows: seen.append(len(rows)) or (np.zeros(1 << weak_labels.BITS), 0.0))
+    d = spark.range(3000).selectExpr("cast(null as long) as doc_id", "concat('text of ', id) as text").unionAll(spark.range(3000).selectExpr("5L as doc_id", "'the same text' as text"))
+    weak_labels.fit(d)
+    assert 0 < seen[0] < 200
+
+
 def test_warc(spark):
     rows = [(3, "http://a.com/x", "same"), (1, "http://www.b.org/y?q", "same"), (2, None, None), (5, "http://a.com/x", ""), (4, "bad url \t[", "é🙂"), (3, "http://a.com/x", "same"), (None, "http://a.com/", "solo")]
     pages = spark.createDataFrame([(*r, "x") for r in rows], "page_id long, url string, html string, payload_digest string")

@@ -141,8 +141,9 @@ def fit_voted(t: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     prob = estimate(np.array([r["p"] for r in seen], np.int64), np.array([r["n"] for r in seen], np.float64))
     n, size = sum(r["n"] for r in seen), sum(r["bytes"] for r in seen)
     rate = min(1.0, MAX_DOCS / max(1, n), MAX_WORDS * 6 / max(1, size))
-    sample = t if rate == 1 else t.filter(F.shiftrightunsigned(F.xxhash64("doc_id"), 1) < int(2**63 * rate))
-    rows = sample.select("p", "text").mapInArrow(_features, "p int, h binary").collect()
+    t = t.select("p", "text", F.xxhash64("doc_id", "text").alias("key"))
+    sample = t if rate == 1 else t.filter(F.shiftrightunsigned("key", 1) < int(2**63 * rate))
+    rows = sample.dropDuplicates(["key"]).select("p", "text").mapInArrow(_features, "p int, h binary").collect()
     return prob, *train([(float(prob[r["p"]]), np.frombuffer(r["h"], np.uint32)) for r in rows])
 
 
