@@ -3,6 +3,7 @@ vectorised word handling on Arrow string columns."""
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 
@@ -138,6 +139,27 @@ def word_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, lower: b
     return mix64(out)
 
 
+def release() -> None:
+    """Give freed memory back to the system: a worker lives on through other operators' stages."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # only some C libraries have it
+    if trim is not None:
+        trim(0)
+
+
+def tidy(run):
+    """A function over Arrow batches that leaves no freed memory behind."""
+
+    def over_batches(batches):
+        release()
+        try:
+            yield from run(batches)
+        finally:
+            release()
+
+    return over_batches
+
+
 def slices(offsets: np.ndarray, most: int = 4 << 20):
     """Ranges of texts that hold about `most` bytes; a longer text stands alone."""
     at, n = 0, len(offsets) - 1

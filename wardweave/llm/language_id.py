@@ -31,7 +31,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import group_sums, residue, table
+from .common import group_sums, residue, table, tidy
 
 LETTERS = re.compile(r"[^\W\d_]+")
 ORDERS = (5, 4, 3, 2, 1)
@@ -192,8 +192,8 @@ def fit(train: DataFrame, max_train: int = MAX_TRAIN, max_entries: int = MAX_ENT
     share = fair_share([n for n, _ in counts.values()], max_train)
     names = "lang string, w string, n long"
     while True:
-        words = sample(t, counts, share).select("lang", "text").mapInArrow(_count_words, names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
-        pieces = words.mapInArrow(_count_grams, names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
+        words = sample(t, counts, share).select("lang", "text").mapInArrow(tidy(_count_words), names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
+        pieces = words.mapInArrow(tidy(_count_grams), names).groupBy("lang", "w").agg(F.sum("n").alias("n")).persist()
         few = share == 1 or words.count() + pieces.count() <= max_entries
         model = Model(list(counts), words.toArrow(), pieces.toArrow()) if few else None
         words.unpersist()
@@ -222,7 +222,7 @@ def predict(docs: DataFrame, model: Model, lang: str = "lang_pred", score: str =
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     out = StructType([*StructType.fromJson(schema).fields, StructField(lang, StringType()), StructField(score, DoubleType())])
-    return docs.mapInArrow(run, out)
+    return docs.mapInArrow(tidy(run), out)
 
 
 def train_rows(docs: DataFrame) -> DataFrame:

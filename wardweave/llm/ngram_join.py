@@ -42,7 +42,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import WORD, flat, materialize, mix64, parallelism, slices, table, word_hashes, words
+from .common import WORD, flat, materialize, mix64, parallelism, slices, table, tidy, word_hashes, words
 
 N, T = 5, 75
 #: Text bytes a bucket stands for at least, sets of a block, sets that a leader meets in a task.
@@ -113,7 +113,7 @@ def profile(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """(doc_id, n, fp, row, bytes, hot): size and fingerprint of each document's set; row as given;
     bytes of the text; with a slice's first document, what many of the slice's have."""
     row = F.lit(None).cast("long") if row is None else row
-    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row.alias("row")).mapInArrow(_profile, "doc_id long, n long, fp long, row long, bytes long, hot binary")
+    return docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text", row.alias("row")).mapInArrow(tidy(_profile), "doc_id long, n long, fp long, row long, bytes long, hot binary")
 
 
 def _hot_counts(batches):
@@ -125,7 +125,7 @@ def _hot_counts(batches):
 
 def hot_tokens(base: DataFrame, docs: int) -> tuple[np.ndarray, np.ndarray]:
     """Tokens of many documents, ascending, and in how many slices' documents they were seen."""
-    counts = base.select("hot").filter("hot is not null").mapInArrow(_hot_counts, "tok long, m long").groupBy("tok").agg(F.sum("m").alias("m"))
+    counts = base.select("hot").filter("hot is not null").mapInArrow(tidy(_hot_counts), "tok long, m long").groupBy("tok").agg(F.sum("m").alias("m"))
     rows = counts.filter(F.col("m") >= max(HOT_LEAST, docs // HOT_SHARE)).orderBy(F.desc("m"), "tok").limit(MOST_HOT).collect()
     tok, m = np.array([r["tok"] for r in rows], np.int64).view(np.uint64), np.array([r["m"] for r in rows], np.int64)
     order = np.argsort(tok)
@@ -481,7 +481,7 @@ def _links(blocks: DataFrame, left: DataFrame) -> DataFrame:
     """Links of blocks (key, i, j, fp, first); what is first leads its block."""
     tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))  # small rows, long work: not to be coalesced
     b = blocks.join(left.select("fp", "comp", "n", "toks"), "fp").repartition(tasks, "key", "i", "j")
-    return b.sortWithinPartitions("key", "i", "j", F.desc("first"), "fp").select("key", "i", "j", "fp", "comp", "n", "toks").mapInArrow(_blocks, "a long, b long")
+    return b.sortWithinPartitions("key", "i", "j", F.desc("first"), "fp").select("key", "i", "j", "fp", "comp", "n", "toks").mapInArrow(tidy(_blocks), "a long, b long")
 
 
 # --------------------------------------------------------------------------- components
@@ -588,7 +588,7 @@ def linked(docs: DataFrame, base: DataFrame) -> DataFrame:
     size, count = base.agg(F.coalesce(F.sum("bytes"), F.lit(0)), F.count("*")).first()
     hot = hot_tokens(base, count)
     n = parallelism(spark, size, max(BUCKET_BYTES, int(32 * size**0.5)))
-    sent = docs.select("text").mapInArrow(_from_texts(n, max(4 << 20, 256 * n), hot), SENT)
+    sent = docs.select("text").mapInArrow(tidy(_from_texts(n, max(4 << 20, 256 * n), hot)), SENT)
     left = materialize(survivors(sent, n), "survivors")
     count, links, names = left.count(), [], None
     while count:
@@ -596,7 +596,7 @@ def linked(docs: DataFrame, base: DataFrame) -> DataFrame:
         names = components(_union(links))
         now = left.select("fp", "n", "toks").join(names, "fp", "left").withColumn("comp", F.coalesce("comp", "fp"))
         now = materialize(now, "named")
-        left = materialize(survivors(now.select("fp", "comp", "n", "toks").mapInArrow(_from_survivors(n, hot_apart(now, hot)), SENT), n), "survivors")
+        left = materialize(survivors(now.select("fp", "comp", "n", "toks").mapInArrow(tidy(_from_survivors(n, hot_apart(now, hot))), SENT), n), "survivors")
         before, count = count, left.count()
         if count <= FEW or 2 * count > before:
             break

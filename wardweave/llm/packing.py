@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
 from .bpe import Merges
-from .common import flat, mix64, slices, table, word_hashes, words
+from .common import flat, mix64, release, slices, table, tidy, word_hashes, words
 
 TIERS = (2048, 1024, 512, 256)
 END_ID = 1
@@ -256,17 +256,18 @@ def packer(path: str, tiers=TIERS, end_id: int = END_ID, with_ids: bool = False)
                 continue
             data, offsets = flat(batch.column(1))
             ids, begin, at = [], [np.zeros(1, np.int64)], 0
-            for a, b in slices(offsets):
+            for a, b in slices(offsets, 1 << 20):
                 one, first = tokens.encode(data[offsets[a] : offsets[b]], offsets[a : b + 1] - offsets[a], end_id)
                 ids.append(one)
                 begin.append(first[1:] + at)
                 at += len(one)
+            del data
             ids, begin = np.concatenate(ids), np.concatenate(begin)
             n = np.diff(begin)
             packed = pack(n.tolist(), tiers)
             sizes = [sum(p[2] for p in x) for x in packed]
             groups = step_groups(sizes)
-            raw = memoryview(ids.astype("<u4").tobytes())
+            raw = memoryview(ids.astype("<i4", copy=False)).cast("B")
             rows = [(d, s, k, sequence + q, sum_, sizes[q], group + groups[q]) for q, x in enumerate(packed) for (d, s, k), sum_ in zip(x, _starts(x), strict=True)]
             d, s, k, q, o, z, g = (np.array(c, np.int64) for c in zip(*rows, strict=True))
             lo = (begin[d] + s) * 4
@@ -279,7 +280,9 @@ def packer(path: str, tiers=TIERS, end_id: int = END_ID, with_ids: bool = False)
             sequence += len(packed)
             group += max(groups) + 1
             table_ = pa.table([c if isinstance(c, pa.Array) else pa.array(c) for c in columns], names)
+            del ids, raw, rows
             yield from table_.to_batches(max_chunksize=20_000)
+            release()
 
     return run
 
@@ -299,7 +302,7 @@ def pack_documents(docs: DataFrame, path: str | None = None, tiers=TIERS, end_id
 
         path = public_tokenizers.path("word_bpe_49k.json")
     d = docs.select(docs["doc_id"].cast("long").alias("doc_id"), "text")
-    return d.mapInArrow(packer(path, tiers, end_id, with_ids), SCHEMA + (", ids array<int>" if with_ids else ""))
+    return d.mapInArrow(tidy(packer(path, tiers, end_id, with_ids)), SCHEMA + (", ids array<int>" if with_ids else ""))
 
 
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
