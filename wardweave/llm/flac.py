@@ -9,8 +9,9 @@ fixed orders 0 to 2 and a 4-tap linear one, and writes a seek point for each fra
 arithmetic is exact integers up to the taps, so equal texts give equal streams.
 
 The payload of a text (null: empty) is its UTF-8 padded with blanks to a positive multiple of
-192. Memory is bounded by a slice of texts, or one longer text. Corrupt streams raise
-FlacError. Repeated rows are coded each on their own; empty tables give no rows.
+192. The query writes the streams to the shared folder and digests what it reads back. Memory is
+bounded by a slice of texts, or one longer text. Corrupt streams raise FlacError. Repeated rows
+are coded each on their own; empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from .common import flat, slices, table
+from .common import flat, materialize, slices, table
 
 BLOCK, UNIT, RATE, TAPS, PRECISION, SHIFT = 1152, 192, 8000, 4, 10, 8
 FIXED = ((), (1,), (2, -1), (3, -3, 1), (4, -6, 4, -1))
@@ -533,4 +534,5 @@ def _digest(batches):
 
 
 def op6_flac(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")).mapInArrow(_digest, DIGEST)
+    stored = materialize(encode_documents(table(spark, sf_dir, "documents").select("doc_id", "text")), "flac")
+    return stored.mapInArrow(_digest, DIGEST)
