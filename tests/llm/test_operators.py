@@ -734,6 +734,11 @@ def test_warc(spark):
     assert order == sorted(order)
 
 
+def test_warc_folders_of_hadoop_stores():
+    names = ["s3a://b/x y", "s3n://b/x", "s3://b/x", "file:///tmp/x", "hdfs://h:1/x", "/tmp/x"]
+    assert [warc.arrow_uri(n) for n in names] == ["s3://b/x y", "s3://b/x", *names[2:]]
+
+
 def test_warc_index_leads_into_the_stored_file(spark, tmp_path):
     pages = spark.createDataFrame([(i, f"http://a.com/{i}", f"page {i} " * 9) for i in range(20)], "page_id long, url string, html string")
     for r in warc.merged_index(*warc.write_archives(pages, f"file://{tmp_path}")).collect():

@@ -100,10 +100,20 @@ def record(page_id, url, payload: bytes, digest: str, refers_to) -> bytes:
     return "\r\n".join(head).encode("utf-8", "surrogatepass") + body + b"\r\n\r\n"
 
 
+#: Hadoop's names of stores beside those that Arrow knows.
+SCHEMES = {"s3a": "s3", "s3n": "s3"}
+
+
+def arrow_uri(uri: str) -> str:
+    """A Hadoop folder as Arrow names it; a bare path stays a path."""
+    scheme, sep, rest = uri.partition("://")
+    return SCHEMES.get(scheme, scheme) + sep + rest
+
+
 def _open(uri: str):
     from pyarrow.fs import FileSystem
 
-    return FileSystem.from_uri(uri)
+    return FileSystem.from_uri(arrow_uri(uri))
 
 
 def _write(folder: str):
