@@ -38,11 +38,11 @@ def new_folder(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/wardweave/{name}-{uuid.uuid4().hex[:12]}"
 
 
-def materialize(df: DataFrame, name: str) -> DataFrame:
-    """Cut the lineage: write to the shared folder and read again."""
+def materialize(df: DataFrame, name: str, **options: str) -> DataFrame:
+    """Cut the lineage: write to the shared folder, with Parquet's options, and read again."""
     spark = df.sparkSession
     at = new_folder(spark, name)
-    df.write.parquet(at)
+    df.write.options(**options).parquet(at)
     return spark.read.schema(df.schema).parquet(at)
 
 
