@@ -62,6 +62,18 @@ def test_metagraph_and_contiguity(spark):
     assert S.neighbours(edges, p).select("plan_id").distinct().count() == 6
 
 
+def test_valid_flips_and_previous(spark):
+    nodes, edges = grid(spark)
+    p = plan(spark, [1] * 6 + [2] * 3)
+    ones = nodes.withColumn("population", F.lit(1).cast("long"))
+    assert sorted(map(tuple, S.valid_flips(ones, edges, p, 0.15).collect())) == [("p", 3, 2), ("p", 4, 2), ("p", 5, 2)]
+    gap = ones.withColumn("population", F.when(F.col("node_id") != 4, F.col("population")))
+    assert sorted(map(tuple, S.valid_flips(gap, edges, p, 0.15).collect())) == [("p", 3, 2), ("p", 5, 2)]
+    assert S.valid_flips(ones, edges, p.limit(0), 0.15).count() == 0
+    chain = spark.createDataFrame([("a", 0, 1.0), ("b", 0, 5.0), ("a", 2, None), ("a", 1, 2.0)], "plan_id string, step int, v double")
+    assert sorted(map(str, S.previous(chain, "v").select("plan_id", "step", "previous_v").collect())) == sorted(map(str, spark.createDataFrame([("a", 0, None), ("a", 1, 1.0), ("a", 2, 2.0), ("b", 0, None)], "plan_id string, step int, previous_v double").collect()))
+
+
 def test_spanning_trees_cuts_and_primes(spark):
     nodes, edges = grid(spark)
     net, _ = ensemble.net_of(nodes, edges, plan(spark, [0] * 9))

@@ -317,6 +317,25 @@ def neighbours(edges: DataFrame, plans: DataFrame) -> DataFrame:
     return out.select(F.concat_ws("/", "plan_id", F.col("moved").cast("string"), F.col("to").cast("string")).alias("plan_id"), "node_id", F.when(F.col("node_id") == F.col("moved"), F.col("to")).otherwise(F.col("part")).alias("part"))
 
 
+def valid_flips(nodes: DataFrame, edges: DataFrame, plans: DataFrame, fraction: float) -> DataFrame:
+    """(plan_id, node_id, part): the distinct single moves that leave both parts within a fraction of
+    the mean population. Only moves and part totals are met, no plan is written out; nulls count 0."""
+    people = nodes.select("node_id", F.coalesce("population", F.lit(0)).alias("moved"))
+    t = tally(nodes, plans, population="population").select(*KEY, F.coalesce("population", F.lit(0)).alias("population"))
+    t = t.withColumn("ideal", F.avg(F.col("population").cast("double")).over(W.partitionBy("plan_id")))
+    moves = metagraph_flips(edges, plans).distinct().join(plans.select("plan_id", "node_id", F.col("part").alias("own")), ["plan_id", "node_id"]).join(people, "node_id")
+    left = t.select("plan_id", F.col("part").alias("own"), F.col("population").alias("from"), "ideal")
+    both = moves.join(left, ["plan_id", "own"]).join(t.select(*KEY, F.col("population").alias("into")), KEY)
+    inside = lambda x: (x >= F.col("ideal") * (1 - fraction)) & (x <= F.col("ideal") * (1 + fraction))
+    return both.filter(inside(F.col("from") - F.col("moved")) & inside(F.col("into") + F.col("moved"))).select("plan_id", "node_id", "part")
+
+
+def previous(chain: DataFrame, *columns: str) -> DataFrame:
+    """Chain scores beside those of the step before, null at a chain's first: `previous_<column>`."""
+    w = W.partitionBy("plan_id").orderBy("step")
+    return chain.withColumns({f"previous_{c}": F.lag(c).over(w) for c in columns})
+
+
 def metagraph_degree(edges: DataFrame, plans: DataFrame) -> DataFrame:
     """How many moves each plan has; plans without a cut edge have 0."""
     n = cut_edges(edges, plans).groupBy("plan_id").agg((2 * F.count("*")).alias("n"))

@@ -323,6 +323,29 @@ def refuse_new_splits(n, e, p, spark, sf):
     return S.refuse_new_splits(_states(n, spark, sf)).select("step", "valid")
 
 
+@query("""
+, ap AS (SELECT 0 AS step, node_id, part FROM p5 UNION ALL SELECT 1, node_id, part FROM q),
+ar AS (SELECT step, part, count(*) AS area, sum(bp) AS x FROM ap JOIN n USING (node_id) GROUP BY ALL),
+ai AS (SELECT step, part, count(*) AS i FROM (SELECT a.step, unnest([a.part, b.part]) AS part FROM e JOIN ap a ON a.node_id = src JOIN ap b ON b.node_id = dst AND a.step = b.step WHERE a.part <> b.part) GROUP BY ALL),
+s AS (SELECT step, count(*) / sum(1 / s) AS harmonic, sum(1 / s) AS reciprocal FROM (SELECT step, 4 * pi() * area / ((x + coalesce(i, 0)) * (x + coalesce(i, 0))) AS s FROM ar LEFT JOIN ai USING (step, part)) GROUP BY 1)
+SELECT step, round(harmonic, 9) AS harmonic, harmonic >= first_value(harmonic) OVER (ORDER BY step) AS harmonic_valid, reciprocal <= first_value(reciprocal) OVER (ORDER BY step) AS reciprocal_valid FROM s""")
+def no_worse_compactness(n, e, p, spark, sf):
+    """Two steps of a chain, as in county_states, held against the first."""
+    both = G.bands(n, 5).withColumn("plan_id", F.lit("0")).unionAll(flipped(spark, sf, n).withColumn("plan_id", F.lit("1")))
+    c = S.norms(S.compact(n, e, both)).select(F.lit("chain").alias("plan_id"), F.col("plan_id").cast("int").alias("step"), "harmonic", "l1_reciprocal")
+    c = S.no_worse_than_first(c, "harmonic", lower=True).withColumnRenamed("valid", "harmonic_valid")
+    return S.no_worse_than_first(c, "l1_reciprocal", lower=False).withColumnRenamed("valid", "reciprocal_valid").select("step", "harmonic", "harmonic_valid", "reciprocal_valid")
+
+
+@query("""
+, i AS (SELECT *, avg(CAST(population AS DOUBLE)) OVER (PARTITION BY plan_id) AS ideal FROM t),
+d AS (SELECT DISTINCT plan_id, unnest([src, dst]) AS node_id, unnest([ps, pd]) AS own, unnest([pd, ps]) AS part FROM c)
+SELECT d.plan_id, node_id, d.part FROM d JOIN n USING (node_id) JOIN i a ON a.plan_id = d.plan_id AND a.part = d.own JOIN i b ON b.plan_id = d.plan_id AND b.part = d.part
+WHERE a.population - n.population BETWEEN a.ideal * 0.95::DOUBLE AND a.ideal * 1.05::DOUBLE AND b.population + n.population BETWEEN a.ideal * 0.95::DOUBLE AND a.ideal * 1.05::DOUBLE""")
+def valid_flips(n, e, p, *_):
+    return S.valid_flips(n, e, p, 0.05)
+
+
 def _chain(spark, sf):
     return spark.read.parquet(f"{sf}/events.parquet").select(F.col("user_id").alias("plan_id"), F.col("event_id").alias("step"), "value")
 
@@ -338,6 +361,11 @@ def self_set_bounds(n, e, p, spark, sf):
     return S.within_percent_of_first(high, "value", 10.0).withColumnRenamed("valid", "within").select("step", "below", "above", "within")
 
 
+@query("SELECT event_id AS step, value, lag(value) OVER (PARTITION BY user_id ORDER BY event_id) AS previous_value FROM events")
+def previous_scores(n, e, p, spark, sf):
+    return S.previous(_chain(spark, sf), "value").select("step", "value", "previous_value")
+
+
 @query("SELECT plan_id, count(DISTINCT part) = 6 AS valid FROM (SELECT plan_id, part FROM p WHERE part < 6) GROUP BY 1")
 def no_empty_parts(n, e, p, spark, sf):
     parts = p.select("plan_id").distinct().crossJoin(spark.range(6).select(F.col("id").cast("int").alias("part")))
