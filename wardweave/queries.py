@@ -587,8 +587,7 @@ def chain_scores(n, e, p, spark, sf):
     from .plans import ensemble
 
     start = G.bands(n, 5)
-    flips = ensemble.run_chains(n, e, start, n_chains=4, steps=40, proposal="recom", epsilon=0.2)
-    return ensemble.scored(n, e, flips, start)
+    return ensemble.score_chains(n, e, start, n_chains=4, steps=40, proposal="recom", epsilon=0.2)
 
 
 @query()
