@@ -11,6 +11,8 @@ import struct
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -170,16 +172,77 @@ def ring_fault(x: np.ndarray, y: np.ndarray) -> str | None:
     return None
 
 
+#: Rings of up to this many corners are checked side by side; of longer ones each is swept alone.
+SHORT = 64
+
+
+def _points(rings: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """All corners of rings, one after the other, and where each ring begins; null rings are empty."""
+    n = pc.fill_null(pc.list_value_length(rings), 0).to_numpy(zero_copy_only=False)
+    x, y = (c.to_numpy(zero_copy_only=False).astype(float) for c in rings.flatten().flatten())
+    return np.stack([x, y], 1), np.r_[0, np.cumsum(n)]
+
+
+def _sides_meet(p: np.ndarray) -> np.ndarray:
+    """Which of many rings (m, n, 2) have sides that meet elsewhere than at a shared corner; as
+    `ring_fault`, over all pairs of sides whose ranges of x meet."""
+    n, q = p.shape[1], np.roll(p, -1, 1)
+    order = np.argsort(np.minimum(p[..., 0], q[..., 0]), axis=1, kind="stable")
+    p, q = (np.take_along_axis(c, order[..., None], 1) for c in (p, q))
+    r, t = np.triu_indices(n, 1)
+    (ax, ay), (bx, by), (cx, cy), (dx, dy) = ((c[:, k, 0], c[:, k, 1]) for k, c in ((r, p), (r, q), (t, p), (t, q)))
+    turn = lambda ax, ay, bx, by, cx, cy: np.sign((bx - ax) * (cy - ay) - (by - ay) * (cx - ax))
+    within = lambda ax, ay, bx, by, cx, cy: (np.minimum(ax, bx) <= cx) & (cx <= np.maximum(ax, bx)) & (np.minimum(ay, by) <= cy) & (cy <= np.maximum(ay, by))
+    t1, t2, t3, t4 = turn(ax, ay, bx, by, cx, cy), turn(ax, ay, bx, by, dx, dy), turn(cx, cy, dx, dy, ax, ay), turn(cx, cy, dx, dy, bx, by)
+    i, j = order[:, r], order[:, t]
+    next_, before = j == (i + 1) % n, j == (i - 1) % n
+    meet = (t1 * t2 < 0) & (t3 * t4 < 0) | (t1 == 0) & within(ax, ay, bx, by, cx, cy) | (t2 == 0) & within(ax, ay, bx, by, dx, dy) | (t3 == 0) & within(cx, cy, dx, dy, ax, ay) | (t4 == 0) & within(cx, cy, dx, dy, bx, by)
+    fold = next_ & (t2 == 0) & ((dx - bx) * (ax - bx) + (dy - by) * (ay - by) > 0) | before & (t1 == 0) & ((cx - ax) * (bx - ax) + (cy - ay) * (by - ay) > 0)
+    near = np.minimum(cx, dx) <= np.maximum(ax, bx)
+    return (near & (~(next_ | before) & meet | fold)).any(1)
+
+
+def ring_faults(points: np.ndarray, starts: np.ndarray) -> np.ndarray:
+    """`ring_fault` of many rings, whose corners lie one after the other."""
+    m = len(starts) - 1
+    ring, n = np.repeat(np.arange(m), np.diff(starts)), np.diff(starts)
+    why = np.full(m, None, object)
+    bad = np.zeros(m, bool)
+    bad[ring[~np.isfinite(points).all(1)]] = True
+    why[bad] = "Invalid Coordinate"
+    keep = np.ones(len(points), bool)
+    keep[1:] = (points[1:] != points[:-1]).any(1) | (ring[1:] != ring[:-1])
+    many = np.flatnonzero(n > 1)
+    first, last = starts[:-1][many], starts[1:][many] - 1
+    keep[last[(points[first] == points[last]).all(1)]] = False
+    points, n = points[keep], np.bincount(ring[keep], minlength=m)
+    starts = np.r_[0, np.cumsum(n)]
+    why[~bad & (n < 3)] = "Too few points in geometry component"
+    for k in np.unique(n[~bad & (n >= 3)]).tolist():
+        same = np.flatnonzero(~bad & (n == k))
+        if k > SHORT:
+            for i in same.tolist():
+                why[i] = ring_fault(*points[starts[i] : starts[i + 1]].T)
+            continue
+        size = max(1, 1_000_000 // (k * k))
+        for at in (same[i : i + size] for i in range(0, len(same), size)):
+            p = points[starts[at][:, None] + np.arange(k)]
+            r, t = np.triu_indices(k, 1)
+            twice = (p[:, r] == p[:, t]).all(-1).any(1)
+            why[at[_sides_meet(p)]] = "Self-intersection"
+            why[at[twice]] = "Ring Self-intersection"
+    return why
+
+
 def invalid(polygons: DataFrame) -> DataFrame:
     """(node_id, reason) of invalid rings."""
 
     def run(batches):
-        for pdf in batches:
-            why = [ring_fault(np.array([q["x"] for q in r], float), np.array([q["y"] for q in r], float)) for r in pdf["ring"].map(lambda r: [] if r is None else r)]
-            out = pd.DataFrame({"node_id": pdf["node_id"], "reason": why})
-            yield out[out["reason"].notna()]
+        for batch in batches:
+            why = pa.array(ring_faults(*_points(batch["ring"])), pa.string())
+            yield pa.RecordBatch.from_arrays([batch["node_id"], why], ["node_id", "reason"]).filter(pc.is_valid(why))
 
-    return polygons.select(F.col("node_id").cast("long"), "ring").mapInPandas(run, "node_id long, reason string")
+    return polygons.select(F.col("node_id").cast("long"), "ring").mapInArrow(run, "node_id long, reason string")
 
 
 def boxes(polygons: DataFrame) -> DataFrame:
