@@ -307,19 +307,83 @@ def shared_area(a: np.ndarray, b: np.ndarray) -> float:
     return abs(total) if abs(total) > 1e-12 * abs(whole) else 0.0
 
 
+def _clip_many(subject: np.ndarray, triangle: np.ndarray) -> np.ndarray:
+    """`_clip` of many triangles (m, 3, 2), each by its own one."""
+    m, count = len(subject), np.full(len(subject), 3)
+    for k in range(3):
+        a, b = triangle[:, k, None], triangle[:, (k + 1) % 3, None]
+        width = subject.shape[1]
+        real = np.arange(width) < count[:, None]
+        side = (b[..., 0] - a[..., 0]) * (subject[..., 1] - a[..., 1]) - (b[..., 1] - a[..., 1]) * (subject[..., 0] - a[..., 0])
+        back = np.where(np.arange(width) > 0, np.arange(width) - 1, np.maximum(count[:, None] - 1, 0))
+        q, t = np.take_along_axis(subject, back[..., None], 1), np.take_along_axis(side, back, 1)
+        cross = real & (side * t < 0)
+        f = np.divide(t, t - side, out=np.zeros_like(t), where=cross)
+        both = np.stack([q + f[..., None] * (subject - q), subject], 2).reshape(m, 2 * width, 2)
+        keep = np.stack([cross, real & (side >= 0)], 2).reshape(m, 2 * width)
+        count = keep.sum(1)
+        row, slot = np.nonzero(keep)
+        subject = np.zeros((m, max(1, int(count.max(initial=0))), 2))
+        subject[row, (np.cumsum(keep, 1) - 1)[row, slot]] = both[row, slot]
+    width = subject.shape[1]
+    back = np.where(np.arange(width) > 0, np.arange(width) - 1, np.maximum(count[:, None] - 1, 0))
+    q = np.take_along_axis(subject, back[..., None], 1)
+    each = np.where(np.arange(width) < count[:, None], q[..., 0] * subject[..., 1] - subject[..., 0] * q[..., 1], 0.0)
+    return np.where(count < 3, 0.0, np.abs(each.sum(1)) / 2)
+
+
+def _shared_areas(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """`shared_area` of many pairs of rings, (m, n, 2) and (m, k, 2)."""
+    o = (np.minimum(a.min(1), b.min(1)) + np.maximum(a.max(1), b.max(1))) / 2
+
+    def fan(r):
+        p = r - o[:, None]
+        q = np.roll(p, -1, 1)
+        s = np.sign(p[..., 0] * q[..., 1] - p[..., 1] * q[..., 0])
+        turned = (s > 0)[..., None]
+        t = np.stack([np.zeros_like(p), np.where(turned, p, q), np.where(turned, q, p)], 2)
+        return s, t, t.min(2), t.max(2)
+
+    (s, x, l1, h1), (t, y, l2, h2) = fan(a), fan(b)
+    sign = s[:, :, None] * t[:, None]
+    near = (l1[:, :, None] <= h2[:, None]).all(-1) & (l2[:, None] <= h1[:, :, None]).all(-1)
+    m, i, j = np.nonzero(near & (sign != 0))
+    total = np.abs(np.bincount(m, sign[m, i, j] * _clip_many(x[m, i], y[m, j]), len(a)))
+    return np.where(total > 1e-12 * np.abs(np.prod(np.ptp(b, axis=1), axis=1)), total, 0.0)
+
+
+def shared_areas(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> np.ndarray:
+    """`shared_area` of pairs of rings, both as corners one after the other and where rings begin.
+    Pairs of as many corners are met together, pairs of long rings one by one."""
+    (p, f), (q, g) = a, b
+    n, k = np.diff(f), np.diff(g)
+    area = np.zeros(len(n))
+    for u, v in np.unique(np.stack([n, k], 1), axis=0).tolist():
+        same = np.flatnonzero((n == u) & (k == v))
+        if u * v > SHORT * SHORT:
+            for i in same.tolist():
+                area[i] = shared_area(p[f[i] : f[i + 1]], q[g[i] : g[i + 1]])
+            continue
+        size = max(1, 100_000 // max(1, u * v))
+        for at in (same[i : i + size] for i in range(0, len(same), size)):
+            area[at] = _shared_areas(p[f[at][:, None] + np.arange(u)], q[g[at][:, None] + np.arange(v)])
+    return area
+
+
 def overlaps(polygons: DataFrame) -> DataFrame:
     """(src, dst, area): pairs of nodes, src below dst, whose rings share more than a border. Holes
     run against the rings around them, so what a hole covers is taken off again."""
 
     def run(batches):
-        points = lambda r: np.array([(p["x"], p["y"]) for p in r], float)
-        for pdf in batches:
-            area = [shared_area(points(a), points(b)) for a, b in zip(pdf["l_ring"], pdf["r_ring"], strict=True)]
-            yield pd.DataFrame({"src": pdf["l_node_id"], "dst": pdf["r_node_id"], "area": area * pdf["sign"]})
-
-    b = boxes(polygons.filter(F.size("ring") > 2))
-    pairs = range_join(b, b).filter("l_node_id < r_node_id").select("l_node_id", "r_node_id", "l_ring", "r_ring", (F.signum(signed_area(F.col("l_ring"))) * F.signum(signed_area(F.col("r_ring")))).alias("sign"))
-    area = pairs.mapInPandas(run, "src long, dst long, area double").groupBy("src", "dst").agg(F.abs(F.sum("area")).alias("area"))
+        for batch in batches:
+            area = shared_areas(_points(batch["l_ring"]), _points(batch["r_ring"])) * batch["sign"].to_numpy(zero_copy_only=False)
+            yield pa.RecordBatch.from_arrays([batch["l_node_id"], batch["r_node_id"], pa.array(area)], ["src", "dst", "area"])
+
+    b = boxes(polygons.select(F.col("node_id").cast("long"), "ring").filter(F.size("ring") > 2))
+    # boxes that only touch share no area
+    inner = "l_node_id < r_node_id and l_x1 < r_x2 and r_x1 < l_x2 and l_y1 < r_y2 and r_y1 < l_y2"
+    pairs = range_join(b, b).filter(inner).select("l_node_id", "r_node_id", "l_ring", "r_ring", (F.signum(signed_area(F.col("l_ring"))) * F.signum(signed_area(F.col("r_ring")))).alias("sign"))
+    area = pairs.mapInArrow(run, "src long, dst long, area double").groupBy("src", "dst").agg(F.abs(F.sum("area")).alias("area"))
     return area.filter("area > 1e-9")
 
 
