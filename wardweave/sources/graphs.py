@@ -159,25 +159,35 @@ def segments(polygons: DataFrame) -> DataFrame:
     return s.select("node_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
 
 
+def dealt(polygons: DataFrame) -> DataFrame:
+    """Rings dealt anew by node, in as many partitions as shuffles have: a map's few files, and the few
+    partitions that small rows are merged to, would leave its sides to a few tasks."""
+    return polygons.select("node_id", "ring").repartition(int(polygons.sparkSession.conf.get("spark.sql.shuffle.partitions")), "node_id")
+
+
 def adjacency(polygons: DataFrame, queen: bool = False) -> DataFrame:
     """Edges between polygons (node_id, ring) of a planar map: shared_perim sums the overlaps of
     sides on one line, which meet by an equi-join on that line and a cell of it, as long as a mean
-    side; an overlap counts in the cell where it begins. queen adds shared corners, 0 long."""
+    side; an overlap counts in the cell where it begins. queen adds shared corners, 0 long. Both
+    sides of a join are the same rows, so they are made and shuffled once."""
+    polygons = dealt(polygons)
     s = segments(polygons)
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     norm = F.sqrt(dx * dx + dy * dy)
-    r = lambda c: F.round(c, 9) + 0.0
+    r = lambda c: F.rint(c * 1e9) / 1e9 + 0.0  # noqa: E731  # F.round goes by decimals, which is slow
     line = s.withColumns({"ux": r(dx / norm), "uy": r(dy / norm)})
     line = line.withColumns({"off": r(F.col("x1") * F.col("uy") - F.col("y1") * F.col("ux")), "lo": F.col("x1") * F.col("ux") + F.col("y1") * F.col("uy"), "hi": F.col("x2") * F.col("ux") + F.col("y2") * F.col("uy")})
     cell = line.agg(F.greatest(F.avg(F.col("hi") - F.col("lo")), F.lit(1e-9)).alias("cell"))
-    place = lambda c: F.floor(F.col(c) / F.col("cell"))
-    line = line.crossJoin(F.broadcast(cell)).withColumn("at", F.explode(F.sequence(place("lo"), place("hi"))))
-    a, b = (line.select("ux", "uy", "off", "at", "cell", F.col("node_id").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}")) for n in ("src", "dst"))
+    place = lambda c: F.floor(c / F.col("cell"))
+    # an overlap longer than 1e-9 begins before the side's last 1e-9
+    line = line.filter("hi - lo > 1e-9").crossJoin(F.broadcast(cell)).withColumn("at", F.explode(F.sequence(place(F.col("lo")), place(F.col("hi") - 1e-9))))
+    line = line.withColumn("first", place(F.col("lo")) == F.col("at"))
+    a, b = (line.select("ux", "uy", "off", "at", F.col("node_id").alias(n), F.col("lo").alias(f"lo_{n}"), F.col("hi").alias(f"hi_{n}"), F.col("first").alias(f"first_{n}")) for n in ("src", "dst"))
     over = F.least("hi_src", "hi_dst") - F.greatest("lo_src", "lo_dst")
-    first = F.floor(F.greatest("lo_src", "lo_dst") / F.col("cell")) == F.col("at")
-    sides = a.join(b.drop("cell"), ["ux", "uy", "off", "at"]).filter("src < dst").filter(first).select("src", "dst", over.alias("w")).filter("w > 1e-9")
+    sides = a.join(b, ["ux", "uy", "off", "at"]).filter("src < dst").filter("first_src or first_dst").select("src", "dst", over.alias("w")).filter("w > 1e-9")
     if queen:
-        p = polygons.select("node_id", F.explode("ring").alias("p")).distinct()
+        # a corner that two rings of a node share comes twice, which adds another 0
+        p = polygons.select("node_id", F.explode(F.array_distinct("ring")).alias("p"))
         p, q = p.select(F.col("node_id").alias("src"), "p"), p.select(F.col("node_id").alias("dst"), "p")
         sides = sides.unionAll(p.join(q, "p").filter("src < dst").select("src", "dst", F.lit(0.0).alias("w")))
     return sides.groupBy("src", "dst").agg(F.sum("w").alias("shared_perim"))
