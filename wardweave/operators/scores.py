@@ -298,9 +298,14 @@ def diversity(ensemble: DataFrame, edges: DataFrame) -> DataFrame:
     cut = cut_edges(edges, flat.select("plan_id", "node_id", "part")).groupBy("plan_id").agg(F.sha2(F.array_join(F.array_sort(F.collect_list(F.concat_ws("-", "src", "dst"))), ","), 256).alias("key"))
     plans = names.join(cut, "plan_id", "left").fillna("", ["key"])
     dist = flat.groupBy("chain", "step", "part").agg(F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list("node_id")), lambda x: x.cast("string")), ","), 256).alias("key"))
+    return first_seen(names.select("chain", "step"), plans, dist)
+
+
+def first_seen(names: DataFrame, plans: DataFrame, districts: DataFrame) -> DataFrame:
+    """Up to each step (chain, step), the distinct keys of plans and of districts (chain, step, key)."""
     first = lambda d: d.groupBy("chain", "key").agg(F.min("step").alias("step")).groupBy("chain", "step").agg(F.count("*").alias("n"))
     w = W.partitionBy("chain").orderBy("step").rowsBetween(W.unboundedPreceding, 0)
-    steps = names.select("chain", "step").join(first(plans).withColumnRenamed("n", "np"), ["chain", "step"], "left").join(first(dist).withColumnRenamed("n", "nd"), ["chain", "step"], "left").fillna(0, ["np", "nd"])
+    steps = names.join(first(plans).withColumnRenamed("n", "np"), ["chain", "step"], "left").join(first(districts).withColumnRenamed("n", "nd"), ["chain", "step"], "left").fillna(0, ["np", "nd"])
     return steps.select("chain", "step", F.sum("np").over(w).alias("unique_plans"), F.sum("nd").over(w).alias("unique_districts"), F.row_number().over(W.partitionBy("chain").orderBy("step")).cast("long").alias("steps_taken"))
 
 

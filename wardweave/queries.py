@@ -603,4 +603,4 @@ def diversity_stats(n, e, p, spark, sf):
 
     start = G.bands(n, 5)
     flips = ensemble.run_chains(n, e, start, n_chains=2, steps=20, proposal="flip", epsilon=0.5)
-    return S.diversity(ensemble.plans_of(flips, start), e)
+    return ensemble.diversity(e, flips.persist(), start)
