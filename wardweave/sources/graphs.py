@@ -151,11 +151,18 @@ def polygon_area(ring: Column) -> Column:
     return F.abs(F.aggregate(F.zip_with(ring, after, lambda p, q: p["x"] * q["y"] - q["x"] * p["y"]), F.lit(0.0), lambda s, v: s + v)) / 2
 
 
+def made_once(d: DataFrame, keep: list[str], **made: Column) -> DataFrame:
+    """Columns behind a generator of one row, which filters and later columns are not carried through:
+    each would make them anew, for every time that it names them."""
+    return d.select(*keep, F.inline(F.array(F.struct(*[c.alias(n) for n, c in made.items()]))))
+
+
 def segments(polygons: DataFrame) -> DataFrame:
     """(node_id, x1, y1, x2, y2): sides of rings, lower end first."""
     ring = F.col("ring")
     after = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
-    s = polygons.select("node_id", F.explode(F.arrays_zip(ring.alias("p"), after.alias("q"))).alias("s")).select("node_id", F.least("s.p", "s.q").alias("a"), F.greatest("s.p", "s.q").alias("b")).filter("a <> b")
+    s = polygons.select("node_id", F.explode(F.arrays_zip(ring.alias("p"), after.alias("q"))).alias("s"))
+    s = made_once(s, ["node_id"], a=F.least("s.p", "s.q"), b=F.greatest("s.p", "s.q")).filter("a <> b")
     return s.select("node_id", F.col("a.x").alias("x1"), F.col("a.y").alias("y1"), F.col("b.x").alias("x2"), F.col("b.y").alias("y2"))
 
 
@@ -175,8 +182,9 @@ def adjacency(polygons: DataFrame, queen: bool = False) -> DataFrame:
     dx, dy = F.col("x2") - F.col("x1"), F.col("y2") - F.col("y1")
     norm = F.sqrt(dx * dx + dy * dy)
     r = lambda c: F.rint(c * 1e9) / 1e9 + 0.0  # noqa: E731  # F.round goes by decimals, which is slow
-    line = s.withColumns({"ux": r(dx / norm), "uy": r(dy / norm)})
-    line = line.withColumns({"off": r(F.col("x1") * F.col("uy") - F.col("y1") * F.col("ux")), "lo": F.col("x1") * F.col("ux") + F.col("y1") * F.col("uy"), "hi": F.col("x2") * F.col("ux") + F.col("y2") * F.col("uy")})
+    line = s.withColumn("norm", norm).withColumns({"ux": r(dx / F.col("norm")), "uy": r(dy / F.col("norm"))})
+    line = made_once(line, ["node_id", "x1", "y1", "x2", "y2"], ux=F.col("ux"), uy=F.col("uy"))
+    line = made_once(line, ["node_id", "ux", "uy"], off=r(F.col("x1") * F.col("uy") - F.col("y1") * F.col("ux")), lo=F.col("x1") * F.col("ux") + F.col("y1") * F.col("uy"), hi=F.col("x2") * F.col("ux") + F.col("y2") * F.col("uy"))
     cell = line.agg(F.greatest(F.avg(F.col("hi") - F.col("lo")), F.lit(1e-9)).alias("cell"))
     place = lambda c: F.floor(c / F.col("cell"))
     # an overlap longer than 1e-9 begins before the side's last 1e-9
